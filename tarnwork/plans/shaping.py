@@ -6,6 +6,7 @@ All helpers are deterministic: salts come from hashes of the rows, never from ra
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,12 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, cutting its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset a temporary
-    folder serves, but only in local mode: on a cluster the setting is required.
+    Where that is unset a temporary folder serves, but only in local mode: on a cluster
+    the setting is required.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir")
@@ -29,9 +29,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="tarnwork-checkpoint-")
         sc.setCheckpointDir(shared)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small or wide-typed table by a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a large flat table: write it as Parquet to the shared folder and read it.
+
+    Column statistics and pruning stay available, and it takes a fraction of a checkpoint.
+    """
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: str, salts: int = 8, how: str = "inner") -> DataFrame:
     """Join big with small (unique on keys) so that one hot key spreads over `salts` tasks.
 
