@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("general",)
+NAMES = ("general", "log", "assay")
 
 
 def modules() -> list:
