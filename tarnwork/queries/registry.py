@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("general", "log", "assay")
+NAMES = ("general", "log", "assay", "search")
 
 
 def modules() -> list:
