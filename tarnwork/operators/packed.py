@@ -212,6 +212,8 @@ def split_packed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """
     rows = df.select("field", "record_id", "text").where(F.col("text").isNotNull() & F.col("record_id").isNotNull())
     texts = rows.select("field", "text").distinct()
+    # parsing is CPU-bound on few bytes, so its tasks are not left to be coalesced by size
+    texts = texts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cands = checkpoint(texts.mapInArrow(_parser(kinds), _CANDIDATES).withColumn("id", F.monotonically_increasing_id()))
     first = _cheapest(cands, _codes(cands.select("field", F.explode("cands").alias("c")).select("field", F.explode("c.vals").alias("value"))))
     kept = cands.join(first.select("id", "k"), "id").select("id", "field", F.col("cands")[F.col("k")]["vals"].alias("vals"))
