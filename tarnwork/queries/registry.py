@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("general", "log", "assay", "search")
+NAMES = ("general", "log", "assay", "search", "retrieval")
 
 
 def modules() -> list:
