@@ -47,7 +47,7 @@ def call_graph(spark: SparkSession, d: str) -> DataFrame:
     s, p = table(spark, d, "supplier").select("s_suppkey", "s_name"), table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
     kind = F.when(F.col("l_returnflag") == "R", "method").when(F.col("l_returnflag") == "A", "direct").otherwise("async")
     joined = li.join(s, li.l_suppkey == s.s_suppkey).join(p, li.l_partkey == p.p_partkey)
-    return joined.select(F.col("s_name").alias("caller"), F.col("p_name").alias("callee"), F.col("p_brand").alias("file"), F.col("l_linenumber").cast("bigint").alias("line_number"), kind.alias("call_type"))
+    return joined.select(F.col("s_name").alias("caller"), F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string")).alias("callee"), F.col("p_brand").alias("file"), F.col("l_linenumber").cast("bigint").alias("line_number"), kind.alias("call_type"))
 
 
 def _commits(spark, d):
@@ -66,7 +66,7 @@ MODULE = r"replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({
 IMPORTS = f"im as (select distinct file_a as file, 'crate::' || {MODULE.format('file_b')} as import_path from co_changes where \"count\" >= 2)"
 MODULES = r"""md as (select file_path as path, greatest(sum(coalesce(lines_added, 0) - coalesce(lines_removed, 0)), 0)::bigint as lines, greatest(sum(coalesce(lines_added, 0) - coalesce(lines_removed, 0)), 0)::bigint * 40 as bytes
     from commit_files where regexp_matches(file_path, '\.(rs|py|ts|js|go)$') group by 1)"""
-CALLS = """cg as (select s_name as caller, p_name as callee, p_brand as file, l_linenumber::bigint as line_number, case l_returnflag when 'R' then 'method' when 'A' then 'direct' else 'async' end as call_type
+CALLS = """cg as (select s_name as caller, p_name || ' #' || p_partkey as callee, p_brand as file, l_linenumber::bigint as line_number, case l_returnflag when 'R' then 'method' when 'A' then 'direct' else 'async' end as call_type
     from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey)"""
 ENTRY = "split_part(path, '/', -1) in (" + ", ".join(f"'{x}'" for x in text.ENTRY_POINTS) + ")"
 TEST = r"(regexp_matches(lower(path), '/(test|tests|__tests__|spec|specs)/|/test_') or regexp_matches(lower(path), '_test\.(rs|go|py)$|\.(test|spec)\.(ts|js)$|\.test\.(tsx|jsx)$|_spec\.rb$'))"
@@ -124,7 +124,7 @@ def functions_search(spark, d):
 
 
 def callers(spark, d):
-    return assay.search(call_graph(spark, d), ["callee"], "1", ["caller", "callee", "file", "line_number", "call_type"], 100)
+    return assay.search(call_graph(spark, d), ["callee"], "#17", ["caller", "callee", "file", "line_number", "call_type"], 100)
 
 
 def callees(spark, d):
@@ -196,7 +196,7 @@ SQL = {
     "inventory": f"""with {FUNCTIONS}, {IMPORTS}, {MODULES} select path, lines, bytes, (select count(*) from fn where fn.file = md.path) as n_functions, (select count(*) from im where im.file = md.path) as n_imports from md where path like 'src/%' order by path limit 1000""",
     "function_facts": f"with {FUNCTIONS} select * from fn",
     "functions_search": f"with {FUNCTIONS} select * from fn where name ilike '%query%' or file ilike '%query%' order by file, name, parameter_count, is_public nulls first, is_async nulls first, return_type nulls first limit 100",
-    "callers": f"with {CALLS} select * from cg where callee ilike '%1%' order by caller, callee, file, line_number, call_type limit 100",
+    "callers": f"with {CALLS} select * from cg where callee ilike '%#17%' order by caller, callee, file, line_number, call_type limit 100",
     "callees": f"with {CALLS} select * from cg where caller ilike '%0001%' order by callee, caller, file, line_number, call_type limit 100",
     "imports_of": f"with {IMPORTS} select * from im where file ilike '%src/core%' order by file, import_path limit 100",
     "importers_of": f"with {IMPORTS} select * from im where import_path ilike '%rank\\_%' escape '\\' order by import_path, file limit 100",
