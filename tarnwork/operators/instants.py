@@ -15,7 +15,9 @@ Results for edge cases: NULL, empty and unreadable texts and impossible dates (t
 February, hour 25) have no reading and utc_us NULL; fractions finer than microseconds are
 cut; a local time that occurs twice means the earlier instant, a skipped one moves on by
 the gap; a NULL or unknown zone is UTC; repeated rows stay repeated; extra columns pass
-through unless their names begin with ``_em_``.
+through, but for those named like a result (utc_us, fmt, posterior, ambiguous), which are
+replaced, and names that begin with ``_em_``, which are reserved; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -220,6 +222,7 @@ def normalise_instants(df: DataFrame, value: str, zone: str, source: str, weight
     catalogue of formats bounds.
     """
     weights = dict(weights or {})
+    df = df.drop(*({"utc_us", "fmt", "posterior", "ambiguous"} - {value, zone, source}))
     read = df.withColumn("_em_r", readings_column(F.col(value), F.col(zone), weights))
     sig = F.array_join(F.transform("_em_r", lambda r: F.concat(r["fmt"], F.when(_likely(r["utc_us"]), "+").otherwise("-"))), " ")
     read = checkpoint(read.withColumn("_em_sig", sig).withColumn("_em_src", F.coalesce(F.col(source).cast("string"), F.lit("?"))))
@@ -248,4 +251,5 @@ def repository_name(kind: str, column: Column) -> Column:
 def with_zone(df: DataFrame, name: Column, zones: DataFrame) -> DataFrame:
     """Add repo_name and zone (NULL where unknown) from the table of repositories and zones."""
     lookup = zones.select(F.lower(F.trim("name")).alias("repo_name"), "zone").dropDuplicates(["repo_name"])
+    df = df.drop("repo_name", "zone")
     return join_checked(df.withColumn("repo_name", F.coalesce(name, F.lit(""))), lookup, ["repo_name"], df.columns[0], how="left")

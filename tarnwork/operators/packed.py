@@ -44,7 +44,8 @@ CLOSERS = {"[": "]", "{": "}"}
 #: What a value may hold when it stands without quotes, beyond letters and digits.
 ALPHABETS = {"labels": " /:&+-'.", "words": "-", "numbers": ""}
 
-_CHAR_BITS, _ALIEN_BITS, _DIALECT_BITS, _SMOOTH = 6.5, 16.0, 1.0, 4.0
+#: A character outside the alphabet must cost more than the escapes of two values never seen before.
+_CHAR_BITS, _ALIEN_BITS, _DIALECT_BITS, _SMOOTH = 6.5, 80.0, 1.0, 4.0
 
 
 def _blank(c: str) -> bool:
@@ -215,12 +216,13 @@ def split_packed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     # parsing is CPU-bound on few bytes, so its tasks are not left to be coalesced by size
     texts = texts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cands = checkpoint(texts.mapInArrow(_parser(kinds), _CANDIDATES).withColumn("id", F.monotonically_increasing_id()))
-    first = _cheapest(cands, _codes(cands.select("field", F.explode("cands").alias("c")).select("field", F.explode("c.vals").alias("value"))))
+    # at first a value counts once for every text in whose parses it occurs
+    possible = cands.select("field", F.explode(F.array_distinct(F.flatten(F.transform("cands", lambda c: c["vals"])))).alias("value"))
+    first = _cheapest(cands, _codes(possible))
     kept = cands.join(first.select("id", "k"), "id").select("id", "field", F.col("cands")[F.col("k")]["vals"].alias("vals"))
     seen = kept.select("field", F.explode("vals").alias("value"))
-    everything = cands.select("field", F.explode("cands").alias("c")).select("field", F.explode("c.vals").alias("value")).distinct()
-    # each candidate value counts once more, so that every one has a code
-    codes = _codes(seen.unionByName(everything))
+    # each possible value counts once more, so that every one has a code
+    codes = _codes(seen.unionByName(possible.distinct()))
     best = _cheapest(cands, codes)
     parsed = cands.join(best, "id").select("field", "text", F.col("cands")[F.col("k")].alias("c"))
     parsed = parsed.where(F.size("c.vals") > 0)
