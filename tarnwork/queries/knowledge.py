@@ -59,9 +59,9 @@ def belief_metrics(spark, d):
 
 
 def session_citations(spark, d):
-    """Sessions that beliefs' evidence, other sessions or documents name."""
+    """Sessions that logged queries, evidence of beliefs, other sessions or documents name."""
     docs = _docs(spark, d).select(F.lit(None).cast("string").alias("owner"), "text")
-    events = eventlog.with_payload(eventlog.scan(table(spark, d, "eventlog"), ["belief.surface", "session.started"])).select("event_type", "payload").where("payload is not null")
+    events = eventlog.with_payload(eventlog.scan(table(spark, d, "eventlog"), ["belief.surface", "session.started", "scry.query"])).select("event_type", "payload").where("payload is not null")
     named = events.select(F.when(F.col("event_type") == "session.started", F.get_json_object("payload", "$.session_id")).alias("owner"), F.col("payload").alias("text")).distinct()
     return beliefs.citations(named.select(F.col("owner").alias("id")).where("id is not null"), docs.unionByName(named))
 
@@ -273,7 +273,7 @@ SQL = {
     "belief_audit": f"with {AUDIT} select * from a",
     "belief_audit_top": f"with {AUDIT} select id, n_flags, flags from a order by n_flags desc, id limit 10",
     "belief_metrics": f"with {AUDIT} select count(*) as n, coalesce(sum(total_use), 0)::bigint as uses, count(*) filter (n_files > 0) as grounded, count(*) filter (evidence_verified > 0) as verified, count(*) filter (n_flags = 0) as healthy from a",
-    "session_citations": f"""with {PAYLOAD}, {DOCS}, ne as (select distinct case when event_type = 'session.started' then json_extract_string(p, '$.session_id') end as owner, p as text from pl where event_type in ('belief.surface', 'session.started') and p is not null),
+    "session_citations": f"""with {PAYLOAD}, {DOCS}, ne as (select distinct case when event_type = 'session.started' then json_extract_string(p, '$.session_id') end as owner, p as text from pl where event_type in ('belief.surface', 'session.started', 'scry.query') and p is not null),
         tx as (select null as owner, body as text from dc union all select * from ne), w as (select owner, unnest(list_distinct(regexp_extract_all(text, '([A-Za-z0-9]+(?:-[A-Za-z0-9]+)+)', 1))) as id from tx)
         select id, count(*) as n_texts from w join (select distinct owner as id from ne where owner is not null) using (id) where owner is null or owner <> id group by 1""",
     "grounding_reach": f"""with {NEAR}, g as (select query_id as belief_id, vec_id::bigint as sha, score from nk where rank <= 22 and score >= 0.2), cf as (select distinct l_orderkey as sha, 'part/' || l_partkey || '.rs' as file_path from lineitem),
