@@ -112,7 +112,7 @@ def path_keys(text: str, runs: list[tuple[int, int]], least: int, k: int, edges:
 
     A path of `least` characters or more stands for itself; around a shorter one every
     stretch of `least` characters that contains it is compared. With edges also the
-    stretches that reach over either end of a long path, which only the coverage needs.
+    stretches that reach over either end of a path, which only the coverage needs.
     """
     n, keys, reach = len(text), set(), least - k
     for start, stop in runs:
@@ -121,6 +121,8 @@ def path_keys(text: str, runs: list[tuple[int, int]], least: int, k: int, edges:
             if edges:
                 keys.update((s, s + least) for s in range(max(0, start - reach), start))
                 keys.update((s, s + least) for s in range(stop - least + 1, min(stop - k, n - least) + 1))
+        elif edges:
+            keys.update((s, s + least) for s in range(max(0, start - reach), min(stop - k, n - least) + 1))
         else:
             keys.update((s, s + least) for s in range(max(0, stop - least), min(start, n - least) + 1))
     return sorted(keys)
