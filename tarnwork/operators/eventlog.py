@@ -57,19 +57,19 @@ def append(log: DataFrame, new: DataFrame) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_if_null: tuple[str, ...] = ()) -> DataFrame:
     """Rows of new replace those of old with the same keys; keep_if_null: columns whose old value survives a NULL."""
     if not keep_if_null:
-        return old.join(new, keys, "left_anti").unionByName(new)
+        return old.join(new, keys, "left_anti").select(*old.columns).unionByName(new)
     before = old.select(*keys, *(F.col(c).alias(f"_old_{c}") for c in keep_if_null))
     merged = new.join(before, keys, "left").withColumns({c: F.coalesce(c, f"_old_{c}") for c in keep_if_null}).select(*new.columns)
-    return old.join(new, keys, "left_anti").unionByName(merged)
+    return old.join(new, keys, "left_anti").select(*old.columns).unionByName(merged)
 
 
 def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return old.unionByName(new.dropDuplicates(keys).join(old, keys, "left_anti"))
+    return old.unionByName(new.dropDuplicates(keys).join(old, keys, "left_anti").select(*old.columns))
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """All rows of the sources that new has are replaced by new's."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+    return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)
 
 
 def prune_missing(df: DataFrame, listing: DataFrame, key: str) -> DataFrame:
