@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions import text
 
+#: Words of a batch of queries that a containment search may broadcast.
+BATCH = 1000
 SOURCE_SUFFIX = r"\.(rs|py|ts|js|go)$"
 
 
@@ -150,9 +152,12 @@ def temporal_neighbours(co_changes: DataFrame, queries: DataFrame, limit: int =
     """(query_id, file, score): files that change together with those a query's words name.
 
     Per word and direction the `limit * fetch` strongest rows count; files that contain the
-    whole query are left out. queries: (query_id, query), a small batch that is broadcast.
+    whole query are left out. queries: (query_id, query), a batch of at most BATCH words,
+    which is broadcast; larger ones are refused, as containment is no equi-join.
     """
     words = queries.select("query_id", "query", F.explode(F.array_distinct(F.split(F.lower(F.trim("query")), r"\s+"))).alias("term")).where("term != ''")
+    if words.limit(BATCH + 1).count() > BATCH:
+        raise ValueError(f"more than {BATCH} query words; ask in smaller batches")
     both = co_changes.select(F.col("file_a").alias("seed"), F.col("file_b").alias("file"), "count", F.lit(0).alias("side")).unionByName(co_changes.select(F.col("file_b").alias("seed"), F.col("file_a").alias("file"), "count", F.lit(1).alias("side")))
     met = both.join(F.broadcast(words), F.contains(F.lower("seed"), F.col("term")))
     order = Window.partitionBy("query_id", "term", "side").orderBy(F.desc("count"), "file", "seed")

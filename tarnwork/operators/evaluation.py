@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.text import clean_commit_message
+from tarnwork.plans.shaping import small
 
 
 def per_query(queries: DataFrame, retrieved: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (5, 10), contains: bool = False) -> DataFrame:
@@ -38,18 +39,29 @@ def repo_recall(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
     return e.groupBy("query_id").agg(F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("repo_recall"))
 
 
-def nearest_rank_percentiles(df: DataFrame, value: str, percents: tuple[int, ...], *by: str) -> DataFrame:
-    """Values at place round((n - 1) * p / 100) of the sorted values.
+def nearest_rank_percentiles(df: DataFrame, value: str, percents: tuple[int, ...], *by: str, buckets: int = 4096) -> DataFrame:
+    """Values at place round((n - 1) * p / 100) of the sorted values of each group.
 
-    Places come from running counts of distinct values, so no list of all values is built.
+    Places are found in a histogram of `buckets` equal widths first; only the values of the
+    buckets in which a place falls are counted one by one, so no task sorts a whole group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    upto = F.sum("n").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(part)
-    marked = counts.withColumns({"_upto": upto, "_total": total})
-    place = lambda p: F.floor((F.col("_total") - 1) * p / 100.0 + 0.5)
-    return marked.groupBy(*by).agg(F.max("_total").alias("n"), *(F.min(F.when(F.col("_upto") > place(p), F.col(value))).alias(f"p{p}") for p in percents))
+    keys = [F.col(c) for c in by] or [F.lit(1)]
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.struct(*keys).alias("_g"))
+    ends = rows.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    share = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    laid = rows.join(small(ends), "_g").withColumn("_b", F.least(F.floor(share * buckets), F.lit(buckets - 1)))
+    part = Window.partitionBy("_g")
+    hist = laid.groupBy("_g", "_n", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = hist.withColumn("_before", F.coalesce(F.sum("_c").over(part.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = lambda p: F.floor((F.col("_n") - 1) * p / 100.0 + 0.5)
+    places = F.array(*(F.struct(F.lit(f"p{p}").alias("name"), place(p).alias("at")) for p in percents))
+    wanted = upto.select("_g", "_b", "_before", "_c", F.explode(places).alias("w")).where((F.col("w.at") >= F.col("_before")) & (F.col("w.at") < F.col("_before") + F.col("_c"))).select("_g", "_b", "w.name", (F.col("w.at") - F.col("_before")).alias("_at"))
+    near = laid.join(small(wanted.select("_g", "_b").distinct()), ["_g", "_b"]).groupBy("_g", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    inner = near.withColumn("_upto", F.sum("_c").over(Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = inner.join(wanted, ["_g", "_b"]).where(F.col("_upto") > F.col("_at")).groupBy("_g", "name").agg(F.min("_v").alias("_v"))
+    wide = found.groupBy("_g").agg(*(F.max(F.when(F.col("name") == f"p{p}", F.col("_v"))).alias(f"p{p}") for p in percents))
+    out = wide.join(ends.select("_g", F.col("_n").alias("n")), "_g")
+    return out.select(*(F.col(f"_g.{c}").alias(c) for c in by), "n", *(f"p{p}" for p in percents))
 
 
 def precision_at(pairs: DataFrame, k: int) -> Column:

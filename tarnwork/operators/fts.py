@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.porter import stem_column
+from tarnwork.plans.shaping import small
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -44,27 +45,27 @@ def stemmed_terms(idx: DataFrame, terms: DataFrame) -> DataFrame:
     distinct words are stemmed, never the postings."""
     vocabulary = idx.select(F.explode("tokens").alias("term")).distinct().withColumn("stem", stem_column(F.col("term")))
     wanted = terms.select("query_id", stem_column(F.col("term")).alias("stem")).distinct()
-    return vocabulary.join(F.broadcast(wanted), "stem").select("query_id", "stem", "term")
+    return vocabulary.join(small(wanted), "stem").select("query_id", "stem", "term")
 
 
 def bm25(idx: DataFrame, terms: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank): the best documents of each query, ties by doc_id.
 
-    terms: (query_id, term) or (query_id, stem, term), a batch of queries, broadcast. The
-    postings of other words are dropped where they are made; df, N and the average length are
+    terms: (query_id, term) or (query_id, stem, term), a batch of queries, broadcast while it
+    is small. The postings of other words are dropped where they are made; df, N and the average length are
     aggregates, so no document leaves its task before its score is known.
     """
     keyed = terms if "stem" in terms.columns else terms.withColumn("stem", F.col("term"))
     words = keyed.select("stem", "term").distinct()
     stats = idx.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
     n_docs, avg_len = stats.first()
-    post = idx.select("doc_id", "len", F.explode("tokens").alias("term")).join(F.broadcast(words), "term").groupBy("doc_id", "len", "stem").agg(F.count(F.lit(1)).alias("tf"))
+    post = idx.select("doc_id", "len", F.explode("tokens").alias("term")).join(small(words), "term").groupBy("doc_id", "len", "stem").agg(F.count(F.lit(1)).alias("tf"))
     df = post.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
     idf = F.greatest(F.log((F.lit(n_docs) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg_len or 1.0)))
-    scored = post.join(F.broadcast(df), "stem").select("doc_id", "stem", part.alias("part"))  # one row per query word
+    scored = post.join(df, "stem").select("doc_id", "stem", part.alias("part"))
     asked = keyed.select("query_id", "stem").distinct()
-    summed = scored.join(F.broadcast(asked), "stem").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    summed = scored.join(small(asked), "stem").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
     ranked = summed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     return ranked.where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("bigint"))
 

@@ -48,22 +48,27 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: str, salts: int = 8, how: str = "inner") -> DataFrame:
-    """Join big with small (unique on keys) so that one hot key spreads over `salts` tasks.
+def salted_join(big: DataFrame, few: DataFrame, keys: list[str], spread_by: str, salts: int = 8, how: str = "inner") -> DataFrame:
+    """Join big with few (unique on keys) so that one hot key spreads over `salts` tasks.
 
-    Every row of small is repeated once per salt; a row of big goes to the salt its
+    Every row of few is repeated once per salt; a row of big goes to the salt its
     spread_by column hashes to, so each row still meets its match exactly once.
     """
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def join_checked(big: DataFrame, small: DataFrame, keys: list[str], spread_by: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast small if it has at most `limit` rows (counted now), else join with salts."""
-    if small.limit(limit + 1).count() <= limit:
-        return big.join(F.broadcast(small), keys, how)
-    return salted_join(big, small, keys, spread_by, how=how)
+def join_checked(big: DataFrame, few: DataFrame, keys: list[str], spread_by: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast few if it has at most `limit` rows (counted now), else join with salts."""
+    if few.limit(limit + 1).count() <= limit:
+        return big.join(F.broadcast(few), keys, how)
+    return salted_join(big, few, keys, spread_by, how=how)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it has at most `limit` rows (counted now), else as it is."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

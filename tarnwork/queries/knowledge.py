@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions import text
 from tarnwork.operators import assay as ops
 from tarnwork.operators import backlog, beliefs, evaluation, eventlog, feedback, fts, training, verify
-from tarnwork.plans.shaping import table
+from tarnwork.plans.shaping import small, table
 from tarnwork.queries import assay
 from tarnwork.queries.log import HITS, PAYLOAD
 from tarnwork.queries.retrieval import COMMIT_HITS, NEAR, _commit_hits, _nearest
@@ -99,7 +99,7 @@ def _questions(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     toks = F.col("tokens")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - 4, F.lit(1))), lambda i: key(F.slice(toks, i, 5)))
     laid = idx.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(grams)).alias("gram"))
-    return q, retrieved, laid.join(F.broadcast(start), "gram").select("query_id", "doc").distinct()
+    return q, retrieved, laid.join(small(start), "gram").select("query_id", "doc").distinct()
 
 
 def query_scores(spark, d):
