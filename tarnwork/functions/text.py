@@ -18,7 +18,24 @@ STOP_WORDS = (
 ENTRY_POINTS = ["main.rs", "lib.rs", "mod.rs", "index.ts", "index.js", "index.tsx", "index.jsx", "__init__.py", "__main__.py", "main.go", "main.py", "app.py", "app.ts", "app.js"]
 
 # File extensions and the languages they belong to.
-LANGUAGES = {"rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "sol": "solidity", "cairo": "cairo"}
+LANGUAGES = {
+    "rs": "rust", "go": "go", "py": "python", "js": "javascript", "mjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "sol": "solidity", "cairo": "cairo",
+    "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp",
+}
+
+# Extensions of source code, as opposed to documents and configuration.
+SOURCE_EXTENSIONS = ["rs", "py", "ts", "tsx", "js", "jsx", "go", "c", "cpp", "h", "java", "rb", "sh", "sql", "swift", "kt", "zig"]
+
+# Words of belief ids that carry no meaning.
+BELIEF_STOP_WORDS = (
+    "is the a an in on of for to and or not no over vs with from by be at as do if its own first early often before after always never every many requires needs"
+).split()
+
+# What the extension of a file stands for in its description.
+FILE_TYPES = {
+    "rs": "Rust source", "ts": "TypeScript source", "js": "JavaScript source", "py": "Python source", "go": "Go source", "md": "Markdown document", "yaml": "YAML config", "yml": "YAML config", "toml": "TOML config",
+    "json": "JSON data", "sh": "Shell script",
+}
 
 # Weights of the five sources by intent (semantic, lexical, temporal, persona, belief).
 INTENT_WEIGHTS = {
@@ -185,7 +202,11 @@ def classify_work(commits: Column, patterns: Column, files: Column) -> Column:
 
 
 def belief_keywords(belief_id: Column) -> Column:
-    return F.filter(F.split(F.lower(belief_id), "-"), lambda w: (F.length(w) >= 3) & ~w.isin(STOP_WORDS))
+    return F.filter(F.split(F.lower(belief_id), "-"), lambda w: (F.length(w) >= 3) & ~w.isin(BELIEF_STOP_WORDS))
+
+
+def is_source_code(path: Column) -> Column:
+    return path.rlike(r"\.(" + "|".join(SOURCE_EXTENSIONS) + ")$")
 
 
 def expectation_met(value: Column, expect: Column) -> Column:
@@ -215,7 +236,7 @@ def remote_parts(url: Column) -> dict[str, Column]:
     """host, owner, repo and kind of forge of an ssh or https remote."""
     pattern = r"^(?:https?://|ssh://)?(?:[^@/]+@)?([^/:]+)[:/]([^/]+)/([^/]+?)(?:\.git)?/?$"
     host = F.regexp_extract(url, pattern, 1)
-    kind = F.when(host == "", "none").when(host == "github.com", "github").when(host.rlike("gitea|codeberg"), "gitea").otherwise("none")
+    kind = F.when(host == "", "none").when(host.contains("github.com"), "github").when(host.rlike(r"codeberg\.org|gitea\.|forgejo\."), "gitea").otherwise("none")
     return {"host": host, "owner": F.regexp_extract(url, pattern, 2), "repo": F.regexp_extract(url, pattern, 3), "forge": kind}
 
 
@@ -238,20 +259,36 @@ def complexity(source: Column) -> Column:
     return (1 + F.regexp_count(source, F.lit(r"\b(?:if|elif|switch|for|while|case|match)\b"))).cast("bigint")
 
 
-def belief_health(statement: Column, evidence_count: Column, evidence_verified: Column, uses: Column) -> Column:
-    """A belief's text with its health tag."""
-    return F.concat(statement, F.when(evidence_count == 0, " [WEAK]").when(evidence_verified == 0, " [UNVERIFIED]").when(uses == 0, " [UNUSED]").otherwise(""))
+def belief_text(statement: Column, entrenchment: Column, file_path: Column, evidence_count: Column, evidence_verified: Column, applied_in: Column) -> Column:
+    """A belief as it is shown: statement, entrenchment, file, and how it is supported."""
+    support = F.concat(F.lit("evidence: "), evidence_count.cast("string"), F.lit("/"), evidence_verified.cast("string"), F.when(applied_in > 0, F.concat(F.lit(", "), applied_in.cast("string"), F.lit(" applied"))).otherwise(""))
+    return F.concat(statement, F.lit(" ("), F.coalesce(entrenchment, F.lit("?")), F.lit(", "), file_path, F.lit(") ["), support, F.lit("]"))
+
+
+def belief_line(statement: Column, entrenchment: Column, file_path: Column, evidence_count: Column, evidence_verified: Column, applied_in: Column, by_beliefs: Column, by_sessions: Column, defeated: Column) -> Column:
+    """A belief with its use and truth metrics and a tag if it is weak or unverified."""
+    s = lambda c: c.cast("string")
+    metrics = F.concat_ws(
+        " | ", F.concat(F.lit("use: "), s(by_beliefs), F.lit("+"), s(by_sessions)), F.concat(F.lit("truth: "), s(evidence_count), F.lit("/"), s(evidence_verified)),
+        F.when(defeated > 0, F.concat(s(defeated), F.lit(" defeated"))), F.when(applied_in > 0, F.concat(s(applied_in), F.lit(" applied"))),
+    )
+    weak = (evidence_count == 0) & (by_beliefs + by_sessions <= 1)
+    tag = F.when(weak, " WEAK").when((evidence_verified == 0) & (evidence_count > 0), " UNVERIFIED").otherwise("")
+    return F.concat(statement, F.lit(" ["), metrics, tag, F.lit("] ("), F.coalesce(entrenchment, F.lit("?")), F.lit(", "), file_path, F.lit(")"))
 
 
 def function_text(name: Column, file: Column, params: Column, returns: Column, is_async: Column, is_public: Column) -> Column:
     """The sentence under which a function is embedded."""
-    head = F.concat(F.lit("Function `"), name, F.lit("` in `"), file, F.lit("`"))
-    return F.concat_ws(", ", head, F.when(F.coalesce(is_public, F.lit(False)), "public"), F.when(F.coalesce(is_async, F.lit(False)), "async"), F.when(F.coalesce(params, F.lit("")) != "", F.concat(F.lit("params: "), params)), F.when(returns.isNotNull(), F.concat(F.lit("returns: "), returns)))
+    head = F.concat(F.lit("Function `"), name, F.lit("` in file `"), file, F.lit("`"))
+    return F.concat_ws(", ", head, F.when(F.coalesce(is_public, F.lit(False)), "public"), F.when(F.coalesce(is_async, F.lit(False)), "async"), F.when(F.coalesce(params, F.lit("")) != "", F.concat(F.lit("parameters: "), params)), F.when(F.coalesce(returns, F.lit("")) != "", F.concat(F.lit("returns: "), returns)))
 
 
 def file_text(path: Column) -> Column:
-    """Words of a path, for embedding files by name."""
-    return F.trim(F.regexp_replace(F.regexp_replace(path, r"\.[^./]+$", ""), r"[/_.\-]+", " "))
+    """The sentence under which a file is embedded."""
+    ext, kind = F.regexp_extract(path, r"\.([^.]*)$", 1), F.lit("file")
+    for x, name in FILE_TYPES.items():
+        kind = F.when(ext == x, name).otherwise(kind)
+    return F.concat(F.lit("File: "), path, F.lit(" ("), kind, F.lit(")"))
 
 
 def commit_text(sha: Column, message: Column, author: Column) -> Column:

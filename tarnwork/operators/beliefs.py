@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.functions.text import belief_keywords
-from tarnwork.operators.assay import SOURCE_SUFFIX
+from tarnwork.functions.text import belief_keywords, is_source_code
 
 #: Columns to sort an audit by, largest first.
 SORTS = {
@@ -64,7 +63,7 @@ def grounding(neighbours: DataFrame, commit_files: DataFrame, functions: DataFra
     neighbours: (belief_id, sha, score), the commits near each belief.
     """
     near = neighbours.where(F.col("score") >= least)
-    files = near.join(commit_files.where(F.col("file_path").rlike(SOURCE_SUFFIX)).select("sha", "file_path").distinct(), "sha")
+    files = near.join(commit_files.where(is_source_code(F.col("file_path"))).select("sha", "file_path").distinct(), "sha")
     reached = files.groupBy("belief_id", "file_path").agg(F.max("score").alias("reach_score"), F.count_distinct("sha").alias("commit_count"))
     counts = functions.groupBy(F.col("file").alias("file_path")).agg(F.count(F.lit(1)).alias("function_count"))
     return reached.join(counts, "file_path", "left").withColumn("function_count", F.coalesce("function_count", F.lit(0)))

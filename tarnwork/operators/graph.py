@@ -10,7 +10,7 @@ from tarnwork.operators.eventlog import upsert
 # How much more a result of a related project counts, by relation.
 RELATION_WEIGHTS = {"TestsWith": 1.2, "LearnsFrom": 1.1, "Uses": 1.1}
 # Words of a query that call for routing by domain.
-DOMAIN_HINTS = ["cairo", "starknet", "solidity", "ethereum", "rust", "python", "typescript", "react", "game", "bevy", "dojo", "cli", "tui", "wasm", "llm", "mcp", "database"]
+DOMAIN_HINTS = ["cairo", "rust", "typescript", "javascript", "python", "go", "java", "c++", "cpp", "solidity", "prolog", "dojo", "starknet", "mcp", "ecs", "vector", "embedding"]
 ALPHA, LEAST_USES, LOW, HIGH = 0.1, 5, 0.5, 2.0
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # How much more a triplet of a commit of each kind weighs.
-MOMENT_WEIGHTS = {"genesis": 3.0, "big_bang": 2.0, "breaking": 1.5, "migration": 1.5, "rewrite": 1.5, "major": 1.2}
+MOMENT_WEIGHTS = {"breaking": 3.0, "big_bang": 2.0, "migration": 1.5, "rewrite": 1.2}
 #: Buckets in which a negative is looked for next to its anchor's own.
 BUCKETS = 64
 

@@ -31,9 +31,9 @@ class Command:
 COMMANDS = {
     "callers": Command("call_graph", ("callee",), ("caller", "callee", "file", "call_type")),
     "callees": Command("call_graph", ("caller",), ("caller", "callee", "file", "call_type")),
-    "functions": Command("function_facts", ("name", "file"), ("name", "file")),
-    "imports": Command("import_facts", ("file",), ("file", "import_path")),
-    "importers": Command("import_facts", ("import_path",), ("file", "import_path")),
+    "functions": Command("function_facts", ("name", "file"), ("file", "name", "is_public", "is_async", "return_type")),
+    "imports": Command("import_facts", ("file",), ("import_path", "import_kind")),
+    "importers": Command("import_facts", ("import_path",), ("file",)),
 }
 SUMMARY_FIELDS = ("total_commits", "genesis", "big_bang", "major", "breaking", "migration", "rewrite")
 

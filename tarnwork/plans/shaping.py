@@ -71,5 +71,10 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def anti_checked(big: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of big without match in few, which is broadcast if it is small (counted now)."""
+    return big.join(small(few.select(*keys).distinct()), keys, "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

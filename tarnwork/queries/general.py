@@ -81,12 +81,8 @@ def _references(spark: SparkSession, d: str) -> list[orphans.Reference]:
     return found
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.direct_orphans(_references(spark, d)).select("tbl", "record_id", "ref", "period")
-
-
-def p6_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Direct and inherited orphans per table, target and month: references to orphaned issues and pull requests inherit."""
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Direct orphans and the references that inherit: those to orphaned issues and pull requests."""
     refs = _references(spark, d)
     direct = orphans.direct_orphans(refs)
     edges = None
@@ -94,7 +90,16 @@ def p6_cascade(spark: SparkSession, d: str) -> DataFrame:
         keys = table(spark, d, t).select(F.regexp_extract("url", r"^\s*https?://[^/]+/([^/]+/[^/?#]+)", 1).alias("repo"), F.col("number").alias("ref_number"))
         e = refs[2].rows.join(keys.distinct(), ["repo", "ref_number"]).select(F.lit("forge_refs").alias("tbl"), "record_id", "ref", "period", F.lit(t).alias("up_tbl"), F.col("ref").alias("up_id"))
         edges = e if edges is None else edges.unionByName(e)
-    return orphans.cascade(direct, edges).groupBy("tbl", "target", "period", "kind").agg(F.count(F.lit(1)).alias("n_refs"))
+    return orphans.cascade(direct, edges)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _orphans(spark, d).where("kind = 'direct'").select("tbl", "record_id", "ref", "period").distinct()
+
+
+def p6_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Direct and inherited orphans per table, target and month."""
+    return _orphans(spark, d).groupBy("tbl", "target", "period", "kind").agg(F.count(F.lit(1)).alias("n_refs"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_dialects, p2_found, p2_sources, p5_found, p5_files, p6_found, p6_cascade)}

@@ -281,7 +281,7 @@ SQL = {
         from g join cf using (sha) left join fc using (file_path) group by 1, 2""",
     "grounding_by_label": f"with {NEAR} select query_id as belief_id, vec_id as doc_id, round(score, 6) as score, label::bigint as family, row_number() over (partition by query_id, label order by score desc, vec_id) as rn from nk where rank <= 22 qualify rn <= 3",
     "lexical_grounding": f"""with {assay.FUNCTIONS}, {BELIEFS}, l as (select id from b where id not in (select lower(trim(belief_id)) from belief_code_reach where belief_id is not null)),
-        w as (select distinct id as belief_id, word from (select id, unnest(string_split(lower(id), '-')) as word from l) where length(word) >= 3 and word not in ({", ".join(f"'{x}'" for x in text.STOP_WORDS)})),
+        w as (select distinct id as belief_id, word from (select id, unnest(string_split(lower(id), '-')) as word from l) where length(word) >= 3 and word not in ({", ".join(f"'{x}'" for x in text.BELIEF_STOP_WORDS)})),
         n as (select distinct file, name, unnest(list_distinct(string_split(lower(name), '_'))) as word from fn), m as (select belief_id, file as file_path, count(distinct word) as n_words from w join n using (word) group by 1, 2)
         select * from m qualify row_number() over (partition by belief_id order by n_words desc, file_path) <= 5""",
     "query_scores": f"with {QUESTIONS}, {SCORES} select * from sc",

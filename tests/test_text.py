@@ -53,7 +53,13 @@ def test_small_functions(spark):
     assert one(spark, T.snippet(q, F.lit("git.commit")), q="a\nb") == "a\nb"
     assert one(spark, T.document_title(q), q="---\nid: x\n---\n# Name \ntext") == "Name"
     assert one(spark, T.document_summary(q), q="---\nid: x\n---\n# Name\nSome  text\n") == "Some text"
-    assert one(spark, T.belief_keywords(q), q="the-cold-ab-index") == ["cold", "index"]
+    assert one(spark, T.belief_keywords(q), q="the-cold-ab-index-never") == ["cold", "index"]
+    assert one(spark, T.file_text(q), q="a/b.md") == "File: a/b.md (Markdown document)"
+    assert one(spark, T.function_text(q, F.lit("f.rs"), F.lit("a, b"), F.lit(None), F.lit(True), F.lit(False)), q="g") == "Function `g` in file `f.rs`, async, parameters: a, b"
+    assert one(spark, T.belief_text(q, F.lit("high"), F.lit("b.md"), F.lit(3), F.lit(1), F.lit(2)), q="S") == "S (high, b.md) [evidence: 3/1, 2 applied]"
+    line = lambda *n: one(spark, T.belief_line(q, F.lit("high"), F.lit("b.md"), *map(F.lit, n)), q="S")
+    assert line(0, 0, 0, 1, 0, 0) == "S [use: 1+0 | truth: 0/0 WEAK] (high, b.md)"
+    assert line(2, 0, 1, 1, 4, 3) == "S [use: 1+4 | truth: 2/0 | 3 defeated | 1 applied UNVERIFIED] (high, b.md)"
     assert [one(spark, T.change_type(F.col("a"), F.col("b")), a=x, b=y) for x, y in ((1, 0), (0, 1), (1, 1), (0, 0))] == ["added", "deleted", "modified", "modified"]
     assert [one(spark, T.activity(F.col("a"), F.col("b")), a=a, b=b) for a, b in ((0, 1), (1, 7), (1, 30), (1, 90), (1, 91))] == ["dormant", "high", "medium", "low", "dormant"]
     assert one(spark, T.query_id(F.timestamp_seconds(F.col("a")), F.lit("s")), a=0).startswith("q_19700101_000000_")
