@@ -46,6 +46,8 @@ ALPHABETS = {"labels": " /:&+-'.", "words": "-", "numbers": ""}
 
 #: A character outside the alphabet must cost more than the escapes of two values never seen before.
 _CHAR_BITS, _ALIEN_BITS, _DIALECT_BITS, _SMOOTH = 6.5, 80.0, 1.0, 4.0
+#: Characters beyond these cost nothing in the model, which keeps its probabilities above 0.
+_MODEL_CHARS = 120
 
 
 def _blank(c: str) -> bool:
@@ -75,6 +77,10 @@ def _unquote(text: str, at: int) -> tuple[str, int] | None:
                 out.append(q)
                 i += 2
                 continue
+            if q == "'" and i > at + 1 and text[i - 1].isalnum() and i + 1 < n and text[i + 1].isalnum():
+                out.append(c)  # an apostrophe within a word
+                i += 1
+                continue
             return "".join(out), i + 1
         out.append(c)
         i += 1
@@ -140,7 +146,7 @@ def _structured(text: str) -> list[tuple[str, bool]] | None:
 
 
 def parses(text: str, kind: str) -> list[tuple[str, float, list[str]]]:
-    """Every distinct parse: dialect, bits that don't depend on the code book, values."""
+    """Every distinct parse that can be the cheapest: dialect, bits that don't depend on the code book, values."""
     text = text.strip(" \t\r\n ﻿　")
     inner, wrapped = text, False
     if len(text) > 1 and CLOSERS.get(text[0]) == text[-1]:
@@ -169,7 +175,9 @@ def parses(text: str, kind: str) -> list[tuple[str, float, list[str]]]:
         if (key := tuple(values)) not in seen:
             seen.add(key)
             found.append((name, bits, values))
-    return found
+    # no code is longer than this for up to 2**40 values, so parses beyond the least such sum can't win
+    most = min(bits + sum(_CHAR_BITS * min(len(v), _MODEL_CHARS) + 42 for v in values) for _, bits, values in found)
+    return [p for p in found if p[1] <= most]
 
 
 _CANDIDATES = "field string, text string, cands array<struct<dialect:string,bits:double,vals:array<string>>>"
@@ -190,7 +198,7 @@ def _codes(values: DataFrame) -> DataFrame:
     """(field, value) -> bits: share among the field's values, smoothed by a character model."""
     counts = values.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("field").agg(F.sum("n").alias("total"))
-    unseen = F.pow(F.lit(2.0), -_CHAR_BITS * F.least(F.length("value"), F.lit(120)) - 2)
+    unseen = F.pow(F.lit(2.0), -_CHAR_BITS * F.least(F.length("value"), F.lit(_MODEL_CHARS)) - 2)
     # one total a field: as many rows as there are fields
     return counts.join(F.broadcast(totals), "field").select("field", "value", (-F.log2((F.col("n") - 1 + _SMOOTH * unseen) / (F.col("total") + _SMOOTH))).alias("code"))
 
