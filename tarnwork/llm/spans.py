@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.plans.shaping import salted_join, written
+from tarnwork.plans.shaping import anti_checked, salted_join, written
 
 LEAST, K = 300, 200
 
@@ -158,10 +158,12 @@ def repeated_paths(documents: DataFrame, classes: DataFrame, least: int = LEAST,
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, places, hashes)], schema=_KMERS)
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where((F.length("text") >= least) & F.col("doc_id").isNotNull())
-    reps = classes.where("doc_id = rep").select("doc_id")
-    kept = written(texts.mapInArrow(sample, "doc_id bigint, pos int, h bigint").join(reps, "doc_id", "left_semi").distinct())
-    several = kept.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b").select("h", "n")
-    nodes = written(salted_join(kept, several, ["h"], "pos"))
+    copies = classes.where("doc_id != rep").select("doc_id")
+    kept = written(anti_checked(texts.mapInArrow(sample, "doc_id bigint, pos int, h bigint"), copies, ["doc_id"]))
+    several = kept.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("h")
+    # repeated rows of a record are dropped here, where few k-mers are left
+    found = written(salted_join(kept, several, ["h"], "pos").distinct())
+    nodes = written(salted_join(found, found.groupBy("h").agg(F.count(F.lit(1)).alias("n")), ["h"], "pos"))
     in_text = Window.partitionBy("doc_id").orderBy("pos")
     linked = nodes.withColumns({"next": F.lead("h").over(in_text), "gap": F.lead("pos").over(in_text) - F.col("pos"), "next_n": F.lead("n").over(in_text)})
     # k-mers that overlap fix every character between them
