@@ -31,8 +31,9 @@ N = 13
 BROADCAST_GRAMS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
-#: Format characters (category Cf), as they only differ from version to version of Unicode.
-_FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf") + "]")
+#: Format characters (category Cf).
+_FORMATS = frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf")
+_WITHOUT_FORMATS = str.maketrans(dict.fromkeys(_FORMATS))
 
 
 def words(text: str | None) -> list[str]:
@@ -40,11 +41,13 @@ def words(text: str | None) -> list[str]:
         return []
     if "&" in text:
         text = html.unescape(text)
-    if not text.isascii():
-        text = _FORMAT.sub("", unicodedata.normalize("NFKC", text))
-        text = unicodedata.normalize("NFKC", text.casefold())
-        return _WORD.findall(_FORMAT.sub("", text))
-    return _WORD.findall(text.lower())
+    if text.isascii():
+        return _WORD.findall(text.lower())
+    return _WORD.findall(_visible(unicodedata.normalize("NFKC", _visible(unicodedata.normalize("NFKC", text)).casefold())))
+
+
+def _visible(text: str) -> str:
+    return text if _FORMATS.isdisjoint(text) else text.translate(_WITHOUT_FORMATS)
 
 
 def spans(text: str | None) -> list[tuple[int, int]]:
@@ -65,7 +68,7 @@ def grams_of(text: str | None, n: int) -> set[tuple[str, ...]]:
 
 
 class GramSet:
-    """n-grams -> items, with one table per length and the first words as a filter."""
+    """n-grams -> items, with one table per length and the first two words as a filter."""
 
     def __init__(self, items: list[tuple[int, str]], n: int):
         self.tables: dict[int, dict[tuple[str, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
@@ -73,16 +76,23 @@ class GramSet:
             for g in grams_of(text, n):
                 self.tables[len(g)][g].append(item)
         self.tables = {k: dict(t) for k, t in self.tables.items()}
-        self.firsts = {k: {g[0] for g in t} for k, t in self.tables.items()}
+        #: first word -> second words (None for a window of one word), a filter before windows are made
+        self.starts: dict[str, set[str | None]] = defaultdict(set)
+        for t in self.tables.values():
+            for g in t:
+                self.starts[g[0]].add(g[1] if len(g) > 1 else None)
+        self.starts = dict(self.starts)
 
     def hits(self, w: list[str]) -> Iterator[tuple[int, int, int]]:
         """(item, first word, words) of each window that is an item's n-gram."""
-        for k, grams in self.tables.items():
-            firsts = self.firsts[k]
-            for i in range(len(w) - k + 1):
-                if w[i] in firsts and (found := grams.get(tuple(w[i : i + k]))):
-                    for item in found:
-                        yield item, i, k
+        starts, n = self.starts, len(w)
+        for i, first in enumerate(w):
+            seconds = starts.get(first)
+            if seconds is None or not (None in seconds or (i + 1 < n and w[i + 1] in seconds)):
+                continue
+            for k, grams in self.tables.items():
+                for item in grams.get(tuple(w[i : i + k]), ()) if i + k <= n else ():
+                    yield item, i, k
 
 
 def _batches(df: DataFrame, key: str, text: str, schema: str, arrow: pa.Schema, rows_of) -> DataFrame:
