@@ -85,7 +85,32 @@ def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p7_found, p7_cleaned, p8_found, p8_shares, p9_found, p9_coverage)}
 
+#: Every stretch of 300 characters of every document.
+_GRAMS = """d as (select distinct doc_id, text from documents where doc_id is not null and text is not null),
+             g as (select doc_id, i as start, md5(substr(text, i, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from d where length(text) >= 300))"""
+_LONG_TEXTS = """e as (select seq, case when json_valid(data) then data end as j from eventlog),
+             t as (select distinct 'forge_issues' as tbl, number::varchar as record_id, body as text from forge_issues where number is not null
+                   union select 'eventlog', seq::varchar, coalesce(json_extract_string(j, '$.content'), json_extract_string(j, '$.body')) from e where seq is not null),
+             l as (select * from t where length(text) > 2000)"""
+# sentence ends become line ends of their own, as the dialect has no look-behind
+_STRETCHES = """list_max(list_transform(string_split_regex({0}, '{1}'), lambda x: length(x))) <= 2000"""
+_SENTENCES = r"regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '([。！？])', '\1' || chr(10), 'g')"
+_CJK = r"regexp_replace(text, '([。！？])', '\1' || chr(10), 'g')"
+
 SQL = {
+    "p3_found": rf"""
+        with {_LONG_TEXTS}
+        select tbl, record_id, case when {_STRETCHES.format('text', r'\r?\n(?:[ \t\r\f\v]*\n)+')} then 'paragraph' when {_STRETCHES.format('text', r'\r?\n')} then 'line'
+               when {_STRETCHES.format(_SENTENCES, r'\r?\n')} then 'sentence' when {_STRETCHES.format(_CJK, r'\s+')} then 'word' else 'none' end as need from l""",
+    "p9_found": f"""
+        with {_GRAMS}, s as (select h from g group by h having min(doc_id) <> max(doc_id)), k as (select distinct doc_id, h from g join s using (h))
+        select distinct a.doc_id as doc_a, b.doc_id as doc_b from k a join k b on a.h = b.h and a.doc_id < b.doc_id""",
+    "p9_coverage": f"""
+        with {_GRAMS}, s as (select h from g group by h having min(doc_id) <> max(doc_id)), k as (select distinct doc_id, start from g join s using (h)),
+             f as (select doc_id, least(300, start - coalesce(lag(start) over (partition by doc_id order by start), -300)) as fresh from k), c as (select doc_id, sum(fresh)::bigint as part from f group by 1),
+             n as (select text, count(*) as copies from d where length(text) >= 300 group by 1),
+             r as (select doc_id, length(text) as n_chars, coalesce(part, 0)::bigint as shared_chars, coalesce(copies, 1) as copies from d left join c using (doc_id) left join n using (text))
+        select doc_id, n_chars, shared_chars, round(case when n_chars = 0 then 0 else shared_chars / n_chars end, 6) as share, copies from r""",
     "p4_found": """
         with cf as (select distinct sha, file_path from commit_files where sha is not null and file_path is not null),
              keep as (select sha from cf group by sha having count(*) <= 50),

@@ -230,7 +230,7 @@ def coverage(documents: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
     in_text = Window.partitionBy("doc_id").orderBy("start", "stop")
     before = F.coalesce(F.max("stop").over(in_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fresh = held.withColumn("fresh", F.greatest(F.col("stop") - F.greatest("start", before), F.lit(0))).groupBy(F.col("doc_id").alias("rep")).agg(F.sum("fresh").alias("part"))
-    all_rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").alias("n_chars")).where("doc_id is not null and n_chars is not null").distinct()
+    all_rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("n_chars")).where("doc_id is not null and n_chars is not null").distinct()
     joined = all_rows.join(classes, "doc_id", "left").join(sizes, "rep", "left").join(fresh, "rep", "left")
     shared = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("part", F.lit(0)))
     return joined.select("doc_id", "n_chars", shared.cast("bigint").alias("shared_chars"), F.round(F.coalesce(F.try_divide(shared, F.col("n_chars")), F.lit(0.0)), 6).alias("share"), F.coalesce("copies", F.lit(1)).alias("copies"))
