@@ -300,6 +300,11 @@ SQL = {
         select count(*) as n, round(avg(rr), 6) as mrr, round(avg(recall_10), 6) as hit_rate from sc""",
     "belief_co_retrieval": f"""with {BELIEFS}, rc as (select distinct lower(trim(belief_id)) as id, file_path from belief_code_reach where belief_id is not null), w as (select id, regexp_extract_all(lower(statement), '[a-z0-9]+') as ws from b where statement is not null)
         select id, count(*) as n_files, count(*) filter (list_has_any(regexp_extract_all(lower(file_path), '[a-z0-9]+'), ws)) as n_found from rc join (select id from b) using (id) left join w using (id) group by 1""",
+    "ablation": f"""with i as (select distinct on (number) number::varchar as id, title, body from forge_issues where body is not null order by number),
+        qs as (select id as query_id, array_to_string(list_slice(regexp_extract_all(lower(body), '[a-z0-9]+'), 1, 6), ' ') as query from i where len(regexp_extract_all(lower(body), '[a-z0-9]+')) > 0),
+        d1 as (select id as doc_id, concat_ws(' ', title, body) as body from i), d2 as (select id as doc_id, body from i), {_bm25_sql('d1', 's', 10, 'qs')}, {_bm25_sql('d2', 't', 10, 'qs')},
+        r as (select qs.query_id, round(coalesce(1.0::double / s.rank, 0), 6) as a, round(coalesce(1.0::double / t.rank, 0), 6) as b from qs left join s on s.query_id = qs.query_id and s.doc_id = qs.query_id left join t on t.query_id = qs.query_id and t.doc_id = qs.query_id)
+        select round(avg(a), 6) as mrr_with, round(avg(b), 6) as mrr_without, round(avg(a - b), 6) as gain, case when avg(a - b) < -0.05 then 'harmful' when avg(a - b) > 0.05 then 'helpful' else 'neutral' end as verdict from r""",
     "ref_backlog_counts": "select repo, count(*) as total, count(resolved) as resolved, count(error) as failed, count(*) filter (resolved is null and error is null) as pending from (select distinct * from forge_refs) group by 1",
     "refs_pending": "select repo, ref_number, discovered from (select distinct * from forge_refs) where resolved is null and error is null order by discovered desc, repo, ref_number limit 50",
     "refs_discovered": f"""with {PAYLOAD}, r as (select seq, json_extract_string(p, '$.sha') as sha, try_cast(json_extract_string(p, '$.parsed.pr_ref') as bigint) as n from pl where event_type = 'git.commit')
