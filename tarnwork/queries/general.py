@@ -103,4 +103,19 @@ def p6_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_dialects, p2_found, p2_sources, p5_found, p5_files, p6_found, p6_cascade)}
-SQL: dict[str, str] = {}
+_NAMES = ", ".join(f"'{x}'" for x in nested.REPEATED)
+
+SQL = {
+    "p5_found": f"""
+        with recursive dec as (select distinct seq, data from eventlog where seq is not null and json_valid(data)),
+         w(seq, v, path, pos, state) as (
+           select seq, case when json_type(data) = 'VARCHAR' and json_valid(json_extract_string(data, '$')) then json_extract_string(data, '$') else data end, '', '', '' from dec
+           union all
+           select seq, case when c.type = 'VARCHAR' and json_valid(json_extract_string(c.value, '$')) and json_type(json_extract_string(c.value, '$')) in ('OBJECT', 'ARRAY') then json_extract_string(c.value, '$') else c.value::varchar end,
+             case when t = 'OBJECT' and c.key in ({_NAMES}) then case when x.path = '' then c.key else x.path || '.' || c.key end else x.path end,
+             case when t = 'ARRAY' then case when p = '' then c.key else p || '.' || c.key end else p end,
+             case when t = 'OBJECT' then case when c.key in ({_NAMES}) then 'open' else '' end when state = '' then '' else 'item' end
+           from (select *, json_type(v) as t, case when state = 'open' and json_type(v) = 'OBJECT' then case when pos = '' then '0' else pos || '.0' end else pos end as p from w where json_type(v) in ('OBJECT', 'ARRAY')) x, json_each(x.v) c
+           where c.type in ('OBJECT', 'ARRAY') or (c.type = 'VARCHAR' and json_valid(json_extract_string(c.value, '$')) and json_type(json_extract_string(c.value, '$')) in ('OBJECT', 'ARRAY')))
+        select distinct seq, path, case when state = 'open' then case when pos = '' then '0' else pos || '.0' end else pos end as pos from w where state <> '' and json_type(v) = 'OBJECT'""",
+}
