@@ -5,8 +5,8 @@ case folded, format characters removed, runs of letters and digits). All n-word
 an item (the whole item if it is shorter) form a set; each document's windows are looked
 up in it, and a hit is verified word by word, as the set's keys are the words themselves.
 The set is broadcast only when its number of n-grams, counted first, is within
-`broadcast_grams`; beyond that the windows' hashes are joined by shuffle and the words of
-the hits compared.
+`broadcast_grams`; beyond that windows and n-grams are joined by 128-bit digests of their
+words.
 
 Results for edge cases: NULL texts, and items without any word, match nothing; very long
 texts are read whole; repeated rows of documents or items count once; empty tables give an
@@ -15,6 +15,7 @@ empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import sys
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.plans.shaping import salted_join
+
 N = 13
 #: An item's n-grams number at most its words; this many take about 200 MB in each worker.
 BROADCAST_GRAMS = 1_000_000
@@ -109,69 +112,99 @@ def _batches(df: DataFrame, key: str, text: str, schema: str, arrow: pa.Schema,
 
 
 _HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
-_GRAMS = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("gram", pa.string())])
+_WINDOWS = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+_WINDOW_COLUMNS = "id bigint, pos int, n int, d1 bigint, d2 bigint"
 
 
 def _distinct_items(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
 
 
+def _small_set(items: DataFrame, n: int, broadcast_grams: int) -> GramSet | None:
+    """The set of all n-grams if it is proven to hold at most broadcast_grams."""
+    # an item has no more n-grams than characters, so this bounds the set before it is made
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    if size[0] > 4 * broadcast_grams or size[1] > broadcast_grams:
+        return None
+    grams = GramSet([(r["item_id"], r["text"]) for r in items.toLocalIterator()], n)
+    return grams if sum(map(len, grams.tables.values())) <= broadcast_grams else None
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, n: int = N, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """Distinct (doc_id, item_id): the document holds n consecutive words of the item."""
     items = _distinct_items(items)
-    # an item has no more n-grams than characters, so this bounds the set before it is made
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    if size[0] <= 4 * broadcast_grams and size[1] <= broadcast_grams:
-        grams = GramSet([(r["item_id"], r["text"]) for r in items.toLocalIterator()], n)
-        if sum(map(len, grams.tables.values())) <= broadcast_grams:
-            shared = documents.sparkSession.sparkContext.broadcast(grams)
-            return _batches(documents, "doc_id", "text", "doc_id bigint, item_id bigint", _HITS, lambda k, t: {(k, item) for item, _, _ in shared.value.hits(words(t))}).distinct()
-    return _leaks_by_shuffle(documents, items, n)
-
-
-def _leaks_by_shuffle(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """The same without a broadcast: the items' n-grams and the documents' windows are joined."""
-    ascii_unit = "\x1f"
-    wanted = _batches(items, "item_id", "text", "id bigint, n int, gram string", _GRAMS, lambda k, t: [(k, len(g), ascii_unit.join(g)) for g in grams_of(t, n)])
+    grams = _small_set(items, n, broadcast_grams)
+    if grams is None:
+        return _hit_windows(documents, items, n).select("doc_id", "item_id").distinct()
+    shared = documents.sparkSession.sparkContext.broadcast(grams)
+    return _batches(documents, "doc_id", "text", "doc_id bigint, item_id bigint", _HITS, lambda k, t: {(k, item) for item, _, _ in shared.value.hits(words(t))}).distinct()
+
+
+def _digest(gram: list[str] | tuple[str, ...]) -> tuple[int, int]:
+    d = hashlib.blake2b("\x1f".join(gram).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _hit_windows(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """(doc_id, item_id, pos, n) without a broadcast: windows and n-grams are joined by a
+    128-bit digest of their words; windows many documents share are spread over salts."""
+    wanted = _batches(items, "item_id", "text", _WINDOW_COLUMNS, _WINDOWS, lambda k, t: [(k, 0, len(g), *_digest(g)) for g in grams_of(t, n)])
     lengths = [r["n"] for r in wanted.select("n").distinct().collect()]  # at most n different ones
 
-    def windows(k: int, t: str) -> set[tuple[int, int, str]]:
+    def windows(k: int, t: str) -> Iterator[tuple[int, int, int, int, int]]:
         w = words(t)
-        return {(k, m, ascii_unit.join(w[i : i + m])) for m in lengths for i in range(len(w) - m + 1)}
+        for m in lengths:
+            for i in range(len(w) - m + 1):
+                yield (k, i, m, *_digest(w[i : i + m]))
 
-    have = _batches(documents, "doc_id", "text", "id bigint, n int, gram string", _GRAMS, windows)
-    right = wanted.select(F.col("id").alias("item_id"), F.xxhash64("gram").alias("h"), F.col("gram").alias("g"))
-    left = have.select(F.col("id").alias("doc_id"), F.xxhash64("gram").alias("h"), "gram")
-    return left.join(right, "h").where("gram = g").select("doc_id", "item_id").distinct()
+    have = _batches(documents, "doc_id", "text", _WINDOW_COLUMNS, _WINDOWS, windows).withColumnRenamed("id", "doc_id")
+    return salted_join(have, wanted.select(F.col("id").alias("item_id"), "n", "d1", "d2"), ["n", "d1", "d2"], "doc_id").select("doc_id", "item_id", "pos", "n")
 
 
 _CLEAN = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("removed", pa.int32())])
+_CLEAN_COLUMNS = "doc_id bigint, text string, removed int"
+
 
+def cut(text: str, marks: list[tuple[int, int]]) -> str:
+    """The text without the words from first to last of each mark (first, behind last)."""
+    places = spans(text)
+    if marks and len(places) != len(words(text)):
+        return ""  # words can't be told apart in the source: nothing of it is kept
+    out, at = [], 0
+    for a, b in sorted({(places[i][0], places[j - 1][1]) for i, j in marks}):
+        out.append(text[at : max(at, a)])
+        at = max(at, b)
+    out.append(text[at:])
+    return "".join(out)
 
-def remove_leaks(documents: DataFrame, items: DataFrame, n: int = N, whole: bool = False) -> DataFrame:
+
+def remove_leaks(documents: DataFrame, items: DataFrame, n: int = N, whole: bool = False, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """(doc_id, text, removed): documents with the leaked stretches cut out, or without the
-    documents that have any if `whole`. The items must fit a broadcast (BROADCAST_GRAMS)."""
+    documents that have any if `whole`."""
     items = _distinct_items(items)
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > 4 * BROADCAST_GRAMS:
-        raise ValueError("too many items to cut spans by broadcast; use find_leaks and drop documents")
-    shared = documents.sparkSession.sparkContext.broadcast(GramSet([(r["item_id"], r["text"]) for r in items.toLocalIterator()], n))
-
-    def clean(k: int, t: str) -> list[tuple[int, str, int]]:
-        marks = [(i, i + m) for _, i, m in shared.value.hits(words(t))]
-        if not marks:
-            return [(k, t, 0)]
-        if whole:
-            return []
-        places, w = spans(t), len(words(t))
-        if len(places) != w:  # an entity or a compatibility form reaches over a blank: keep the exact rule, drop the text
-            return [(k, "", len(t))]
-        out, at = [], 0
-        for a, b in sorted({(places[i][0], places[j - 1][1]) for i, j in marks}):
-            out.append(t[at : max(at, a)])
-            at = max(at, b)
-        out.append(t[at:])
-        kept = "".join(out)
-        return [(k, kept, len(t) - len(kept))]
-
-    return _batches(documents, "doc_id", "text", "doc_id bigint, text string, removed int", _CLEAN, clean)
+    grams = _small_set(items, n, broadcast_grams)
+    if grams is not None:
+        shared = documents.sparkSession.sparkContext.broadcast(grams)
+
+        def clean(k: int, t: str) -> list[tuple[int, str, int]]:
+            marks = [(i, i + m) for _, i, m in shared.value.hits(words(t))]
+            if marks and whole:
+                return []
+            kept = cut(t, marks) if marks else t
+            return [(k, kept, len(t) - len(kept))]
+
+        return _batches(documents, "doc_id", "text", _CLEAN_COLUMNS, _CLEAN, clean)
+
+    # a document's marks are at most its words
+    marked = _hit_windows(documents, items, n).groupBy("doc_id").agg(F.collect_set(F.struct("pos", (F.col("pos") + F.col("n")).alias("end"))).alias("marks"))
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null").join(marked, "doc_id", "left")
+    if whole:
+        return texts.where("marks is null").select("doc_id", "text", F.lit(0).alias("removed"))
+
+    def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, source, marks = (batch.column(i).to_pylist() for i in range(3))
+            kept = [cut(t, [(m["pos"], m["end"]) for m in ms]) if ms else t for t, ms in zip(source, marks, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.string()), pa.array([len(a) - len(b) for a, b in zip(source, kept, strict=True)], pa.int32())], schema=_CLEAN)
+
+    return texts.mapInArrow(cut_batches, _CLEAN_COLUMNS)

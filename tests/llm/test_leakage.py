@@ -49,6 +49,8 @@ def test_removal(spark):
     kept = {r["doc_id"]: r for r in remove_leaks(d, i).collect()}
     assert kept[1]["text"] == "Preface.  End" and kept[3]["removed"] == 0 and kept[7]["text"] == DOCS[6][1]
     assert {r["doc_id"] for r in remove_leaks(d, i, whole=True).collect()} == {3, 7}
+    assert rows(remove_leaks(d, i, broadcast_grams=0)) == rows(remove_leaks(d, i))
+    assert rows(remove_leaks(d, i, whole=True, broadcast_grams=0)) == rows(remove_leaks(d, i, whole=True))
     clean = spark.createDataFrame([(k, r["text"], "") for k, r in kept.items()], "doc_id bigint, text string, item_id string")
     assert rows(find_leaks(clean, i)) == []
 
