@@ -19,7 +19,7 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).select(F.col("field").alias("tbl"), "record_id", "pos", "value")
+    return _packed(spark, d).select(F.col("field").alias("tbl"), "record_id", "pos", "value").distinct()
 
 
 def p1_dialects(spark: SparkSession, d: str) -> DataFrame:
