@@ -184,7 +184,7 @@ def shared_stretches(documents: DataFrame, classes: DataFrame, least: int = LEAS
         for batch in batches:
             columns: list[list[np.ndarray]] = [[], [], [], [], []]
             for doc, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys = np.array(path_keys(text, [(r["start"], r["stop"]) for r in runs], least, k, edges), np.int64).reshape(-1, 2)
+                keys = np.array(path_keys(text, [(r["start"], r["stop"]) for r in runs if r["stop"] <= len(text)], least, k, edges), np.int64).reshape(-1, 2)
                 codes = code_points(text)
                 d1, d2 = (Digests(codes, i).of(keys[:, 0], keys[:, 1]).view(np.int64) for i in (0, 1))
                 for c, x in zip(columns, (np.full(len(keys), doc, np.int64), keys[:, 0].astype(np.int32), keys[:, 1].astype(np.int32), d1, d2), strict=True):
@@ -193,7 +193,8 @@ def shared_stretches(documents: DataFrame, classes: DataFrame, least: int = LEAS
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], schema=_KEYS)
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") >= least)
-    # repeated rows of a record lie in one partition after the join, distinct drops them
+    # repeated rows of a record lie in one partition after the join, distinct drops them; of one id
+    # with several texts, a path is compared in those that are long enough for it
     return texts.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(digest, "doc_id bigint, start int, stop int, d1 bigint, d2 bigint").distinct()
 
 
