@@ -5,9 +5,10 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions.text import LANGUAGES
@@ -118,12 +119,43 @@ def parse_sources(files: DataFrame) -> DataFrame:
     return files.select("path", "source").mapInPandas(parse, FACTS)
 
 
-def read_sources(spark: SparkSession, root: str, ignore: tuple[str, ...] = (".git/", "node_modules/", "target/", "__pycache__/")) -> DataFrame:
-    """(path, size, mtime, line_count, source) of the text files of known languages below a folder."""
+def ignore_regex(pattern: str) -> str:
+    """The regex, over paths relative to the root, of one line of an ignore file."""
+    anchored, folder = "/" in pattern.rstrip("/"), pattern.endswith("/")
+    out, body, i = "", pattern.strip("/"), 0
+    while i < len(body):
+        if body.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif body.startswith("**", i):
+            out, i = out + ".*", i + 2
+        else:
+            c = body[i]
+            out += {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c))
+            i += 1
+    return ("^" if anchored else "(?:^|.*/)") + out + ("/.*$" if folder else "(?:/.*)?$")
+
+
+def ignored(path: Column, lines: list[str]) -> Column:
+    """Whether the lines of an ignore file leave a relative path out; a later line overrides, `!` takes back."""
+    out = F.lit(False)
+    for line in (x.rstrip() for x in lines):
+        if line and not line.startswith("#"):
+            back = line.startswith("!")
+            out = F.when(path.rlike(ignore_regex(line[back:])), F.lit(not back)).otherwise(out)
+    return out
+
+
+#: Folders that are never read.
+ALWAYS = [".git/", "node_modules/", "target/", "__pycache__/"]
+
+
+def read_sources(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
+    """(path, size, mtime, line_count, source) of the text files of known languages below a
+    folder, without what `ignore` (by default the root's .gitignore) leaves out."""
+    listed = Path(root, ".gitignore")
+    lines = [*ALWAYS, *((listed.read_text().splitlines() if listed.is_file() else []) if ignore is None else ignore)]
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     wanted = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(list(LANGUAGES))
-    kept = df.where(wanted)
-    for part in ignore:
-        kept = kept.where(~F.contains("path", F.lit("/" + part)))
+    inner = F.regexp_replace("path", "^.*?" + re.escape(root.strip("/")) + "/", "")
     source = F.col("content").cast("string")
-    return kept.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), (F.length(source) - F.length(F.replace(source, F.lit("\n"), F.lit("")))).alias("line_count"), source.alias("source"))
+    return df.where(wanted & ~ignored(inner, lines)).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), (F.length(source) - F.length(F.replace(source, F.lit("\n"), F.lit("")))).alias("line_count"), source.alias("source"))

@@ -52,5 +52,12 @@ def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_of_the_vector_index(spark, sf):
+    d = os.path.join(os.path.dirname(SF), sf)
+    exact, found = ({(r["query_id"], r["vec_id"]) for r in entry.queries()[q](spark, d).collect()} for q in ("knn_cosine", "knn_ann"))
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -98,8 +98,15 @@ def test_read_sources(spark, tmp_path):
     (tmp_path / ".git").mkdir()
     (tmp_path / ".git" / "b.py").write_text("z")
     (tmp_path / "c.bin").write_bytes(b"\x00")
+    (tmp_path / ".gitignore").write_text("# made files\n/gen/\n*_pb2.py\ndeep/**/skip.py\n!keep_pb2.py\n")
+    for name in ("gen/x.py", "sub/gen.py", "a_pb2.py", "sub/keep_pb2.py", "deep/a/b/skip.py", "deep/a/skip.pyx"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("q")
     r = code.read_sources(spark, str(tmp_path)).collect()
-    assert len(r) == 1 and r[0]["line_count"] == 2 and r[0]["size"] == 12
+    assert sorted(x["path"].rsplit(str(tmp_path) + "/", 1)[1] for x in r) == ["a.py", "sub/gen.py", "sub/keep_pb2.py"]
+    a = next(x for x in r if x["path"].endswith("/a.py"))
+    assert a["line_count"] == 2 and a["size"] == 12
+    assert code.read_sources(spark, str(tmp_path), ignore=[]).count() == 6
 
 
 def test_records(spark, tmp_path):
