@@ -206,10 +206,9 @@ def _codes(values: DataFrame) -> DataFrame:
 def _cheapest(cands: DataFrame, codes: DataFrame) -> DataFrame:
     """id -> place of the cheapest parse. A parse without values costs its fixed bits alone."""
     flat = cands.select("id", "field", F.posexplode("cands").alias("k", "c"))
-    each = flat.select("id", "field", "k", F.explode("c.vals").alias("value"))
-    bits = salted_join(each, codes, ["field", "value"], "id").groupBy("id", "k").agg(F.sum(F.col("code") + 1.0).alias("var"))
-    cost = flat.select("id", "k", F.col("c.bits").alias("fixed")).join(bits, ["id", "k"], "left")
-    total = F.round(F.col("fixed") + F.coalesce("var", F.lit(0.0)), 6)
+    each = flat.select("id", "field", "k", F.col("c.bits").alias("fixed"), F.explode_outer("c.vals").alias("value"))
+    cost = salted_join(each, codes, ["field", "value"], "id", how="left").groupBy("id", "k").agg(F.max("fixed").alias("fixed"), F.sum(F.coalesce(F.col("code") + 1.0, F.lit(0.0))).alias("var"))
+    total = F.round(F.col("fixed") + F.col("var"), 6)
     return cost.groupBy("id").agg(F.min(F.struct(total.alias("bits"), F.col("k"))).alias("best")).select("id", "best.k", "best.bits")
 
 
