@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.porter import stem_column
-from tarnwork.plans.shaping import small
+from tarnwork.plans.shaping import BROADCAST_ROWS, small
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -57,13 +57,16 @@ def bm25(idx: DataFrame, terms: DataFrame, limit: int = 10) -> DataFrame:
     """
     keyed = terms if "stem" in terms.columns else terms.withColumn("stem", F.col("term"))
     words = keyed.select("stem", "term").distinct()
+    few = words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    near = F.broadcast if few else lambda df: df
     stats = idx.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
     n_docs, avg_len = stats.first()
-    post = idx.select("doc_id", "len", F.explode("tokens").alias("term")).join(small(words), "term").groupBy("doc_id", "len", "stem").agg(F.count(F.lit(1)).alias("tf"))
+    post = idx.select("doc_id", "len", F.explode("tokens").alias("term")).join(near(words), "term").groupBy("doc_id", "len", "stem").agg(F.count(F.lit(1)).alias("tf"))
     df = post.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
     idf = F.greatest(F.log((F.lit(n_docs) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg_len or 1.0)))
-    scored = post.join(df, "stem").select("doc_id", "stem", part.alias("part"))
+    # df has no more rows than there are query words
+    scored = post.join(near(df), "stem").select("doc_id", "stem", part.alias("part"))
     asked = keyed.select("query_id", "stem").distinct()
     summed = scored.join(small(asked), "stem").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
     ranked = summed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
