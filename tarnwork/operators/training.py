@@ -32,10 +32,18 @@ def _negatives(anchors: DataFrame, pool: DataFrame, forbidden: DataFrame, seed:
     return free.groupBy("anchor").agg(F.min(F.struct(F.xxhash64("anchor", "item", F.lit(seed)).alias("h"), F.col("item"))).alias("x")).select("anchor", F.col("x.item").alias("negative"))
 
 
-def cochange_triplets(co_changes: DataFrame, least: int = 2, seed: int = 7) -> DataFrame:
-    """(anchor, positive, negative): files that change together, and one that never did."""
-    pairs = co_changes.where((F.col("count") >= least) & (F.col("file_a") != F.col("file_b"))).select(F.col("file_a").alias("anchor"), F.col("file_b").alias("positive")).distinct()
-    both = co_changes.select(F.col("file_a").alias("anchor"), F.col("file_b").alias("item")).unionByName(co_changes.select(F.col("file_b").alias("anchor"), F.col("file_a").alias("item"))).distinct()
+def cochange_triplets(co_changes: DataFrame, least: int = 2, seed: int = 7, both_ways: bool = False) -> DataFrame:
+    """(anchor, positive, negative): files that change together, and one that never did.
+
+    A pair's count is the sum of its rows in either order. Its first file is the anchor, with
+    both_ways each of the two.
+    """
+    x, y = F.col("file_a"), F.col("file_b")
+    stored = co_changes.where(x != y).groupBy(F.least(x, y).alias("anchor"), F.greatest(x, y).alias("positive")).agg(F.sum(F.coalesce("count", F.lit(0))).alias("n"))
+    flipped = lambda df, a, b: df.unionByName(df.select(F.col(b).alias(a), F.col(a).alias(b)))
+    pairs = stored.where(F.col("n") >= least).select("anchor", "positive")
+    pairs = flipped(pairs, "anchor", "positive") if both_ways else pairs
+    both = flipped(stored.select("anchor", F.col("positive").alias("item")), "anchor", "item")
     return pairs.join(_negatives(pairs, both.select("item"), both, seed), "anchor")
 
 

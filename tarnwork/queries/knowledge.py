@@ -173,7 +173,7 @@ def ablation(spark, d):
 
 
 def triplets_cochange(spark, d):
-    return training.cochange_triplets(table(spark, d, "co_changes"))
+    return training.cochange_triplets(table(spark, d, "co_changes"), both_ways=True)
 
 
 def triplets_session(spark, d):
