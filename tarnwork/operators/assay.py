@@ -64,9 +64,10 @@ def moments_summary(commits: DataFrame, commit_files: DataFrame, big: int = 100,
     return words.unionByName(sizes, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in names))
 
 
-def iso_day(timestamp: Column) -> Column:
-    """The calendar day a timestamp text begins with, else NULL."""
-    return F.when(timestamp.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(timestamp, 1, 10).try_cast("date"))
+def utc_day(utc_us: Column) -> Column:
+    """The calendar day in UTC of an instant."""
+    day_us = F.lit(86_400_000_000)
+    return F.date_add(F.lit("1970-01-01").cast("date"), ((utc_us - F.pmod(utc_us, day_us)) / day_us).cast("int"))
 
 
 def importer_counts(modules: DataFrame, imports: DataFrame) -> DataFrame:
@@ -102,9 +103,12 @@ def size_rank(modules: DataFrame) -> DataFrame:
 
 
 def module_signals(modules: DataFrame, imports: DataFrame, functions: DataFrame, commits: DataFrame, commit_files: DataFrame, now: str) -> DataFrame:
-    """Every module with its derived signals as of the day `now`; a fixed number of joins, whatever the number of modules."""
+    """Every module with its derived signals as of the day `now`; a fixed number of joins, whatever the number of modules.
+
+    commits: (sha, author_name, utc_us).
+    """
     path = F.col("path")
-    one_commit = commits.groupBy("sha").agg(F.max("author_name").alias("author_name"), F.max(iso_day(F.col("timestamp"))).alias("day"))
+    one_commit = commits.groupBy("sha").agg(F.max("author_name").alias("author_name"), utc_day(F.max("utc_us")).alias("day"))
     touches = commit_files.select("sha", F.col("file_path").alias("path")).distinct().join(one_commit, "sha")
     activity = touches.groupBy("path").agg(F.count_distinct("sha").alias("commit_count"), F.count_distinct("author_name").alias("contributor_count"), F.max("day").alias("last_day"))
     calls = functions.groupBy(F.col("file").alias("path")).agg(F.count(F.lit(1)).alias("n_calls"))
@@ -136,16 +140,19 @@ def orient(signals: DataFrame, prefix: str = "", limit: int = 10) -> DataFrame:
 def recent_changes(touches: DataFrame, since: str, contains: str | None = None, limit: int = 10, compat: bool = False) -> DataFrame:
     """The latest change of each file since a day, newest first, with the file's number of changes.
 
-    touches: (sha, file_path, day, author_name). compat caps the rows at limit * 3 before
-    one row per file is kept, and so may return fewer files than asked for.
+    touches: (sha, file_path, day, author_name), with a column utc_us changes of one day are
+    ordered by it. compat caps the rows at limit * 3 before one row per file is kept, and so
+    may return fewer files than asked for.
     """
+    at = ["day", "utc_us"] if "utc_us" in touches.columns else ["day"]
     kept = touches.where(F.col("day") >= F.lit(since).cast("date"))
     if contains:
         kept = kept.where(F.contains("file_path", F.lit(contains)))
     if compat:
-        kept = kept.orderBy(F.desc("day"), "file_path", "sha").limit(limit * 3)
-    per_file = kept.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_changes"), F.max(F.struct("day", "sha", "author_name")).alias("r"))
-    return per_file.select("file_path", "n_changes", F.col("r.day").alias("day"), F.col("r.sha").alias("sha"), F.col("r.author_name").alias("author_name")).orderBy(F.desc("day"), "file_path").limit(limit)
+        kept = kept.orderBy(*(F.desc(c) for c in at), "file_path", "sha").limit(limit * 3)
+    per_file = kept.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_changes"), F.max(F.struct(*at, "sha", "author_name")).alias("r"))
+    newest = per_file.orderBy(*(F.desc(f"r.{c}") for c in at), "file_path").limit(limit)
+    return newest.select("file_path", "n_changes", F.col("r.day").alias("day"), F.col("r.sha").alias("sha"), F.col("r.author_name").alias("author_name"))
 
 
 def temporal_neighbours(co_changes: DataFrame, queries: DataFrame, limit: int = 10, fetch: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions import text
-from tarnwork.operators import assay
+from tarnwork.operators import assay, instants
 from tarnwork.operators.eventlog import json_items, scan, with_payload
 from tarnwork.plans.shaping import table
 from tarnwork.queries.log import PAYLOAD
@@ -54,8 +54,17 @@ def _commits(spark, d):
     return table(spark, d, "commits").select("sha", "message", "author_name", "timestamp").distinct()
 
 
+def _dated_commits(spark: SparkSession, d: str) -> DataFrame:
+    """(sha, author_name, utc_us) of every commit, the latest instant of its copies; read as p2_found reads them."""
+    c = table(spark, d, "commits").select("sha", "author_name", "author_email", "timestamp")
+    zoned = instants.with_zone(c, instants.repository_name("email", F.col("author_email")), table(spark, d, "repo_zones"))
+    zoned = zoned.withColumn("source", F.coalesce("zone", F.lit("UTC")))
+    dated = instants.normalise_instants(zoned, "timestamp", "zone", "source", instants.MONTH_FIRST_SLASH_DAY_FIRST_DOT)
+    return dated.groupBy("sha").agg(F.max("author_name").alias("author_name"), F.max("utc_us").alias("utc_us"))
+
+
 def _signals(spark, d):
-    return assay.module_signals(modules(spark, d), imports(spark, d), functions(spark, d), table(spark, d, "commits"), table(spark, d, "commit_files"), NOW)
+    return assay.module_signals(modules(spark, d), imports(spark, d), functions(spark, d), _dated_commits(spark, d), table(spark, d, "commit_files"), NOW)
 
 
 FUNCTIONS = f"""{PAYLOAD}, fn as (select distinct json_extract_string(p, '$.file') as file, json_extract_string(p, '$.name') as name, json_extract_string(p, '$.is_public') = 'true' as is_public,
@@ -148,7 +157,7 @@ def orient(spark, d):
 
 
 def recent_changes(spark, d):
-    one = table(spark, d, "commits").groupBy("sha").agg(F.max("author_name").alias("author_name"), F.max(assay.iso_day(F.col("timestamp"))).alias("day"))
+    one = _dated_commits(spark, d).withColumn("day", assay.utc_day(F.col("utc_us")))
     touches = table(spark, d, "commit_files").select("sha", "file_path").distinct().join(one, "sha")
     return assay.recent_changes(touches, "2026-03-01", "src/", 50).withColumn("day", F.col("day").cast("string"))
 

@@ -2,7 +2,7 @@
 
 from conftest import rows
 from tarnwork.operators import training
-from tarnwork.queries import knowledge
+from tarnwork.queries import assay, knowledge
 
 CO = "file_a string, file_b string, count bigint"
 
@@ -24,3 +24,22 @@ def test_cochange_anchors_sum_rows_of_either_order(spark, tmp_path):
     assert {(r["anchor"], r["positive"]) for r in got} == {("a", "b"), ("b", "a")}
     assert all(r["negative"] not in ("a", "b", "c" if r["anchor"] == "a" else "") for r in got)
     assert rows(training.cochange_triplets(spark.read.parquet(f"{d}/co_changes.parquet")).select("anchor", "positive")) == [("a", "b")]
+
+
+def test_days_of_commits_written_in_any_form(spark, tmp_path):
+    times = {"iso": "2026-05-01T00:30:00+02:00", "mail": "Sun, 3 May 2026 10:00:00 +0000", "epoch": "1777975200", "ctime": "Tue May 5 11:00:00 2026", "nbsp": " 2026-05-06T09:00:00Z", "slash": "05/07/2026 09:00", "old": "Mon, 5 Jan 2026 10:00:00 +0000"}
+    commits = [(k, "message", "ann", "ann@here.example", v, None) for k, v in times.items()]
+    files = [(k, f"src/{k}.rs", "modified", 1, 0) for k in times] + [(k, "src/all.rs", "modified", 1, 0) for k in times] + [("ctime", "src/epoch.rs", "modified", 1, 0)]
+    d = stored(
+        spark, tmp_path,
+        commits=(commits, "sha string, message string, author_name string, author_email string, timestamp string, branch string"), commit_files=(files, "sha string, file_path string, change_type string, lines_added int, lines_removed int"),
+        repo_zones=([("x/here", "here", "UTC")], "repo string, name string, zone string"), co_changes=([], CO),
+        eventlog=([], "seq bigint, event_type string, timestamp string, source_id string, source_file string, data string"),
+    )
+    got = {r["file_path"]: (r["day"], r["sha"], r["n_changes"]) for r in assay.recent_changes(spark, d).collect()}
+    assert got == {
+        "src/iso.rs": ("2026-04-30", "iso", 1), "src/mail.rs": ("2026-05-03", "mail", 1), "src/epoch.rs": ("2026-05-05", "ctime", 2), "src/ctime.rs": ("2026-05-05", "ctime", 1),
+        "src/nbsp.rs": ("2026-05-06", "nbsp", 1), "src/slash.rs": ("2026-05-07", "slash", 1), "src/all.rs": ("2026-05-07", "slash", 6),
+    }
+    levels = {r["path"]: r["activity_level"] for r in assay.module_signals(spark, d).collect()}
+    assert levels["src/mail.rs"] == levels["src/iso.rs"] == "medium" and levels["src/old.rs"] == "dormant"
