@@ -134,7 +134,9 @@ def commit_ground_truth(spark, d):
 
 def cochange_precision(spark, d):
     """Of each file's ten strongest stored partners, how many truly share a commit with it."""
-    stored = table(spark, d, "co_changes").groupBy("file_a", "file_b").agg(F.sum(F.coalesce("count", F.lit(0))).alias("count")).where("count > 0")
+    a, b = F.col("file_a"), F.col("file_b")
+    told = table(spark, d, "co_changes").where(a != b).groupBy(F.least(a, b).alias("file_a"), F.greatest(a, b).alias("file_b")).agg(F.sum(F.coalesce("count", F.lit(0))).alias("count")).where("count > 0")
+    stored = told.unionByName(told.select(b.alias("file_a"), a.alias("file_b"), "count"))
     top = backlog.latest_per_group(stored, ["file_a"], [F.desc("count"), F.asc("file_b")], 10)
     true = ops.co_change_pairs(table(spark, d, "commit_files"))
     pair = top.select("file_a", F.col("rn").alias("rank"), F.least("file_a", "file_b").alias("x"), F.greatest("file_a", "file_b").alias("y"))

@@ -43,3 +43,10 @@ def test_days_of_commits_written_in_any_form(spark, tmp_path):
     }
     levels = {r["path"]: r["activity_level"] for r in assay.module_signals(spark, d).collect()}
     assert levels["src/mail.rs"] == levels["src/iso.rs"] == "medium" and levels["src/old.rs"] == "dormant"
+
+
+def test_cochange_precision_looks_at_partners_of_either_order(spark, tmp_path):
+    co = [("a", "z", 3), ("b", "a", 2), ("a", "b", 2), *[("a", f"p{i:02}", 3) for i in range(9)]]
+    d = stored(spark, tmp_path, co_changes=(co, CO), commit_files=([("1", "a"), ("1", "b")], "sha string, file_path string"))
+    got = {r["file_a"]: (r["p5"], r["p10"]) for r in knowledge.cochange_precision(spark, d).collect()}
+    assert got["a"] == (0.2, 0.1) and got["b"] == (1.0, 1.0) and got["z"] == (0.0, 0.0) and len(got) == 12
