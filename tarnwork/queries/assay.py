@@ -29,8 +29,13 @@ def functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def imports(spark: SparkSession, d: str) -> DataFrame:
-    """import_facts(file, import_path): a file that keeps changing with another stands for its importer."""
-    c = table(spark, d, "co_changes").where("count >= 2")
+    """import_facts(file, import_path): a file that keeps changing with another stands for its importer.
+
+    A pair's count is the sum of its rows in either order; it is kept in each order it is stored in.
+    """
+    a, b = F.col("file_a"), F.col("file_b")
+    pairs = table(spark, d, "co_changes").groupBy(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).agg(F.sum(F.coalesce("count", F.lit(0))).alias("n"), F.collect_set(F.struct("file_a", "file_b")).alias("orders"))
+    c = pairs.where("n >= 2").select(F.inline("orders"))
     return c.select(F.col("file_a").alias("file"), F.concat(F.lit("crate::"), text.module_path(F.col("file_b"))).alias("import_path")).distinct()
 
 

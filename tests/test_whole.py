@@ -50,3 +50,10 @@ def test_cochange_precision_looks_at_partners_of_either_order(spark, tmp_path):
     d = stored(spark, tmp_path, co_changes=(co, CO), commit_files=([("1", "a"), ("1", "b")], "sha string, file_path string"))
     got = {r["file_a"]: (r["p5"], r["p10"]) for r in knowledge.cochange_precision(spark, d).collect()}
     assert got["a"] == (0.2, 0.1) and got["b"] == (1.0, 1.0) and got["z"] == (0.0, 0.0) and len(got) == 12
+
+
+def test_imports_sum_the_rows_of_a_pair(spark, tmp_path):
+    d = stored(spark, tmp_path, co_changes=([("src/core/a.rs", "src/rank_b.rs", 1), ("src/core/a.rs", "src/rank_b.rs", 1), ("src/core/c.rs", "src/d.rs", 1), ("src/d.rs", "src/core/c.rs", 1), ("src/core/e.rs", "src/f.rs", 1), ("src/core/e.rs", "src/f.rs", None)], CO))
+    want = [("src/core/a.rs", "crate::rank_b"), ("src/core/c.rs", "crate::d"), ("src/d.rs", "crate::core::c")]
+    assert rows(assay.imports(spark, d)) == want
+    assert rows(assay.imports_of(spark, d)) == want[:2] and [r["file"] for r in assay.importers_of(spark, d).collect()] == ["src/core/a.rs"]
