@@ -1,11 +1,13 @@
 """Training of projections: triplets drawn by hashes, a two-layer perceptron, triplet loss.
 
-Draws are deterministic: the negative of an anchor is the candidate with the least hash of
-(anchor, candidate, seed), so no shuffle of random numbers and no sampling of pairs.
+Draws are deterministic: the negative of an anchor is the free one with the least hash of
+(anchor, candidate, seed) among the candidates it tries, so no shuffle of random numbers and
+no sampling of pairs.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 
 import numpy as np
@@ -13,23 +15,54 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.plans.shaping import checkpoint, small
+
 # How much more a triplet of a commit of each kind weighs.
 MOMENT_WEIGHTS = {"breaking": 3.0, "big_bang": 2.0, "migration": 1.5, "rewrite": 1.2}
-#: Buckets in which a negative is looked for next to its anchor's own.
+#: Buckets by which the places of a pool are numbered.
 BUCKETS = 64
+#: Items that an anchor tries before it may go through as many as it has partners.
+TRIES = (8, 64)
+
+
+def _placed(pool: DataFrame, seed: int) -> tuple[DataFrame, int]:
+    """(place, item) of the distinct items in the order of two hashes, places from 0 without gaps, and their number."""
+    order = Window.partitionBy("b").orderBy(F.xxhash64("item", F.lit(seed)), "item")
+    laid = checkpoint(pool.select("item").where("item is not null").distinct().withColumn("b", F.pmod(F.xxhash64("item", F.lit(seed + 1)), F.lit(BUCKETS))).withColumn("rn", F.row_number().over(order)))
+    sizes = dict(laid.groupBy("b").count().collect())  # at most BUCKETS rows
+    before = [sum(sizes.get(x, 0) for x in range(b)) for b in range(BUCKETS)]
+    return laid.select((F.get(F.array(*(F.lit(x) for x in before)), F.col("b").cast("int")) + F.col("rn") - 1).cast("bigint").alias("place"), "item"), sum(sizes.values())
 
 
 def _negatives(anchors: DataFrame, pool: DataFrame, forbidden: DataFrame, seed: int, by: str = "anchor") -> DataFrame:
     """One item of pool(item) per anchor that is no partner in forbidden(by, item); anchors: (anchor, by).
 
-    The pool is laid out in BUCKETS by hash and each anchor tries the 8 least items of one
-    bucket; partners are taken out by an anti-join.
+    The pool is laid out by hash and each anchor tries the items from a place of its own on,
+    round the end; partners are taken out by an anti-join. Anchors left over try more, at last
+    two more than they have partners: one of so many is free, or the whole pool has been tried.
+    Those that no item is free for are warned of.
     """
-    order = Window.partitionBy("b").orderBy(F.xxhash64("item", F.lit(seed)), "item")
-    few = pool.select("item").distinct().withColumn("b", F.pmod(F.xxhash64("item", F.lit(seed + 1)), F.lit(BUCKETS))).withColumn("rn", F.row_number().over(order)).where("rn <= 8")
-    tried = anchors.select(*{"anchor": 0, by: 0}).distinct().withColumn("b", F.pmod(F.xxhash64("anchor", F.lit(seed + 2)), F.lit(BUCKETS))).join(F.broadcast(few), "b").where("item != anchor")
-    free = tried.join(forbidden.select(by, "item"), [by, "item"], "left_anti")
-    return free.groupBy("anchor").agg(F.min(F.struct(F.xxhash64("anchor", "item", F.lit(seed)).alias("h"), F.col("item"))).alias("x")).select("anchor", F.col("x.item").alias("negative"))
+    placed, size = _placed(pool, seed)
+    banned = forbidden.select(by, "item").distinct()
+    left = checkpoint(anchors.select(*{"anchor": 0, by: 0}).distinct())
+    found = None
+    for tries in (*TRIES, None):
+        if tries is None:
+            n_banned = banned.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+            asked = left.join(n_banned, by, "left").withColumn("n", F.coalesce("n", F.lit(0)) + 2)
+        else:
+            asked = left.withColumn("n", F.lit(tries))
+        begin = F.pmod(F.xxhash64("anchor", F.lit(seed + 2)), F.lit(max(size, 1)))
+        steps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("n").cast("bigint"), F.lit(size)) - 1))
+        tried = asked.where(F.lit(size > 0)).select(*left.columns, steps.alias("k")).withColumn("place", F.pmod(begin + F.col("k"), F.lit(max(size, 1)))).drop("k").join(small(placed), "place").where("item != anchor")
+        free = tried.join(banned, [by, "item"], "left_anti")
+        best = checkpoint(free.groupBy("anchor").agg(F.min(F.struct(F.xxhash64("anchor", "item", F.lit(seed)).alias("h"), F.col("item"))).alias("x")).select("anchor", F.col("x.item").alias("negative")))
+        found = best if found is None else found.unionByName(best)
+        left = checkpoint(left.join(best, "anchor", "left_anti"))
+        if left.isEmpty():
+            return found
+    warnings.warn(f"{left.select('anchor').distinct().count()} anchors have no negative: every other item is a partner", stacklevel=3)
+    return found
 
 
 def cochange_triplets(co_changes: DataFrame, least: int = 2, seed: int = 7, both_ways: bool = False) -> DataFrame:

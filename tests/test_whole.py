@@ -1,5 +1,7 @@
 """Whole jobs: what a cut would lose."""
 
+import pytest
+
 from conftest import rows
 from tarnwork.operators import training
 from tarnwork.queries import assay, knowledge
@@ -57,3 +59,12 @@ def test_imports_sum_the_rows_of_a_pair(spark, tmp_path):
     want = [("src/core/a.rs", "crate::rank_b"), ("src/core/c.rs", "crate::d"), ("src/d.rs", "crate::core::c")]
     assert rows(assay.imports(spark, d)) == want
     assert rows(assay.imports_of(spark, d)) == want[:2] and [r["file"] for r in assay.importers_of(spark, d).collect()] == ["src/core/a.rs"]
+
+
+def test_every_anchor_has_a_negative_if_there_is_one(spark):
+    co = frame(spark, [("hub", f"p{i:03}", 2) for i in range(300)] + [("x", "y", 2)], CO)
+    got = training.cochange_triplets(co, both_ways=True).collect()
+    assert len(got) == 602 and {r["negative"] for r in got if r["anchor"] == "hub"} <= {"x", "y"}
+    few = frame(spark, [("a", "b"), ("a", "c"), ("d", "b")], "caller string, callee string")
+    with pytest.warns(UserWarning, match="1 anchors have no negative"):
+        assert rows(training.dependency_triplets(few)) == [("d", "b", "c")]
