@@ -48,9 +48,12 @@ def stemmed_terms(idx: DataFrame, terms: DataFrame) -> DataFrame:
     return vocabulary.join(small(wanted), "stem").select("query_id", "stem", "term")
 
 
-def bm25(idx: DataFrame, terms: DataFrame, limit: int = 10) -> DataFrame:
+def bm25(idx: DataFrame, terms: DataFrame, limit: int = 10, groups: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the best documents of each query, ties by doc_id.
 
+    groups: (doc_id, ...), one row a document; its other columns are added and the best are
+    ranked and cut in each of their groups.
+
     terms: (query_id, term) or (query_id, stem, term), a batch of queries, broadcast while it
     is small. The postings of other words are dropped where they are made; df, N and the average length are
     aggregates, so no document leaves its task before its score is known.
@@ -69,7 +72,8 @@ def bm25(idx: DataFrame, terms: DataFrame, limit: int = 10) -> DataFrame:
     scored = post.join(near(df), "stem").select("doc_id", "stem", part.alias("part"))
     asked = keyed.select("query_id", "stem").distinct()
     summed = scored.join(small(asked), "stem").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    ranked = summed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    summed = summed if groups is None else summed.join(groups, "doc_id")
+    ranked = summed.withColumn("rank", F.row_number().over(Window.partitionBy(*(c for c in summed.columns if c not in ("doc_id", "score"))).orderBy(F.desc("score"), "doc_id")))
     return ranked.where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("bigint"))
 
 

@@ -139,10 +139,10 @@ def belief_impact(spark, d):
 
 
 def repo_federation(spark, d):
-    """Every source of documents is a repository of its own, all searched together."""
+    """Every source of documents is a repository of its own, each gives its own best hits."""
     docs = _docs(spark, d).withColumn("repo", F.coalesce(F.lower(F.trim("source")), F.lit("none")))
-    hits = fts.bm25(fts.index(docs, "doc_id", "text"), fts.query_terms(_batch(spark)), 200)
-    lists = hits.join(docs.select("doc_id", "repo"), "doc_id").select("query_id", "repo", F.lit("lexical").alias("source"), F.col("doc_id").cast("string").alias("doc_id"), "score")
+    hits = fts.bm25(fts.index(docs, "doc_id", "text"), fts.query_terms(_batch(spark)), 200, docs.select("doc_id", "repo"))
+    lists = hits.select("query_id", "repo", F.lit("lexical").alias("source"), F.col("doc_id").cast("string").alias("doc_id"), "score")
     return fusion.federated(lists, 10).select("query_id", "doc_id", "fused_score", "rank")
 
 

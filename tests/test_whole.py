@@ -4,7 +4,7 @@ import pytest
 
 from conftest import rows
 from tarnwork.operators import training
-from tarnwork.queries import assay, knowledge
+from tarnwork.queries import assay, knowledge, retrieval
 
 CO = "file_a string, file_b string, count bigint"
 
@@ -68,3 +68,10 @@ def test_every_anchor_has_a_negative_if_there_is_one(spark):
     few = frame(spark, [("a", "b"), ("a", "c"), ("d", "b")], "caller string, callee string")
     with pytest.warns(UserWarning, match="1 anchors have no negative"):
         assert rows(training.dependency_triplets(few)) == [("d", "b", "c")]
+
+
+def test_federation_cuts_each_repository_by_itself(spark, tmp_path):
+    texts = [(i, "index decision", "zz_many") for i in range(250)] + [(900, "index " + "other words " * 30, "one")] + [(1000 + i, "nothing here", "none_of_it") for i in range(600)]
+    d = stored(spark, tmp_path, documents=([(i, t, "en", s, len(t), "notes", None) for i, t, s in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint, kind string, path string"))
+    got = [r["doc_id"] for r in retrieval.repo_federation(spark, d).where("query_id = 'q2'").orderBy("rank").collect()]
+    assert got[:2] == ["[one] 900", "[zz_many] 0"] and len(got) == 10
