@@ -15,6 +15,7 @@ empty result. Columns of the input other than the record key and payload are not
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +35,8 @@ def _refuse(name: str):
 _DECODER = json.JSONDecoder(parse_constant=_refuse)
 
 
-_OPENERS = ("{", "[", '"')
+#: Whether a string may hold JSON that is a list, an object or a string, after any blanks.
+_opens = re.compile(r'\s*["\[{]').match
 
 
 def _read(text: str):
@@ -59,9 +61,9 @@ def triples(payload: str | None, repeated: frozenset[str]) -> list[tuple]:
     while stack:
         value, path, pos, up_path, up_pos, field, state = stack.pop()
         kind = type(value)
-        if kind is str and value[:64].lstrip()[:1] in _OPENERS:
+        if kind is str and _opens(value):
             inner = _read(value)
-            if isinstance(inner, (dict, list)) or (isinstance(inner, str) and inner[:64].lstrip()[:1] in _OPENERS):
+            if isinstance(inner, (dict, list)) or (isinstance(inner, str) and _opens(inner)):
                 stack.append((inner, path, pos, up_path, up_pos, field, state))
                 continue
         if kind is dict:

@@ -22,6 +22,11 @@ def test_strings_lone_objects_and_lists_in_lists():
     assert objects('{"files":["a","b",3,null]}') == []
 
 
+def test_blanks_of_any_number_before_json_in_a_string():
+    for blanks in ("", " " * 7, " \t\n" * 70):
+        assert objects(json.dumps({"files": blanks + '[{"path": 1}]'})) == [("files", "0")]
+
+
 def test_invalid_payloads():
     for text in (None, "", "{", '{"files":[{}', '{"files":[{"a":NaN}]}', '{"files":[{}]} x', "[" * 5000, "null", "3"):
         assert triples(text, NAMES) == []
