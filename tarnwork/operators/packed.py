@@ -5,7 +5,8 @@ delimiters, a wrapper and a quoting rule). Each distinct field text is parsed un
 dialect; the values of all parses give a distributed code book (-log2 of a value's share,
 with a character model behind it for values that are rare); a parse costs its dialect plus
 the codes of its values, and the cheapest parse is kept. The code book is then estimated
-once more from the kept parses only, and the choice is repeated.
+once more from the kept parses only, and the choice is repeated. Lengths of codes are sums
+of logarithms, so neither long values nor long texts are cut or flattened.
 
 Results for edge cases: NULL, empty and blank texts, and texts that hold nothing but
 ``-``, ``null``, ``none`` or ``n/a``, give no rows; repeated values keep their places;
@@ -17,13 +18,14 @@ from __future__ import annotations
 
 import ast
 import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.plans.shaping import checkpoint, salted_join
+from tarnwork.plans.shaping import join_counted, written
 
 STRONG = ",;|，、•\n\t"
 #: name -> delimiters, from plain to mixed; "and" stands for the word between two numbers.
@@ -46,8 +48,8 @@ ALPHABETS = {"labels": " /:&+-'.", "words": "-", "numbers": ""}
 
 #: A character outside the alphabet must cost more than the escapes of two values never seen before.
 _CHAR_BITS, _ALIEN_BITS, _DIALECT_BITS, _SMOOTH = 6.5, 80.0, 1.0, 4.0
-#: Characters beyond these cost nothing in the model, which keeps its probabilities above 0.
-_MODEL_CHARS = 120
+#: Distinct texts that a parsing task should have at least; parsing is CPU-bound on few bytes.
+TEXTS_A_TASK = 4_000
 
 
 def _blank(c: str) -> bool:
@@ -145,9 +147,14 @@ def _structured(text: str) -> list[tuple[str, bool]] | None:
     return None
 
 
+def model_bits(length: int) -> float:
+    """Bits of a value under the character model. They enter as logarithms, so no length underflows."""
+    return _CHAR_BITS * length + 2
+
+
 def parses(text: str, kind: str) -> list[tuple[str, float, list[str]]]:
     """Every distinct parse that can be the cheapest: dialect, bits that don't depend on the code book, values."""
-    text = text.strip(" \t\r\n ﻿　")
+    text = text.strip(" \t\r\n ﻿　")
     inner, wrapped = text, False
     if len(text) > 1 and CLOSERS.get(text[0]) == text[-1]:
         inner, wrapped = text[1:-1], True
@@ -176,62 +183,72 @@ def parses(text: str, kind: str) -> list[tuple[str, float, list[str]]]:
             seen.add(key)
             found.append((name, bits, values))
     # no code is longer than this for up to 2**40 values, so parses beyond the least such sum can't win
-    most = min(bits + sum(_CHAR_BITS * min(len(v), _MODEL_CHARS) + 42 for v in values) for _, bits, values in found)
+    most = min(bits + sum(model_bits(len(v)) + 40 for v in values) for _, bits, values in found)
     return [p for p in found if p[1] <= most]
 
 
-_CANDIDATES = "field string, text string, cands array<struct<dialect:string,bits:double,vals:array<string>>>"
-_ARROW = pa.schema([("field", pa.string()), ("text", pa.string()), ("cands", pa.list_(pa.struct([("dialect", pa.string()), ("bits", pa.float64()), ("vals", pa.list_(pa.string()))])))])
+_CANDIDATES = "field string, text string, n bigint, cands array<struct<dialect:string,bits:double,vals:array<string>>>"
+_ARROW = pa.schema([("field", pa.string()), ("text", pa.string()), ("n", pa.int64()), ("cands", pa.list_(pa.struct([("dialect", pa.string()), ("bits", pa.float64()), ("vals", pa.list_(pa.string()))])))])
 
 
 def _parser(kinds: dict[str, str]):
+    def rare(bits: float, values: list[str]) -> float:
+        # a code is log2(total + smooth) less than this for a value that was counted once
+        return bits + sum(model_bits(len(v)) + 1.0 - math.log2(_SMOOTH) for v in values)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fields, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            cands = [[{"dialect": d, "bits": b, "vals": v} for d, b, v in parses(t, kinds[f])] for f, t in zip(fields, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(fields, pa.string()), pa.array(texts, pa.string()), pa.array(cands, _ARROW.field("cands").type)], schema=_ARROW)
+            cands = [[{"dialect": d, "bits": rare(b, v), "vals": v} for d, b, v in parses(t, kinds[f])] for f, t in zip(fields, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cands, _ARROW.field("cands").type)], schema=_ARROW)
 
     return parse
 
 
-def _codes(values: DataFrame) -> DataFrame:
-    """(field, value) -> bits: share among the field's values, smoothed by a character model."""
-    counts = values.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("field").agg(F.sum("n").alias("total"))
-    unseen = F.pow(F.lit(2.0), -_CHAR_BITS * F.least(F.length("value"), F.lit(_MODEL_CHARS)) - 2)
-    # one total a field: as many rows as there are fields
-    return counts.join(F.broadcast(totals), "field").select("field", "value", (-F.log2((F.col("n") - 1 + _SMOOTH * unseen) / (F.col("total") + _SMOOTH))).alias("code"))
+def _choose(cands: DataFrame, book: DataFrame, totals: DataFrame) -> DataFrame:
+    """cands with c, its cheapest parse; of equals the first.
 
-
-def _cheapest(cands: DataFrame, codes: DataFrame) -> DataFrame:
-    """id -> place of the cheapest parse. A parse without values costs its fixed bits alone."""
-    flat = cands.select("id", "field", F.posexplode("cands").alias("k", "c"))
-    each = flat.select("id", "field", "k", F.col("c.bits").alias("fixed"), F.explode_outer("c.vals").alias("value"))
-    cost = salted_join(each, codes, ["field", "value"], "id", how="left").groupBy("id", "k").agg(F.max("fixed").alias("fixed"), F.sum(F.coalesce(F.col("code") + 1.0, F.lit(0.0))).alias("var"))
-    total = F.round(F.col("fixed") + F.col("var"), 6)
-    return cost.groupBy("id").agg(F.min(F.struct(total.alias("bits"), F.col("k"))).alias("best")).select("id", "best.k", "best.bits")
+    book: (field, value, n) of values counted more than once; totals: (field, total), of all
+    counts. The code of a value is -log2 of its share, (n - 1 + s * 2**-model) / (total + s).
+    Only what counted values save against values counted once is joined, and only for texts
+    with several parses; the others are decided.
+    """
+    several = cands.where(F.size("cands") > 1).select("id", "field", F.posexplode("cands").alias("k", "c"))
+    values = several.select("id", "field", "k", F.explode("c.vals").alias("value"))
+    model = _CHAR_BITS * F.length("value") + 2
+    saving = model + F.log2((F.col("n") - 1) / _SMOOTH + F.pow(F.lit(2.0), -model))
+    saved = join_counted(values, book, ["field", "value"], "n").groupBy("id", "k").agg(F.sum(saving).alias("saved"))
+    saved = saved.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "saved"))).alias("saved"))
+    # one total a field: as many rows as there are fields
+    met = cands.join(F.broadcast(totals), "field").join(saved, "id", "left")
+    bits = lambda c, k: F.round(c["bits"] + F.size(c["vals"]) * F.log2(F.col("total") + _SMOOTH) - F.coalesce(F.col("saved")[k], F.lit(0.0)), 6)
+    best = F.array_min(F.transform("cands", lambda c, k: F.struct(bits(c, k).alias("bits"), k.alias("k"))))
+    return met.select("field", "text", "n", F.get("cands", best["k"]).alias("c"))
 
 
 def split_packed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Split every text of df(field, record_id, text) by its cheapest dialect.
 
     kinds: field -> labels, words or numbers, the alphabet of its unquoted values.
-    Returns distinct (field, record_id, pos, value, dialect); pos counts from 1.
+    Returns (field, record_id, dialect, pos, value), the values of every distinct text of a
+    record; pos counts from 1.
     """
-    rows = df.select("field", "record_id", "text").where(F.col("text").isNotNull() & F.col("record_id").isNotNull())
-    texts = rows.select("field", "text").distinct()
-    # parsing is CPU-bound on few bytes, so its tasks are not left to be coalesced by size
-    texts = texts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cands = checkpoint(texts.mapInArrow(_parser(kinds), _CANDIDATES).withColumn("id", F.monotonically_increasing_id()))
+    spark = df.sparkSession
+    rows = df.select("field", "record_id", "text").where(F.col("text").isNotNull() & F.col("record_id").isNotNull()).distinct()
+    texts = written(rows.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n")))
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    texts = texts.repartition(min(most, 1 + texts.count() // TEXTS_A_TASK))
+    cands = written(texts.mapInArrow(_parser(kinds), _CANDIDATES).withColumn("id", F.monotonically_increasing_id()))
     # at first a value counts once for every text in whose parses it occurs
     possible = cands.select("field", F.explode(F.array_distinct(F.flatten(F.transform("cands", lambda c: c["vals"])))).alias("value"))
-    first = _cheapest(cands, _codes(possible))
-    kept = cands.join(first.select("id", "k"), "id").select("id", "field", F.col("cands")[F.col("k")]["vals"].alias("vals"))
-    seen = kept.select("field", F.explode("vals").alias("value"))
-    # each possible value counts once more, so that every one has a code
-    codes = _codes(seen.unionByName(possible.distinct()))
-    best = _cheapest(cands, codes)
-    parsed = cands.join(best, "id").select("field", "text", F.col("cands")[F.col("k")].alias("c"))
-    parsed = parsed.where(F.size("c.vals") > 0)
-    joined = salted_join(rows, parsed, ["field", "text"], "record_id")
-    return joined.select("field", "record_id", F.col("c.dialect").alias("dialect"), F.posexplode("c.vals").alias("pos", "value")).withColumn("pos", (F.col("pos") + 1).cast("int")).distinct()
+    counts = written(possible.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy("field").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_values"))
+    first = _choose(cands, counts.where("n > 1"), totals.drop("n_values"))
+    # each possible value counts once more than it is kept, so that every one has a code
+    kept = first.select("field", F.explode("c.vals").alias("value"))
+    book = written(kept.groupBy("field", "value").agg((F.count(F.lit(1)) + 1).alias("n")))
+    sums = book.groupBy("field").agg(F.sum(F.col("n") - 1).alias("kept"))
+    totals = totals.join(sums, "field", "left").select("field", (F.col("n_values") + F.coalesce("kept", F.lit(0))).alias("total"))
+    parsed = _choose(cands, book, totals).where(F.size("c.vals") > 0)
+    joined = join_counted(rows, written(parsed), ["field", "text"], "n")
+    return joined.select("field", "record_id", F.col("c.dialect").alias("dialect"), F.posexplode("c.vals").alias("pos", "value")).withColumn("pos", (F.col("pos") + 1).cast("int"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A table of more rows than this is never broadcast by these helpers.
 BROADCAST_ROWS = 20_000
+#: application -> folders of the tables written() made for it.
+_paths: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,10 +46,23 @@ def written(df: DataFrame) -> DataFrame:
     Column statistics and pruning stay available, and it takes a fraction of a checkpoint.
     """
     path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    _paths.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Remove the tables that written() left for this application, and say how many there were.
+
+    For the end of a job or between jobs: frames made before can't be read any more.
+    """
+    paths = _paths.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def salted_join(big: DataFrame, few: DataFrame, keys: list[str], spread_by: str, salts: int = 8, how: str = "inner") -> DataFrame:
     """Join big with few (unique on keys) so that one hot key spreads over `salts` tasks.
 
@@ -59,6 +74,26 @@ def salted_join(big: DataFrame, few: DataFrame, keys: list[str], spread_by: str,
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_counted(big: DataFrame, counts: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Join big with counts (unique on keys, cheap to read), whose column `weight` says how many
+    rows of big have the key, or a number that is in proportion to it.
+
+    A small table is broadcast. Otherwise keys with more than a quarter of a task's fair share
+    of all rows are: there are at most four per shuffle partition, whatever the data. Only rows
+    of the other keys are shuffled, none of which can fill a task.
+    """
+    n, total, most = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).first()
+    if n <= BROADCAST_ROWS:
+        return big.join(F.broadcast(counts), keys, how)
+    share = total / (4 * int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if most <= share:
+        return big.join(counts, keys, how)
+    heavy = counts.where(F.col(weight) > share)
+    near = big.join(F.broadcast(heavy), keys)
+    rest = big.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(counts.where(F.col(weight) <= share), keys, how)
+    return near.unionByName(rest)
+
+
 def join_checked(big: DataFrame, few: DataFrame, keys: list[str], spread_by: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast few if it has at most `limit` rows (counted now), else join with salts."""
     if few.limit(limit + 1).count() <= limit:

@@ -52,6 +52,17 @@ def test_empty_table_and_long_text(spark):
     assert len(split(spark, [", ".join(["bug"] * 20_000)])[0]) == 20_000
 
 
+@pytest.mark.parametrize("width", [6, 12, 40, 400])
+def test_long_values_keep_the_dialect(spark, width):
+    known = ["kind:regression", "good first issue", "needs triage", "area:sync"]
+    new = [f"brand new {chr(97 + i) * width}" for i in range(6)]
+    body = [f"{a}; {b}" for a in known for b in known] * 20
+    text = " / ".join([*known, *new])
+    data = [("labels", "x", text, 0, "")] + [("labels", f"p{i}", t, 0, "") for i, t in enumerate(body)]
+    found = split_packed(spark.createDataFrame(data, SCHEMA), KINDS).where("record_id = 'x'").orderBy("pos").collect()
+    assert [r["value"] for r in found] == [*known, *new]
+
+
 @pytest.mark.parametrize("text", ['"', "''", "[", "{}", '["a",', "\\", "- ", "#", "''a", '"a" b, c', "and"])
 def test_malformed_texts_never_raise(text):
     for kind in ("labels", "words", "numbers"):
