@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.operators import instants, nested, orphans, packed
-from tarnwork.plans.shaping import table
+from tarnwork.plans.shaping import checkpoint, table
 
 PACKED_FIELDS = {"forge_issues": ("number", "labels", "labels"), "beliefs": ("id", "facets", "words"), "patterns": ("id", "tags", "words"), "forge_prs": ("number", "linked_issues", "numbers")}
 
@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_dialects(spark: SparkSession, d: str) -> DataFrame:
     """How many records and values each field's dialects explain."""
-    return _packed(spark, d).groupBy(F.col("field").alias("tbl"), "dialect").agg(F.count_distinct("record_id").alias("records"), F.count(F.lit(1)).alias("n_values"))
+    return _packed(spark, d).distinct().groupBy(F.col("field").alias("tbl"), "dialect").agg(F.count_distinct("record_id").alias("records"), F.count(F.lit(1)).alias("n_values"))
 
 
 def _instants(spark: SparkSession, d: str) -> DataFrame:
@@ -59,47 +59,73 @@ def p5_files(spark: SparkSession, d: str) -> DataFrame:
     return nested.one_table(_nested_rows(spark, d), "files", ["path", "change_type", "lines_added", "lines_removed"])
 
 
-def _references(spark: SparkSession, d: str) -> list[orphans.Reference]:
+REPO_OF_URL = r"^\s*https?://[^/]+/([^/]+/[^/?#]+)"
+
+
+def _dated(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, record_id, repo, number, event_seq, linked, source, period) of issues, pull requests and
+    resolved backlog entries; one mixture of time formats is fitted for each table and repository."""
+    parts = []
+    for t in ("forge_issues", "forge_prs"):
+        linked = F.col("linked_issues") if t == "forge_prs" else F.lit(None).cast("string")
+        parts.append(table(spark, d, t).select(F.lit(t).alias("tbl"), F.col("number").cast("string").alias("record_id"), F.regexp_extract("url", REPO_OF_URL, 1).alias("repo"), "number", "event_seq", linked.alias("linked"), F.lit(None).cast("string").alias("source"), F.col("created_at").alias("at"), instants.repository_name("path", F.col("url")).alias("zoned")))
+    refs = table(spark, d, "forge_refs").where(F.col("resolved").isNotNull())
+    # resolved is written with its zone
+    parts.append(refs.select(F.lit("forge_refs").alias("tbl"), F.col("repo").alias("record_id"), "repo", F.col("ref_number").alias("number"), F.lit(None).cast("bigint").alias("event_seq"), F.lit(None).cast("string").alias("linked"), "source", F.col("resolved").alias("at"), F.lit("").alias("zoned")))
+    rows = instants.with_zone(reduce(DataFrame.unionByName, parts).distinct(), F.col("zoned"), table(spark, d, "repo_zones"))
+    read = instants.normalise_instants(rows.withColumn("mixture", F.concat_ws(":", "tbl", "repo")), "at", "zone", "mixture", instants.MONTH_FIRST_SLASH_DAY_FIRST_DOT)
+    return checkpoint(read.select("tbl", "record_id", "repo", "number", "event_seq", "linked", "source", orphans.month(F.col("utc_us")).alias("period")))
+
+
+def _references(spark: SparkSession, d: str, dated: DataFrame) -> list[orphans.Reference]:
+    """The references that p6_found is about."""
+    text = lambda c: F.col(c).cast("string").alias("ref")
     log = table(spark, d, "eventlog").where(F.col("event_type").isin("forge.issue", "forge.pr")).select(F.col("seq").alias("event_seq"), F.col("source_id").alias("record_id"))
-    issues, prs, zones = table(spark, d, "forge_issues"), table(spark, d, "forge_prs"), table(spark, d, "repo_zones")
-    found = []
-    for name, df in (("forge_issues", issues), ("forge_prs", prs)):
-        zoned = instants.with_zone(df.select("number", "event_seq", "created_at", "url"), instants.repository_name("path", F.col("url")), zones)
-        dated = instants.normalise_instants(zoned, "created_at", "zone", "repo_name", instants.MONTH_FIRST_SLASH_DAY_FIRST_DOT)
-        rows = dated.select(F.col("number").cast("string").alias("record_id"), "event_seq", F.col("event_seq").cast("string").alias("ref"), orphans.month(F.col("utc_us")).alias("period"))
-        found.append(orphans.Reference(name, rows, "eventlog", log, ["event_seq", "record_id"]))
-    urls = issues.select("number", "url").unionByName(prs.select("number", "url"))
-    targets = urls.select(F.regexp_extract("url", r"^\s*https?://[^/]+/([^/]+/[^/?#]+)", 1).alias("repo"), F.col("number").alias("ref_number"))
-    refs = table(spark, d, "forge_refs").where(F.col("resolved").isNotNull()).withColumn("zone", F.lit(None).cast("string"))
-    dated = instants.normalise_instants(refs, "resolved", "zone", "repo")
-    rows = dated.select("repo", "ref_number", F.col("repo").alias("record_id"), F.col("ref_number").cast("string").alias("ref"), orphans.month(F.col("utc_us")).alias("period"))
-    found.append(orphans.Reference("forge_refs", rows, "forge", targets, ["repo", "ref_number"]))
-    belief_key = F.lower(F.regexp_replace("belief_id", r"^[\s ﻿　]+|[\s ﻿　]+$", ""))
+    found = [orphans.Reference(t, dated.where(F.col("tbl") == t).select("record_id", "event_seq", text("event_seq"), "period"), "eventlog", log, ["event_seq", "record_id"]) for t in ("forge_issues", "forge_prs")]
+    entries, fetched = dated.where("tbl = 'forge_refs'"), dated.where("tbl != 'forge_refs'").select("repo", "number")
+    found.append(orphans.Reference("forge_refs", entries.select("repo", "number", "record_id", text("number"), "period"), "forge", fetched, ["repo", "number"]))
+    belief_key = F.lower(F.regexp_replace("belief_id", r"^[\s ﻿　]+|[\s ﻿　]+$", ""))
     reach = table(spark, d, "belief_code_reach").select(belief_key.alias("belief"), belief_key.alias("ref"), F.col("file_path").alias("record_id"), F.lit("none").alias("period"))
     beliefs = table(spark, d, "beliefs").where(F.coalesce("status", F.lit("")) != "deleted").select(F.col("id").alias("belief_id")).select(belief_key.alias("belief"))
     found.append(orphans.Reference("belief_code_reach", reach, "beliefs", beliefs, ["belief"]))
     return found
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    """Direct orphans and the references that inherit: those to orphaned issues and pull requests."""
-    refs = _references(spark, d)
-    direct = orphans.direct_orphans(refs)
-    edges = None
-    for t in ("forge_issues", "forge_prs"):
-        keys = table(spark, d, t).select(F.regexp_extract("url", r"^\s*https?://[^/]+/([^/]+/[^/?#]+)", 1).alias("repo"), F.col("number").alias("ref_number"))
-        e = refs[2].rows.join(keys.distinct(), ["repo", "ref_number"]).select(F.lit("forge_refs").alias("tbl"), "record_id", "ref", "period", F.lit(t).alias("up_tbl"), F.col("ref").alias("up_id"))
-        edges = e if edges is None else edges.unionByName(e)
-    return orphans.cascade(direct, edges)
+def _links(dated: DataFrame) -> DataFrame:
+    """(record_id, number, ref, period): the issues that pull requests are linked to."""
+    numbers = F.explode(F.array_distinct(F.regexp_extract_all("linked", F.lit(r"(\d{1,18})"), 1))).alias("ref")
+    return dated.where("tbl = 'forge_prs'").select("record_id", "period", numbers).withColumn("number", F.col("ref").cast("bigint"))
+
+
+def _edges(dated: DataFrame, linked: bool) -> DataFrame:
+    """References to issues and pull requests that exist, down which orphans are inherited."""
+    entries = dated.where("tbl = 'forge_refs'").select(F.lit("forge_refs").alias("tbl"), "record_id", F.col("number").cast("string").alias("ref"), "period", "repo", "number")
+    keys = dated.where("tbl != 'forge_refs'").select(F.col("tbl").alias("up_tbl"), "repo", "number").distinct()
+    edges = entries.join(keys, ["repo", "number"]).select("tbl", "record_id", "ref", "period", "up_tbl", F.col("ref").alias("up_id"))
+    if linked:
+        issues = dated.where("tbl = 'forge_issues'").select("number").distinct()
+        edges = edges.unionByName(_links(dated).join(issues, "number").select(F.lit("forge_prs").alias("tbl"), "record_id", "ref", "period", F.lit("forge_issues").alias("up_tbl"), F.col("ref").alias("up_id")))
+    return edges
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).where("kind = 'direct'").select("tbl", "record_id", "ref", "period").distinct()
+    dated = _dated(spark, d)
+    found = orphans.cascade(orphans.direct_orphans(_references(spark, d, dated)), _edges(dated, linked=False))
+    return found.where("kind = 'direct'").select("tbl", "record_id", "ref", "period").distinct()
 
 
 def p6_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Direct and inherited orphans per table, target and month."""
-    return _orphans(spark, d).groupBy("tbl", "target", "period", "kind").agg(F.count(F.lit(1)).alias("n_refs"))
+    """Direct and inherited orphans per table, target and month. Beyond p6_found's references pull
+    requests refer to the issues they are linked to and backlog entries to their source commit,
+    so that an issue without its event is inherited by pull requests, and by the entries of those."""
+    dated = _dated(spark, d)
+    refs = _references(spark, d, dated)
+    issues = dated.where("tbl = 'forge_issues'").select("number")
+    refs.append(orphans.Reference("forge_prs", _links(dated), "forge_issues", issues, ["number"]))
+    entries = dated.where("tbl = 'forge_refs'").select("record_id", F.col("source").alias("sha"), F.col("source").alias("ref"), "period")
+    refs.append(orphans.Reference("forge_refs", entries, "commits", table(spark, d, "commits").select("sha"), ["sha"]))
+    found = orphans.cascade(orphans.direct_orphans(refs), _edges(dated, linked=True))
+    return found.groupBy("tbl", "target", "period", "kind", "depth").agg(F.count(F.lit(1)).alias("n_refs"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_dialects, p2_found, p2_sources, p5_found, p5_files, p6_found, p6_cascade)}
