@@ -6,8 +6,10 @@ equals. A piece that starts at s may end anywhere in (s + least, s + limit]; it
 strongest boundary there, or at s + limit if there is none, and the next piece starts
 `overlap` characters before that end.
 
-The same index tells which strength a text needs: the strongest rank such that all
-stretches between boundaries of that rank or stronger fit the limit.
+The same index tells which strength a text needs: for the start of the text and behind every
+boundary it is asked for the strongest boundary in the window of `limit` characters from
+there. A rank is enough if every window that opens at a boundary of that rank or stronger
+holds one again (or the end of the text); the strongest such rank is the need.
 
 Results for edge cases: NULL and empty texts give no pieces; a text within the limit is one
 piece; a text without any boundary is cut at the limit (need ``none``); lengths count code
@@ -68,7 +70,7 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 class StrongestCut:
-    """Sparse table: the strongest boundary in a range of places, the rightmost of equals."""
+    """Sparse table: the strongest boundary in a range of boundaries, the rightmost of equals."""
 
     def __init__(self, places: np.ndarray, strengths: np.ndarray, widest: int):
         self.places, self.strengths = places, strengths
@@ -90,16 +92,28 @@ class StrongestCut:
         i = int(max(level[a], level[b - (1 << k)])) & ((1 << 40) - 1)
         return int(self.places[i]), int(self.strengths[i])
 
+    def strongest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Strength of the strongest of boundaries low to high - 1 of each window, 0 if it is empty."""
+        out = np.zeros(len(low), np.int64)
+        width = high - low
+        depth = np.frexp(np.maximum(width, 1))[1] - 1
+        for k in np.unique(depth[width > 0]):
+            at = (width > 0) & (depth == k)
+            level = self.levels[k]
+            out[at] = np.maximum(level[low[at]], level[high[at] - (1 << int(k))]) >> 40
+        return out
+
 
 def need_of(n: int, index: tuple[np.ndarray, ...], limit: int) -> str:
     """The strongest rank whose boundaries, with all stronger ones, leave no stretch over the limit."""
-    _, strengths, ends, starts = index
-    for rank in (4, 3, 2, 1):
-        at = strengths >= rank
-        lengths = np.append(ends[at], n) - np.insert(starts[at], 0, 0)
-        if lengths.max() <= limit:
-            return RANKS[rank]
-    return RANKS[0]
+    places, strengths, ends, starts = index
+    # within a blank line the stretch has ended where the line before it did
+    ends = np.minimum.accumulate(ends[::-1])[::-1]
+    begins, own = np.insert(starts, 0, 0), np.insert(strengths, 0, 4)
+    low, high = np.arange(len(begins)), np.searchsorted(ends, begins + limit, side="right")
+    met = StrongestCut(places, strengths, int((high - low).max())).strongest(low, high)
+    met[n - begins <= limit] = 4
+    return RANKS[next((rank for rank in (4, 3, 2, 1) if (met[own >= rank] >= rank).all()), 0)]
 
 
 def pieces_of(text: str, limit: int, overlap: int, least: int) -> tuple[str, list[tuple[int, int, str]]]:
@@ -151,8 +165,25 @@ def split_texts(df: DataFrame, limit: int = 2000, overlap: int = 200, least: int
                     rows, size = tuple([] for _ in _ARROW), 0
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _ARROW, strict=True)], schema=_ARROW)
 
-    rows = df.select("tbl", F.col("record_id").cast("string"), "text").where(F.col("record_id").isNotNull() & (F.length("text") > 0))
-    return rows.mapInArrow(cut, _PIECES)
+    return _texts(df).mapInArrow(cut, _PIECES)
+
+
+_NEEDS = pa.schema([("tbl", pa.string()), ("record_id", pa.string()), ("need", pa.string())])
+
+
+def text_needs(df: DataFrame, limit: int = 2000) -> DataFrame:
+    """(tbl, record_id, need) of every text of df(tbl, record_id, text), without its pieces; narrow."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            needs = [need_of(len(t), boundaries(t), limit) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(needs, pa.string())], schema=_NEEDS)
+
+    return _texts(df).mapInArrow(ask, "tbl string, record_id string, need string")
+
+
+def _texts(df: DataFrame) -> DataFrame:
+    return df.select("tbl", F.col("record_id").cast("string"), "text").where(F.col("record_id").isNotNull() & (F.length("text") > 0))
 
 
 def payload_text(data: str) -> Column:

@@ -21,7 +21,7 @@ def _long_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.split_texts(_long_texts(spark, d), LIMIT, OVERLAP).where("piece = 0").select("tbl", "record_id", "need").distinct()
+    return chunking.text_needs(_long_texts(spark, d), LIMIT).distinct()
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tarnwork.llm.chunking import RANKS, StrongestCut, boundaries, need_of, pieces_of, split_texts
+from tarnwork.llm.chunking import RANKS, StrongestCut, boundaries, need_of, pieces_of, split_texts, text_needs
 
 
 def need(text, limit):
@@ -24,6 +24,37 @@ def test_needs():
     assert need("a" * 11 + "\n\n" + "b. c", 10) == "none"
 
 
+def gaps_need(text, limit):
+    """By the longest stretch between successive boundaries of each rank."""
+    _, strengths, ends, starts = boundaries(text)
+    for rank in (4, 3, 2, 1):
+        at = strengths >= rank
+        if (np.append(ends[at], len(text)) - np.insert(starts[at], 0, 0)).max() <= limit:
+            return RANKS[rank]
+    return "none"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abc .!\n\r\t。光", max_size=300), st.integers(1, 60))
+def test_needs_from_windows_against_gaps(text, limit):
+    assert need(text, limit) == gaps_need(text, limit)
+
+
+def test_needs_of_random_texts():
+    rng = random.Random(8)
+    for _ in range(4000):
+        text = "".join(rng.choice(["a", "b" * rng.randint(1, 9), " ", "\n", "\n\n", "\n \t\n", ". ", "。", "\r\n", "  "]) for _ in range(rng.randint(0, 60)))
+        limit = rng.randint(1, 40)
+        assert need(text, limit) == gaps_need(text, limit), (text, limit)
+
+
+def test_needs_frame(spark):
+    data = [("t", "1", "a b " * 1000, "clash"), ("t", "2", None, ""), ("t", None, "x", ""), ("t", "3", "", ""), ("t", "4", "y" * 2001, ""), ("t", "5", "short", "")]
+    df = spark.createDataFrame(data, "tbl string, record_id string, text string, need string")
+    assert {(r["record_id"], r["need"]) for r in text_needs(df).collect()} == {("1", "word"), ("4", "none"), ("5", "paragraph")}
+    assert text_needs(df.limit(0)).count() == 0
+
+
 def brute_best(places, strengths, low, high):
     got = [(s, p) for p, s in zip(places, strengths, strict=True) if low < p <= high]
     return (max(got)[1], max(got)[0]) if got else None
