@@ -59,19 +59,19 @@ def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("removed > 0").distinct()
 
 
-def _budgets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sized = mixture.sized_documents(table(spark, d, "documents"))
-    return sized, checkpoint(mixture.source_budgets(sized, table(spark, d, "mix_targets")))
+    return sized, mixture.plan(sized, checkpoint(mixture.source_budgets(sized, table(spark, d, "mix_targets"))))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    sized, budgets = _budgets(spark, d)
-    return mixture.reached(sized, budgets).where("short").select(F.col("target").alias("source")).distinct()
+    _, planned = _mixture(spark, d)
+    return planned.where("short").select(F.col("target").alias("source")).distinct()
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """The share every source reaches in the mixture."""
-    return mixture.reached(*_budgets(spark, d))
+    return mixture.reached(*_mixture(spark, d))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

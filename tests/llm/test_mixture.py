@@ -20,7 +20,11 @@ def corpus(spark):
 
 def build(spark, corpus, targets):
     sized = mixture.sized_documents(corpus)
-    return sized, checkpoint(mixture.source_budgets(sized, spark.createDataFrame(targets, TARGETS)))
+    return sized, planned(spark, sized, targets)
+
+
+def planned(spark, sized, targets):
+    return mixture.plan(sized, checkpoint(mixture.source_budgets(sized, spark.createDataFrame(targets, TARGETS))))
 
 
 def test_shares_and_caps(spark, corpus):
@@ -39,11 +43,26 @@ def test_shares_and_caps(spark, corpus):
 
 def test_repeats_and_nested_thresholds(spark, corpus):
     small, budgets = build(spark, corpus, [("mid", 0.2, 5, "")])
-    more = checkpoint(mixture.source_budgets(small, spark.createDataFrame([("mid", 0.3, 5, "")], TARGETS)))
+    more = planned(spark, small, [("mid", 0.3, 5, "")])
     a, b = ({r["doc_id"]: r["copies"] for r in mixture.mix(small, x).collect()} for x in (budgets, more))
     assert all(b.get(k, 0) >= v for k, v in a.items()) and sum(b.values()) > sum(a.values())
 
 
+def test_short_at_the_very_edge(spark, corpus):
+    sized = mixture.sized_documents(corpus)
+    total = sized.agg(F.sum("tokens")).first()[0]
+    have = sized.where("source = 'small'").agg(F.sum("tokens")).first()[0]
+    for more, short in ((-0.25, False), (0.0, False), (0.25, True)):
+        rows = mixture.reached(sized, planned(spark, sized, [("small", 2 * (3 * have + more) / total, 3, "")])).collect()
+        assert rows[0]["short"] == short and rows[0]["most_copies"] == 3
+
+
+def test_odd_targets(spark, corpus):
+    sized = mixture.sized_documents(corpus)
+    got = {r["target"]: (r["short"], r["tokens"]) for r in mixture.reached(sized, planned(spark, sized, [("big", 0.2, 0, ""), ("mid", 0.0, 2, ""), (None, 0.1, 2, ""), ("gone", 0.1, None, ""), ("small", None, 2, "")])).collect()}
+    assert got == {"big": (True, 0), "mid": (False, 0), None: (True, 0), "gone": (True, 0), "small": (False, 0)}
+
+
 def test_empty_tables(spark, corpus):
     sized, budgets = build(spark, corpus.limit(0), [("mid", 0.2, 5, "")])
     assert mixture.mix(sized, budgets).count() == 0 and mixture.reached(sized, budgets).count() == 1
