@@ -4,8 +4,8 @@ Baskets of at most `block` items give their pairs in one row. A larger basket is
 chunks of about `block` items by the items' hashes; every pair of chunks becomes a unit of
 its own, so its product is made by many tasks, none holding more than two chunks. Pair
 counts add up over both kinds with map-side combination. Items travel as 64-bit hashes that
-are checked to be free of collisions (another salt is taken if not), names return only to
-the pairs that are reported.
+are checked to be free of collisions (another salt is taken if not), baskets as 128-bit
+digests; names return only to the pairs that are reported.
 
 Results for edge cases: NULL baskets or items are no members; an item repeated in a basket
 counts once; baskets of one item count as baskets but give no pair; empty inputs give
@@ -17,23 +17,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.plans.shaping import checkpoint
+from tarnwork.plans.shaping import join_counted, written
 
 BLOCK = 32
 
 
-def encode_items(df: DataFrame, basket: str, item: str) -> tuple[DataFrame, DataFrame, Column]:
-    """Distinct (basket, item hash), the dictionary (id, name), and the hash of a name column."""
-    names = df.select(F.col(item).alias("name")).where(F.col("name").isNotNull()).distinct()
+def encode_items(df: DataFrame, basket: str, item: str, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame, Column]:
+    """Distinct (basket, id), the dictionary (id, name) and the hash of a name column; more: (name),
+    further names that are hashed and must not collide with the items."""
+    names = df.select(F.col(item).alias("name"))
+    names = (names if more is None else names.unionAll(more.select("name"))).where(F.col("name").isNotNull()).distinct()
     for salt in range(8):
         hashed = lambda c, salt=salt: F.xxhash64(c, F.lit(salt))
-        items = checkpoint(names.select(hashed(F.col("name")).alias("id"), "name"))
+        items = written(names.select(hashed(F.col("name")).alias("id"), "name"))
         if items.groupBy("id").count().where("count > 1").isEmpty():
             break
     else:
         raise ValueError("no salt keeps the items' hashes apart")
-    members = df.select(F.xxhash64(F.col(basket).cast("string")).alias("_h"), F.col(basket).alias("basket"), hashed(F.col(item)).alias("id"), F.col(item).alias("_n"))
-    members = members.where(F.col("basket").isNotNull() & F.col("_n").isNotNull()).select("basket", "id").distinct()
+    both = F.col(basket).isNotNull() & F.col(item).isNotNull()
+    members = df.where(both).select(F.unhex(F.md5(F.col(basket).cast("string"))).alias("basket"), hashed(F.col(item)).alias("id")).distinct()
     return members, items, hashed
 
 
@@ -41,6 +43,17 @@ def basket_sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
 
 
+def with_sizes(members: DataFrame) -> DataFrame:
+    """members with the size of their basket; a basket with a large share of all rows is not shuffled."""
+    members = written(members)
+    return join_counted(members, written(basket_sizes(members)), ["basket"], "size")
+
+
+def basket_count(sized: DataFrame) -> int:
+    """Baskets of sized members: each member counts for 1 / size, so nothing has to be made distinct."""
+    return round(sized.agg(F.coalesce(F.sum(1 / F.col("size")), F.lit(0.0))).first()[0])
+
+
 def _all_pairs(ids: Column) -> Column:
     """Unordered pairs within one array of distinct ids, smaller id first."""
     ordered = F.array_sort(ids)
@@ -72,12 +85,18 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
 
 
 def with_lift(pairs: DataFrame, support: DataFrame, n: int) -> DataFrame:
-    """Add na, nb and lift = c*n/(na*nb) to pairs(a, b, c); support: (id, support)."""
+    """Add na, nb and lift = c*n/(na*nb) to pairs(a, b, c); support: (id, support), cheap to read."""
     a, b = support.select(F.col("id").alias("a"), F.col("support").alias("na")), support.select(F.col("id").alias("b"), F.col("support").alias("nb"))
-    return pairs.join(a, "a").join(b, "b").withColumn("lift", F.col("c") * F.lit(n) / (F.col("na") * F.col("nb")))
+    # an item is in no more pairs than its baskets give, so its support tells whether it is hot
+    met = join_counted(join_counted(pairs, a, ["a"], "na"), b, ["b"], "nb")
+    return met.withColumn("lift", F.col("c") * F.lit(n) / (F.col("na") * F.col("nb")))
 
 
 def named(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """Replace ids by names, file_a < file_b by code point."""
-    a, b = items.select(F.col("id").alias("a"), F.col("name").alias("_x")), items.select(F.col("id").alias("b"), F.col("name").alias("_y"))
-    return pairs.join(a, "a").join(b, "b").withColumns({"file_a": F.least("_x", "_y"), "file_b": F.greatest("_x", "_y")}).drop("_x", "_y", "a", "b")
+    pairs = written(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    names = written(items.join(wanted, "id"))
+    side = lambda key, name: names.select(F.col("id").alias(key), F.col("name").alias(name), "_n")
+    met = join_counted(join_counted(pairs, side("a", "_x"), ["a"], "_n").drop("_n"), side("b", "_y"), ["b"], "_n").drop("_n")
+    return met.withColumns({"file_a": F.least("_x", "_y"), "file_b": F.greatest("_x", "_y")}).drop("_x", "_y", "a", "b")

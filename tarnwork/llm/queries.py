@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.llm import chunking, cooccur, leakage, mixture, spans
-from tarnwork.plans.shaping import checkpoint, table
+from tarnwork.plans.shaping import checkpoint, table, written
 
 LIMIT, OVERLAP = 2000, 200
 MOST_FILES, LEAST_COUNT, LEAST_LIFT = 50, 5, 20.0
@@ -28,26 +28,32 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_texts(_long_texts(spark, d), LIMIT, OVERLAP).distinct()
 
 
-def _members(spark: SparkSession, d: str):
-    members, items, hashed = cooccur.encode_items(table(spark, d, "commit_files"), "sha", "file_path")
-    sizes = cooccur.basket_sizes(members).where(F.col("size") <= MOST_FILES)
-    kept = checkpoint(members.join(sizes, "basket"))
-    return kept, items, hashed
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    kept, items, hashed = _members(spark, d)
-    n = kept.agg(F.count_distinct("basket")).first()[0]
-    support = kept.groupBy("id").agg(F.count(F.lit(1)).alias("support"))
     told = table(spark, d, "co_changes").where("file_a is not null and file_b is not null and file_a != file_b")
+    members, items, hashed = cooccur.encode_items(table(spark, d, "commit_files"), "sha", "file_path", told.select(F.explode(F.array("file_a", "file_b")).alias("name")))
+    kept = written(cooccur.with_sizes(members).where(F.col("size") <= MOST_FILES))
+    n = cooccur.basket_count(kept)
     x, y = hashed(F.col("file_a")), hashed(F.col("file_b"))
     stored = told.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.lit(0).cast("bigint").alias("c"), F.coalesce("count", F.lit(0)).alias("stored"))
     made = cooccur.pair_counts(cooccur.basket_pairs(kept)).withColumn("stored", F.lit(0).cast("bigint"))
-    both = checkpoint(made.unionByName(stored).groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("stored").alias("stored")).where((F.col("c") >= LEAST_COUNT) | (F.col("c") != F.col("stored"))))
-    strong = cooccur.with_lift(both.where(F.col("c") >= LEAST_COUNT), support, n).where(F.col("c") * F.lit(n) >= F.lit(LEAST_LIFT) * F.col("na") * F.col("nb")).select(F.lit("strong").alias("kind"), "a", "b")
+    both = written(made.unionByName(stored).groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("stored").alias("stored")).where((F.col("c") >= LEAST_COUNT) | (F.col("c") != F.col("stored"))))
+    strong = _lifted(kept, both.where(F.col("c") >= LEAST_COUNT), n).where(F.col("c") * F.lit(n) >= F.lit(LEAST_LIFT) * F.col("na") * F.col("nb")).select(F.lit("strong").alias("kind"), "a", "b")
     drift = both.where("c != stored").select(F.lit("drift").alias("kind"), "a", "b")
-    names = items.unionByName(told.select(F.explode(F.array("file_a", "file_b")).alias("name")).select(hashed(F.col("name")).alias("id"), "name")).distinct()
-    return cooccur.named(strong.unionByName(drift), names).select("kind", "file_a", "file_b")
+    return cooccur.named(strong.unionByName(drift), items).select("kind", "file_a", "file_b")
+
+
+def _lifted(members: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    support = written(members.groupBy("id").agg(F.count(F.lit(1)).alias("support")))
+    return cooccur.with_lift(pairs, support, n)
+
+
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of files with 5 common commits or more over all commits, however large, and their lift."""
+    members, items, _ = cooccur.encode_items(table(spark, d, "commit_files"), "sha", "file_path")
+    sized = written(cooccur.with_sizes(members))
+    n = cooccur.basket_count(sized)
+    pairs = written(cooccur.pair_counts(cooccur.basket_pairs(sized)).where(F.col("c") >= LEAST_COUNT))
+    return cooccur.named(_lifted(sized, pairs, n), items).select("file_a", "file_b", F.col("c").alias("n_common"), F.round("lift", 6).alias("lift"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +89,7 @@ def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p7_found, p7_cleaned, p8_found, p8_shares, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_pairs, p7_found, p7_cleaned, p8_found, p8_shares, p9_found, p9_coverage)}
 
 #: Every stretch of 300 characters of every document.
 _GRAMS = """d as (select distinct doc_id, text from documents where doc_id is not null and text is not null),
@@ -111,6 +117,10 @@ SQL = {
              n as (select text, count(*) as copies from d where length(text) >= 300 group by 1),
              r as (select doc_id, length(text) as n_chars, coalesce(part, 0)::bigint as shared_chars, coalesce(copies, 1) as copies from d left join c using (doc_id) left join n using (text))
         select doc_id, n_chars, shared_chars, round(case when n_chars = 0 then 0 else shared_chars / n_chars end, 6) as share, copies from r""",
+    "p4_pairs": """
+        with cf as (select distinct sha, file_path from commit_files where sha is not null and file_path is not null), n as (select count(distinct sha) as n from cf), sup as (select file_path, count(*) as s from cf group by 1),
+             p as (select a.file_path as file_a, b.file_path as file_b, count(*) as c from cf a join cf b on a.sha = b.sha and a.file_path < b.file_path group by 1, 2 having count(*) >= 5)
+        select p.file_a, p.file_b, c as n_common, round(c * n / (x.s * y.s), 6) as lift from p join sup x on x.file_path = p.file_a join sup y on y.file_path = p.file_b, n""",
     "p4_found": """
         with cf as (select distinct sha, file_path from commit_files where sha is not null and file_path is not null),
              keep as (select sha from cf group by sha having count(*) <= 50),

@@ -10,7 +10,7 @@ from tarnwork.llm import cooccur
 def counted(spark, data, block=cooccur.BLOCK):
     df = spark.createDataFrame(data, "sha string, file_path string, count bigint, a string")
     members, items, _ = cooccur.encode_items(df, "sha", "file_path")
-    sized = members.join(cooccur.basket_sizes(members), "basket")
+    sized = cooccur.with_sizes(members)
     out = cooccur.named(cooccur.pair_counts(cooccur.basket_pairs(sized, block)), items)
     return {(r["file_a"], r["file_b"]): r["c"] for r in out.collect()}, sized, items
 
@@ -33,6 +33,15 @@ def test_blocks_give_the_same_pairs_as_brute_force(spark):
         assert counted(spark, data, block)[0] == want
 
 
+def test_hot_baskets_and_items(spark, monkeypatch):
+    from tarnwork.plans import shaping
+
+    monkeypatch.setattr(shaping, "BROADCAST_ROWS", 1)
+    rng = random.Random(4)
+    data = [(f"s{i}", f"f{rng.randint(0, 30)}", 1, "x") for i in range(300) for _ in range(2)] + [(f"s{i}", "hot", 1, "x") for i in range(300)] + [("huge", f"f{i}", 1, "x") for i in range(400)]
+    assert counted(spark, data, 16)[0] == brute(data)[0]
+
+
 def test_lift(spark):
     data = [(s, f, 0, "") for s, f in [("1", "a"), ("1", "b"), ("2", "a"), ("2", "b"), ("3", "a"), ("4", "c")]]
     _, sized, items = counted(spark, data)
