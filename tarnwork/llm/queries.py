@@ -84,12 +84,18 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.expand_pairs(*spans.shared_pairs(table(spark, d, "documents")))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each document of 300 characters or more with its class of exact copies, and how many other
+    classes it shares a stretch with."""
+    return spans.class_links(*spans.shared_pairs(table(spark, d, "documents")))
+
+
 def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
     """How much of each document is found elsewhere too."""
     return spans.coverage(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_pairs, p7_found, p7_cleaned, p8_found, p8_shares, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_pairs, p7_found, p7_cleaned, p8_found, p8_shares, p9_found, p9_classes, p9_coverage)}
 
 #: Every stretch of 300 characters of every document.
 _GRAMS = """d as (select distinct doc_id, text from documents where doc_id is not null and text is not null),
@@ -111,6 +117,11 @@ SQL = {
     "p9_found": f"""
         with {_GRAMS}, s as (select h from g group by h having min(doc_id) <> max(doc_id)), k as (select distinct doc_id, h from g join s using (h))
         select distinct a.doc_id as doc_a, b.doc_id as doc_b from k a join k b on a.h = b.h and a.doc_id < b.doc_id""",
+    "p9_classes": f"""
+        with {_GRAMS}, m as (select distinct doc_id, text from d where length(text) >= 300), r as (select text, min(doc_id) as rep, count(*) as copies from m group by 1),
+             s as (select h from g group by h having min(doc_id) <> max(doc_id)), k as (select distinct rep, h from g join s using (h) join r on g.doc_id = r.rep),
+             p as (select distinct a.rep as a, b.rep as b from k a join k b on a.h = b.h and a.rep <> b.rep), l as (select a as rep, count(*) as links from p group by 1)
+        select doc_id, rep, copies, coalesce(links, 0) as links from m join r using (text) left join l using (rep)""",
     "p9_coverage": f"""
         with {_GRAMS}, s as (select h from g group by h having min(doc_id) <> max(doc_id)), k as (select distinct doc_id, start from g join s using (h)),
              f as (select doc_id, least(300, start - coalesce(lag(start) over (partition by doc_id order by start), -300)) as fresh from k), c as (select doc_id, sum(fresh)::bigint as part from f group by 1),

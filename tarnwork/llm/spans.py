@@ -7,9 +7,11 @@ k-mer that is kept in both. Kept k-mers found in two texts or more, linked to th
 one of the same text at their distance, form a sparse graph. A link that all occurrences of
 both its ends take is nonbranching; such links are compacted by joining occurrence counts,
 and each text's run of compacted links is one occurrence of a repeated path. Source
-coordinates then verify: paths of LEAST characters or more are compared by a digest of
-their characters, and around shorter ones every stretch of LEAST characters that contains
-the path is compared by such a digest.
+coordinates then verify: paths of LEAST characters or more are compared by a 128-bit
+cryptographic digest of their characters, and around shorter ones every stretch of LEAST
+characters that contains the path is compared by such a digest. Kept k-mers are known by
+such a digest of 64 bits; only the choice of those to keep, which is the same wherever the
+characters are, uses a cheap rolling hash.
 
 Work grows with the texts and with the repeated paths, not with pairs: pairs appear only
 when two texts hold an equal stretch, and exact copies are one class throughout, which is
@@ -24,55 +26,59 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.plans.shaping import anti_checked, salted_join, written
+from tarnwork.plans.shaping import anti_checked, join_counted, written
 
 LEAST, K = 300, 200
+#: Holders of one stretch that a task may get on the left of their pairs.
+SIDE = 1_000
 
-#: Odd bases of two polynomial hashes modulo 2**64, with a mixing factor for code points each.
-_BASES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
+#: The odd base of a polynomial hash modulo 2**64, and a mixing factor for code points.
+_BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _PLACE = (1 << 24) - 1
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_table: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse, n of each."""
-    up, down = _tables.get(which, (np.empty(0), None))
-    if len(up) < n:
-        made = []
-        for base in (_BASES[which][0], pow(_BASES[which][0], -1, 1 << 64)):
-            table = np.full(max(n, 1 << 14), base, np.uint64)
-            table[0] = 1
-            made.append(np.multiply.accumulate(table))
-        up, down = _tables[which] = tuple(made)
-    return up[:n], down[:n]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n of each."""
+    if len(_table[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            made = np.full(max(n, 1 << 14), base, np.uint64)
+            made[0] = 1
+            _table[i] = np.multiply.accumulate(made)
+    return _table[0][:n], _table[1][:n]
 
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def encoded(text: str) -> bytes:
+    """Four bytes a code point."""
+    return text.encode("utf-32-le", "surrogatepass")
 
 
-class Digests:
-    """Hashes of any stretches of one text, in constant time each after one pass."""
+def order_hashes(codes: bytes, k: int) -> np.ndarray:
+    """A hash of every k-mer of a text, by which some are kept; different k-mers may share one."""
+    points = np.frombuffer(codes, np.uint32)
+    up, down = _powers(len(points) + 1)
+    mixed = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX)
+    mixed ^= mixed >> np.uint64(32)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * up[: len(points)], dtype=np.uint64)])
+    h = (sums[k:] - sums[:-k]) * down[: len(points) - k + 1]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
 
-    def __init__(self, codes: np.ndarray, which: int):
-        up, self.down = _powers(which, len(codes) + 1)
-        mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASES[which][1])
-        mixed ^= mixed >> np.uint64(32)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * up[: len(codes)], dtype=np.uint64)])
 
-    def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        h = (self.sums[stops] - self.sums[starts]) * self.down[starts]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(29))
+def digests(codes: bytes, starts: list[int], stops: list[int], size: int) -> np.ndarray:
+    """Cryptographic digests of stretches of a text, as rows of size / 8 integers."""
+    found = b"".join(blake2b(codes[4 * a : 4 * b], digest_size=size).digest() for a, b in zip(starts, stops, strict=True))
+    return np.frombuffer(found, np.int64).reshape(-1, size // 8)
 
 
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:
@@ -97,14 +103,12 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def sampled_kmers(text: str, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the k-mers kept of one text."""
+    """Places and digests of the k-mers kept of one text."""
     if len(text) < least:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    codes = code_points(text)
-    starts = np.arange(len(codes) - k + 1)
-    h = Digests(codes, 0).of(starts, starts + k)
-    places = window_minima(h, least - k + 1)
-    return places, h[places]
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    codes = encoded(text)
+    places = window_minima(order_hashes(codes, k), least - k + 1)
+    return places, digests(codes, places.tolist(), (places + k).tolist(), 8)[:, 0]
 
 
 def path_keys(text: str, runs: list[tuple[int, int]], least: int, k: int, edges: bool) -> list[tuple[int, int]]:
@@ -135,10 +139,11 @@ _KEYS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.in
 def copy_classes(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, rep) of all documents of at least `least` characters: exact copies share the smallest id."""
     digest = documents.where(F.length("text") >= least).select("doc_id", F.md5("text").alias("m"), F.xxhash64("text").alias("x"), F.length("text").alias("n")).where("doc_id is not null").distinct()
-    reps = digest.groupBy("m", "x", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last"))
+    digest = written(digest)
+    reps = written(digest.groupBy("m", "x", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("held")))
     several = reps.where("rep != _last")
     # most texts have no copy: only those of a class of several need the join
-    copies = salted_join(digest, several.drop("_last"), ["m", "x", "n"], "doc_id").select("doc_id", "rep")
+    copies = join_counted(digest, several.drop("_last"), ["m", "x", "n"], "held").select("doc_id", "rep")
     single = reps.where("rep = _last").select(F.col("rep").alias("doc_id"), "rep")
     return copies.unionByName(single)
 
@@ -153,44 +158,46 @@ def repeated_paths(documents: DataFrame, classes: DataFrame, least: int = LEAST,
                 at, h = sampled_kmers(text, least, k)
                 ids.append(np.full(len(at), doc, np.int64))
                 places.append(at.astype(np.int32))
-                hashes.append(h.view(np.int64))
+                hashes.append(h)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, places, hashes)], schema=_KMERS)
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where((F.length("text") >= least) & F.col("doc_id").isNotNull())
     copies = classes.where("doc_id != rep").select("doc_id")
     kept = written(anti_checked(texts.mapInArrow(sample, "doc_id bigint, pos int, h bigint"), copies, ["doc_id"]))
-    several = kept.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("h")
+    several = written(kept.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("held")).where("a != b").select("h", "held"))
     # repeated rows of a record are dropped here, where few k-mers are left
-    found = written(salted_join(kept, several, ["h"], "pos").distinct())
-    nodes = written(salted_join(found, found.groupBy("h").agg(F.count(F.lit(1)).alias("n")), ["h"], "pos"))
+    found = written(join_counted(kept, several, ["h"], "held").drop("held").distinct())
+    counts = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
+    nodes = written(join_counted(found, counts, ["h"], "n"))
     in_text = Window.partitionBy("doc_id").orderBy("pos")
     linked = nodes.withColumns({"next": F.lead("h").over(in_text), "gap": F.lead("pos").over(in_text) - F.col("pos"), "next_n": F.lead("n").over(in_text)})
     # k-mers that overlap fix every character between them
     taken = linked.where(F.col("next").isNotNull() & (F.col("gap") <= k)).groupBy("h", "gap", "next", "n", "next_n").agg(F.count(F.lit(1)).alias("taken"))
-    plain = taken.where("taken = n and n = next_n").select("h", F.lit(True).alias("goes_on"))
-    flagged = written(salted_join(nodes, plain, ["h"], "pos", how="left").select("doc_id", "pos", "h", F.coalesce("goes_on", F.lit(False)).alias("goes_on")))
+    plain = written(taken.where("taken = n and n = next_n").select("h", F.col("n").alias("goes_on")))
+    flagged = written(join_counted(nodes.select("doc_id", "pos", "h"), plain, ["h"], "goes_on", how="left").select("doc_id", "pos", "h", F.col("goes_on").isNotNull().alias("goes_on")))
     begins = ~F.coalesce(F.lag("goes_on").over(in_text), F.lit(False))
     numbered = flagged.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("int")).over(in_text))
     return numbered.groupBy("doc_id", "run").agg(F.min_by("h", "pos").alias("path"), F.min("pos").alias("start"), (F.max("pos") + k).alias("stop")).drop("run")
 
 
 def shared_stretches(documents: DataFrame, classes: DataFrame, least: int = LEAST, k: int = K, edges: bool = False) -> DataFrame:
-    """(doc_id, start, stop, d1, d2): stretches compared, of class representatives; equal
-    digests mean equal characters."""
+    """(doc_id, start, stop, d1, d2): stretches compared, of class representatives; d1 and d2 are
+    a cryptographic digest of the characters."""
     runs = repeated_paths(documents, classes, least, k).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            columns: list[list[np.ndarray]] = [[], [], [], []]
             for doc, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys = np.array(path_keys(text, [(r["start"], r["stop"]) for r in runs if r["stop"] <= len(text)], least, k, edges), np.int64).reshape(-1, 2)
-                codes = code_points(text)
-                d1, d2 = (Digests(codes, i).of(keys[:, 0], keys[:, 1]).view(np.int64) for i in (0, 1))
-                for c, x in zip(columns, (np.full(len(keys), doc, np.int64), keys[:, 0].astype(np.int32), keys[:, 1].astype(np.int32), d1, d2), strict=True):
-                    c.append(x)
+                keys = path_keys(text, [(r["start"], r["stop"]) for r in runs if r["stop"] <= len(text)], least, k, edges)
+                if keys:
+                    starts, stops = zip(*keys, strict=True)
+                    for c, x in zip(columns, (np.full(len(keys), doc, np.int64), np.array(starts, np.int32), np.array(stops, np.int32), digests(encoded(text), starts, stops, 16)), strict=True):
+                        c.append(x)
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], schema=_KEYS)
+                docs, starts, stops, both = (np.concatenate(c) for c in columns)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (docs, starts, stops, both[:, 0], both[:, 1])], schema=_KEYS)
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") >= least)
     # repeated rows of a record lie in one partition after the join, distinct drops them; of one id
@@ -201,17 +208,30 @@ def shared_stretches(documents: DataFrame, classes: DataFrame, least: int = LEAS
 def shared_pairs(documents: DataFrame, least: int = LEAST, k: int = K) -> tuple[DataFrame, DataFrame]:
     """(pairs (a, b) between class representatives, membership (doc_id, rep))."""
     classes = written(copy_classes(documents, least))
-    keys = shared_stretches(documents, classes, least, k).select("doc_id", "d1", "d2").distinct()
-    keys = written(keys)
-    several = keys.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2")
-    held = written(salted_join(keys, several, ["d1", "d2"], "doc_id"))
-    # partners of one stretch are spread over salts; every pair met is a result
-    left = held.select("d1", "d2", F.col("doc_id").alias("a")).withColumn("_s", F.pmod(F.xxhash64("a"), F.lit(8)).cast("int"))
-    right = held.select("d1", "d2", F.col("doc_id").alias("b")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    keys = written(shared_stretches(documents, classes, least, k).select("doc_id", "d1", "d2").distinct())
+    # stretches that lie side by side are mostly held by the same texts: one of each such set is enough
+    held_by = keys.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(2))).alias("y")).where("n > 1")
+    several = written(held_by.groupBy("n", "x", "y").agg(F.min(F.struct("d1", "d2")).alias("d")).select("d.d1", "d.d2", "n"))
+    held = written(join_counted(keys, several, ["d1", "d2"], "n"))
+    # a text's partners of one stretch are spread over as many salts as the stretch needs, so that no
+    # task gets more than SIDE texts on the left; every pair met is a result
+    salts = F.ceil(F.col("n") / SIDE).cast("int")
+    left = held.select("d1", "d2", F.col("doc_id").alias("a"), F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("_s"))
+    right = held.select("d1", "d2", F.col("doc_id").alias("b"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("_s"))
     pairs = left.join(right, ["d1", "d2", "_s"]).where("a < b").select("a", "b").distinct()
     return pairs, classes
 
 
+def class_links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, rep, copies, links): each record with its class of exact copies, the number of
+    records in the class, and of other classes that share a stretch with it."""
+    both = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep")))
+    links = both.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    sizes = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).join(links, "rep", "left")
+    counted = join_counted(classes, written(sizes), ["rep"], "copies")
+    return counted.select("doc_id", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def expand_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: pairs of records, copies included."""
     x, y = classes.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), classes.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
@@ -226,8 +246,8 @@ def coverage(documents: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
     classes = written(copy_classes(documents, least))
     sizes = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
     keys = written(shared_stretches(documents, classes, least, k, edges=True))
-    several = keys.groupBy("d1", "d2").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p != q").select("d1", "d2")
-    held = salted_join(keys, several, ["d1", "d2"], "doc_id").select("doc_id", "start", "stop")
+    several = keys.groupBy("d1", "d2").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q"), F.count(F.lit(1)).alias("n")).where("p != q").select("d1", "d2", "n")
+    held = join_counted(keys, written(several), ["d1", "d2"], "n").select("doc_id", "start", "stop")
     in_text = Window.partitionBy("doc_id").orderBy("start", "stop")
     before = F.coalesce(F.max("stop").over(in_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fresh = held.withColumn("fresh", F.greatest(F.col("stop") - F.greatest("start", before), F.lit(0))).groupBy(F.col("doc_id").alias("rep")).agg(F.sum("fresh").alias("part"))

@@ -81,11 +81,61 @@ def test_window_minima_and_digests():
         want = sorted({i + int(np.flatnonzero(h[i : i + w] >> np.uint64(24) == (h[i : i + w] >> np.uint64(24)).min())[-1]) for i in range(len(h) - w + 1)})
         assert spans.window_minima(h, w).tolist() == want
     assert spans.window_minima(h[:3], 4).tolist() == []
-    codes = spans.code_points("abcabcabc" * 50)
-    for which in (0, 1):
-        d = spans.Digests(codes, which)
-        a = d.of(np.array([0, 3, 6, 1]), np.array([90, 93, 96, 91]))
-        assert a[0] == a[1] == a[2] != a[3]
+    codes = spans.encoded("abcabcabc" * 50)
+    a = spans.digests(codes, [0, 3, 6, 1], [90, 93, 96, 91], 16).tolist()
+    assert a[0] == a[1] == a[2] != a[3]
+    assert len(set(spans.order_hashes(codes, 90).tolist())) == 3
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+def test_texts_that_collide_under_polynomials(spark):
+    x, y = thue_morse(1024), thue_morse(1024, 1)
+    a, b = (spans.digests(spans.encoded(t), [0], [1024], 16).tolist() for t in (x, y))
+    assert a != b
+    rng = random.Random(3)
+    docs = [(1, x), (2, y), (3, text(rng, 40) + x[100:400]), (4, y[:700] + text(rng, 9))]
+    df = spark.createDataFrame([(d, t, "", "", "") for d, t in docs], SCHEMA)
+    got = {(r["doc_a"], r["doc_b"]) for r in spans.expand_pairs(*spans.shared_pairs(df)).collect()}
+    assert got == brute(docs, 300)[0]
+
+
+def test_one_header_in_all_texts(spark, monkeypatch):
+    """Every k-mer of the header is hot and stands at one place; pairs of its holders use many salts."""
+    from tarnwork.plans import shaping
+
+    monkeypatch.setattr(shaping, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(spans, "SIDE", 7)
+    rng = random.Random(11)
+    header = text(rng, 90)
+    docs = [(i, header + text(rng, rng.randint(0, 70))) for i in range(50)]
+    assert len(check(spark, docs)) == 50 * 49 // 2
+
+
+def test_hot_keys_are_not_shuffled(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tarnwork.plans import shaping
+
+    monkeypatch.setattr(shaping, "BROADCAST_ROWS", 2)
+    big = spark.range(3000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("k"), "id")
+    counts = shaping.written(big.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+    for how in ("inner", "left"):
+        joined = shaping.join_counted(big, counts.where("k < 1500"), ["k"], "n", how)
+        assert "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
+        want = big.join(counts.where("k < 1500"), ["k"], how)
+        assert sorted(map(tuple, joined.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_classes_and_links(spark):
+    rng = random.Random(5)
+    s = text(rng, 40)
+    docs = [(1, s + "x"), (2, s + "x"), (2, s + "x"), (3, "y" + s), (4, text(rng, 50)), (5, "short"), (None, s), (6, None)]
+    df = spark.createDataFrame([(d, t, "x", "y", "z") for d, t in docs], SCHEMA)
+    got = sorted(tuple(r) for r in spans.class_links(*spans.shared_pairs(df, LEAST, K)).collect())
+    assert got == [(1, 1, 2, 1), (2, 1, 2, 1), (3, 3, 1, 1), (4, 4, 1, 0)]
+    assert spans.class_links(*spans.shared_pairs(df.limit(0), LEAST, K)).count() == 0
 
 
 def test_production_parameters(spark):
