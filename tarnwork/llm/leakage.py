@@ -22,6 +22,7 @@ import sys
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,20 +47,66 @@ def words(text: str | None) -> list[str]:
         text = html.unescape(text)
     if text.isascii():
         return _WORD.findall(text.lower())
-    return _WORD.findall(_visible(unicodedata.normalize("NFKC", _visible(unicodedata.normalize("NFKC", text)).casefold())))
+    return _WORD.findall(_folded(text))
+
+
+def _folded(text: str) -> str:
+    return _visible(unicodedata.normalize("NFKC", _visible(unicodedata.normalize("NFKC", text)).casefold()))
 
 
 def _visible(text: str) -> str:
     return text if _FORMATS.isdisjoint(text) else text.translate(_WITHOUT_FORMATS)
 
 
+_ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+
+
+@lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """Characters of combining class 0 that still may compose with the one before them."""
+    found = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in range(sys.maxunicode + 1):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and parts[0][0] != "<" and not unicodedata.combining(second := chr(int(parts[1], 16))):
+            found.add(second)
+    return frozenset(found)
+
+
+@lru_cache(maxsize=100_000)
+def _begins(c: str) -> bool:
+    """Whether normalisation never joins this character with the one before it."""
+    first = unicodedata.normalize("NFKD", c)[:1]
+    return c not in _FORMATS and not unicodedata.combining(first) and first not in _joining()
+
+
 def spans(text: str | None) -> list[tuple[int, int]]:
-    """Where each word of the normalised text lies in the text itself; words that come from
-    one stretch between blanks of the source share that stretch."""
-    found = []
-    for m in re.finditer(r"\S+", text or ""):
-        found += [m.span()] * len(words(m.group()))
-    return found
+    """Where each word of the normalised text lies in the text itself.
+
+    The text falls into stretches that normalise on their own: an entity or a character with
+    those that may join it. Every character they give keeps the place of its stretch.
+    """
+    text = text or ""
+    points: list[tuple[str, int, int]] = []
+    at = 0
+    for m in _ENTITY.finditer(text) if "&" in text else ():
+        points += [(c, at + i, at + i + 1) for i, c in enumerate(text[at : m.start()])]
+        points += [(c, *m.span()) for c in html.unescape(m.group())]
+        at = m.end()
+    points += [(c, at + i, at + i + 1) for i, c in enumerate(text[at:])]
+    stretches: list[list] = []
+    for c, start, stop in points:
+        if stretches and (not _begins(c) or start < stretches[-1][2]):
+            stretches[-1][0].append(c)
+            stretches[-1][2] = max(stop, stretches[-1][2])
+        else:
+            stretches.append([[c], start, stop])
+    line: list[str] = []
+    places: list[tuple[int, int]] = []
+    for chars, start, stop in stretches:
+        got = _folded("".join(chars))
+        line.append(got)
+        places += [(start, stop)] * len(got)
+    return [(places[m.start()][0], places[m.end() - 1][1]) for m in _WORD.finditer("".join(line))]
 
 
 def grams_of(text: str | None, n: int) -> set[tuple[str, ...]]:
@@ -166,12 +213,21 @@ _CLEAN_COLUMNS = "doc_id bigint, text string, removed int"
 
 
 def cut(text: str, marks: list[tuple[int, int]]) -> str:
-    """The text without the words from first to last of each mark (first, behind last)."""
+    """The text without the words from first to last of each mark (first, behind last), and
+    without the marks around them where these stand alone between blanks."""
     places = spans(text)
     if marks and len(places) != len(words(text)):
-        return ""  # words can't be told apart in the source: nothing of it is kept
+        raise ValueError("the words of a text could not be found in it")
+    starts, stops = {a for a, _ in places}, {b for _, b in places}
     out, at = [], 0
     for a, b in sorted({(places[i][0], places[j - 1][1]) for i, j in marks}):
+        left, right = a, b
+        while left > 0 and not text[left - 1].isspace() and left not in stops:
+            left -= 1
+        while right < len(text) and not text[right].isspace() and right not in starts:
+            right += 1
+        # what stands between the passage and another word stays, so that words never grow together
+        a, b = a if left in stops else left, b if right in starts else right
         out.append(text[at : max(at, a)])
         at = max(at, b)
     out.append(text[at:])

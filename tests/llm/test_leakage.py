@@ -1,4 +1,6 @@
 from conftest import rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tarnwork.llm import leakage
 from tarnwork.llm.leakage import find_leaks, remove_leaks, spans, words
@@ -55,6 +57,26 @@ def test_removal(spark):
     assert rows(find_leaks(clean, i)) == []
 
 
+def test_only_the_passage_is_removed(spark):
+    joined = "alpha,beta," + ",".join(LONG.split()) + ",gamma,delta"
+    wide = "水光。" + "".join(LONG.split()) + "。" + LONG + "！火"
+    d, i = frames(spark, [(1, joined, "x"), (2, wide, "x"), (3, "a (" + LONG + ") b", "x")], ITEMS)
+    kept = {r["doc_id"]: r["text"] for r in remove_leaks(d, i).collect()}
+    assert kept == {1: "alpha,beta,,gamma,delta", 2: "水光。" + "".join(LONG.split()) + "。！火", 3: "a  b"}
+
+
+ODD = st.text(st.one_of(st.characters(), st.sampled_from("ae&;#x39 _\u0301\u200d\u00ad\uff9e\uff76\u1100\u1161\u11a8\u09c7\u09be\u0345ßİŉﬁ①")), max_size=60)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.one_of(ODD, st.sampled_from(["&amp;", "&eacute;", "&#x301;", "&zwj;", "&nbsp", "&ngE;"])), max_size=5))
+def test_every_word_has_its_place(parts):
+    text = "".join(parts)
+    places = spans(text)
+    assert len(places) == len(words(text))
+    assert all(0 <= a < b <= len(text) for a, b in places) and all(x[0] <= y[0] and x[1] <= y[1] for x, y in zip(places, places[1:], strict=False))
+
+
 def test_words_and_spans():
     assert words("A_b c&amp;d ﬁn ①") == ["a", "b", "c", "d", "fin", "1"]
     assert words("Straße STRASSE") == ["strasse", "strasse"]
