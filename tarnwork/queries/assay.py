@@ -9,6 +9,7 @@ from tarnwork.functions import text
 from tarnwork.operators import assay, instants
 from tarnwork.operators.eventlog import json_items, scan, with_payload
 from tarnwork.plans.shaping import table
+from tarnwork.queries.instants_sql import dated_commits
 from tarnwork.queries.log import PAYLOAD
 
 NOW = "2026-05-20"
@@ -77,17 +78,17 @@ FUNCTIONS = f"""{PAYLOAD}, fn as (select distinct json_extract_string(p, '$.file
     coalesce(case when json_valid(json_extract_string(p, '$.params')) then json_array_length(case when json_type(json_extract_string(p, '$.params')) = 'OBJECT' then '[0]' else json_extract_string(p, '$.params') end) end, 0)::bigint as parameter_count,
     json_extract_string(p, '$.return_type') as return_type from pl where event_type = 'code.function' and json_extract_string(p, '$.file') is not null and json_extract_string(p, '$.name') is not null)"""
 MODULE = r"replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '^(\./)+', ''), '^(src/)+', ''), '(\.rs)+$', ''), '(/mod)+$', ''), '/', '::')"
-IMPORTS = f"im as (select distinct file_a as file, 'crate::' || {MODULE.format('file_b')} as import_path from co_changes where \"count\" >= 2)"
+IMPORTS = f"""pc as (select least(file_a, file_b) as x, greatest(file_a, file_b) as y from co_changes group by 1, 2 having sum(coalesce("count", 0)) >= 2),
+    im as (select distinct file_a as file, 'crate::' || {MODULE.format('file_b')} as import_path from co_changes join pc on x = least(file_a, file_b) and y = greatest(file_a, file_b))"""
 MODULES = r"""md as (select file_path as path, greatest(sum(coalesce(lines_added, 0) - coalesce(lines_removed, 0)), 0)::bigint as lines, greatest(sum(coalesce(lines_added, 0) - coalesce(lines_removed, 0)), 0)::bigint * 40 as bytes
     from commit_files where regexp_matches(file_path, '\.(rs|py|ts|js|go)$') group by 1)"""
 CALLS = """cg as (select s_name as caller, p_name || ' #' || p_partkey as callee, p_brand as file, l_linenumber::bigint as line_number, case l_returnflag when 'R' then 'method' when 'A' then 'direct' else 'async' end as call_type
     from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey)"""
 ENTRY = "split_part(path, '/', -1) in (" + ", ".join(f"'{x}'" for x in text.ENTRY_POINTS) + ")"
 TEST = r"(regexp_matches(lower(path), '/(test|tests|__tests__|spec|specs)/|/test_') or regexp_matches(lower(path), '_test\.(rs|go|py)$|\.(test|spec)\.(ts|js)$|\.test\.(tsx|jsx)$|_spec\.rb$'))"
-DAY = r"case when regexp_matches(timestamp, '^\d{4}-\d{2}-\d{2}') then try_cast(substr(timestamp, 1, 10) as date) end"
 SIGNALS = f"""with {FUNCTIONS}, {IMPORTS}, {MODULES},
     imc as (select path, count(distinct file) as importer_count from md join im on contains('::' || import_path || '::', '::' || {MODULE.format('path')} || '::') group by 1),
-    oc as (select sha, max(author_name) as author_name, max({DAY}) as day from commits group by 1),
+    {dated_commits()},
     t as (select distinct cf.sha, file_path as path, author_name, day from commit_files cf join oc using (sha)),
     ac as (select path, count(distinct sha) as commit_count, count(distinct author_name) as contributor_count, max(day) as last_day from t group by 1),
     tc as (select path, string_agg(author_name, '|' order by rn) as top_contributors from (select path, author_name, row_number() over (partition by path order by count(distinct sha) desc, author_name) as rn from t group by 1, 2) where rn <= 3 group by 1),
@@ -216,9 +217,9 @@ SQL = {
     "importers_of": f"with {IMPORTS} select * from im where import_path ilike '%rank\\_%' escape '\\' order by import_path, file limit 100",
     "module_signals": SIGNALS + "select * from sg",
     "orient": SIGNALS + "select path, score, importer_count, commit_count, activity_level from sc where path like 'src/%' order by score desc, path limit 20",
-    "recent_changes": f"""with oc as (select sha, max(author_name) as author_name, max({DAY}) as day from commits group by 1), t as (select distinct cf.sha, file_path, author_name, day from commit_files cf join oc using (sha)),
-        k as (select * from t where day >= date '2026-03-01' and contains(file_path, 'src/')), n as (select file_path, count(*) as n_changes, max(struct_pack(day := day, sha := sha, author_name := author_name)) as r from k group by 1)
-        select file_path, n_changes, r.day::varchar as day, r.sha as sha, r.author_name as author_name from n order by r.day desc, file_path limit 50""",
+    "recent_changes": f"""with {dated_commits()}, t as (select distinct cf.sha, file_path, author_name, day, utc_us from commit_files cf join oc using (sha)),
+        k as (select * from t where day >= date '2026-03-01' and contains(file_path, 'src/')), n as (select file_path, count(*) as n_changes, max(struct_pack(day := day, utc_us := utc_us, sha := sha, author_name := author_name)) as r from k group by 1)
+        select file_path, n_changes, r.day::varchar as day, r.sha as sha, r.author_name as author_name from n order by r.day desc, r.utc_us desc, file_path limit 50""",
     "largest_modules": f"with {MODULES} select path, lines, round(100.0 * lines / (select sum(lines) from md), 6)::double as percent from md order by lines desc, path limit 10",
     "language_rollup": f"""with {MODULES} select case regexp_extract(path, '\\.([^./]+)$', 1) when 'rs' then 'rust' when 'py' then 'python' when 'ts' then 'typescript' when 'js' then 'javascript' when 'go' then 'go' else 'other' end as language,
         count(*) as n_files, sum(lines)::bigint as n_lines from md group by 1""",

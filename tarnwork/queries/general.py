@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators import instants, nested, orphans, packed
 from tarnwork.plans.shaping import checkpoint, table
+from tarnwork.queries import instants_sql
 
 PACKED_FIELDS = {"forge_issues": ("number", "labels", "labels"), "beliefs": ("id", "facets", "words"), "patterns": ("id", "tags", "words"), "forge_prs": ("number", "linked_issues", "numbers")}
 
@@ -132,6 +133,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_dialects, p2_found, p2_sources,
 _NAMES = ", ".join(f"'{x}'" for x in nested.REPEATED)
 
 SQL = {
+    "p2_found": instants_sql.P2_FOUND,
     "p5_found": f"""
         with recursive dec as (select distinct seq, data from eventlog where seq is not null and json_valid(data)),
          w(seq, v, path, pos, state) as (

@@ -295,7 +295,8 @@ SQL = {
         where length(message) > 20 and length(message) < 200 and not regexp_matches(message, '(?i)^(merge|wip|fixup|squash)') group by 1, 2, 3 having count(*) between 1 and 10), m as (select *, split_part(replace(message, chr(13), ''), chr(10), 1) as line from k)
         select sha, trim(split_part(case when regexp_matches(line, '^[A-Za-z0-9()]{0,19}:') then trim(regexp_replace(line, '^[A-Za-z0-9()]{0,19}:', '')) else line end, ' (#', 1)) as query, files from m order by timestamp desc nulls last, sha limit 100""",
     "commit_ground_truth": f"""with {COMMIT_HITS}, qs as (select distinct query_id from s), rl as (select distinct query_id, doc_id as doc from s where doc_id in (select sha from commit_files where contains(file_path, 'index'))), {SCORES} select * from sc""",
-    "cochange_precision": f"""with st as (select file_a, file_b, sum(coalesce("count", 0)) as n from co_changes group by 1, 2 having sum(coalesce("count", 0)) > 0), t as (select *, row_number() over (partition by file_a order by n desc, file_b) as rank from st qualify rank <= 10),
+    "cochange_precision": f"""with sp as (select least(file_a, file_b) as x, greatest(file_a, file_b) as y, sum(coalesce("count", 0)) as n from co_changes where file_a <> file_b group by 1, 2 having sum(coalesce("count", 0)) > 0),
+        st as (select x as file_a, y as file_b, n from sp union all select y, x, n from sp), t as (select *, row_number() over (partition by file_a order by n desc, file_b) as rank from st qualify rank <= 10),
         p as ({assay.SQL['cochange_pairs']}), m as (select t.file_a, rank, p.file_a is not null as hit from t left join p on p.file_a = least(t.file_a, t.file_b) and p.file_b = greatest(t.file_a, t.file_b))
         select file_a, round(count(*) filter (rank <= 5 and hit) / least(5, count(*)), 6) as p5, round(count(*) filter (hit) / least(10, count(*)), 6) as p10 from m group by 1""",
     "belief_self_retrieval": f"""with {BELIEFS}, bs as (select id as doc_id, statement as body from b where statement is not null), qs as (select doc_id as query_id, body as query from bs), {_bm25_sql('bs', 's', 10, 'qs')}, rl as (select query_id, query_id as doc from qs), {SCORES}

@@ -242,8 +242,8 @@ SQL = {
         bt as (select coalesce(vv.query_id, tt.query_id) as query_id, coalesce(vv.doc_id, tt.doc_id) as doc_id, round(case when t is null then v when v is null then t else 0.7 * v + 0.3 * t end, 6) as score from vv full join tt on vv.query_id = tt.query_id and vv.doc_id = tt.doc_id)
         select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from bt qualify rank <= 20""",
     "belief_impact": f"""with {REACH}, h as (select distinct file_path as doc_id from commit_files) select doc_id, belief_id, reach_score, row_number() over (partition by doc_id order by reach_score desc, belief_id) as rn from h join rc on rc.file_path = h.doc_id qualify rn <= 3""",
-    "repo_federation": f"""with {BATCH_SQL}, {DOCS}, {_bm25_sql('dc', 's', 200)}, rp as (select distinct on (doc_id) doc_id, coalesce(lower(trim(source)), 'none') as repo from documents order by doc_id),
-        r as (select query_id, '[' || repo || '] ' || doc_id as doc_id, row_number() over (partition by query_id, repo order by score desc, doc_id::varchar) as rank from s join rp using (doc_id)), fz as (select query_id, doc_id, round(1.0::double / (60 + rank), 9) as fused_score from r)
+    "repo_federation": f"""with {BATCH_SQL}, {DOCS}, {_bm25_sql('dc', 's', 10**9)}, rp as (select distinct on (doc_id) doc_id, coalesce(lower(trim(source)), 'none') as repo from documents order by doc_id),
+        r as (select query_id, '[' || repo || '] ' || doc_id as doc_id, row_number() over (partition by query_id, repo order by score desc, doc_id::varchar) as rank from s join rp using (doc_id) qualify rank <= 200), fz as (select query_id, doc_id, round(1.0::double / (60 + rank), 9) as fused_score from r)
         select query_id, doc_id, fused_score, row_number() over (partition by query_id order by fused_score desc, doc_id) as rank from fz qualify rank <= 10""",
     "related_nodes": f"with {GRAPH} select n_nationkey::bigint as id, n_name as name, max(weight) as weight from ed join nation on n_nationkey = to_node where from_node = 3 and edge_type in ('Uses', 'LearnsFrom') group by 1, 2",
     "edge_usage_stats": f"with {GRAPH} select edge_id, edge_type, total, useful from st",
