@@ -8,7 +8,7 @@ no sampling of pairs.
 from __future__ import annotations
 
 import warnings
-import zlib
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -173,13 +173,16 @@ def train(p: Projection, triplets: np.ndarray, epochs: int = 20, rate: float = 0
 
 
 def hashed_embedding(tokens: Column, size: int = 64) -> Column:
-    """Unit vector of signed feature hashes of an array of tokens; stands in for a text model."""
+    """Unit vector of signed feature hashes of an array of tokens; stands in for a text model.
+
+    A word's hash is the first 32 bits of its MD5, so that other engines can make the same.
+    """
 
     @F.pandas_udf("array<double>")
     def embed(lists: pd.Series) -> pd.Series:
         out = []
         for words in lists:
-            h = np.fromiter((zlib.crc32(w.encode()) for w in (() if words is None else words)), np.int64)
+            h = np.fromiter((int.from_bytes(md5(w.encode()).digest()[:4], "big") for w in (() if words is None else words)), np.int64)
             v = np.bincount(h % size, np.where(h >> 16 & 1, 1.0, -1.0), size) if len(h) else np.zeros(size)
             n = np.linalg.norm(v)
             out.append(v / n if n else v)

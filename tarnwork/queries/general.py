@@ -132,9 +132,7 @@ def p6_cascade(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_dialects, p2_found, p2_sources, p5_found, p5_files, p6_found, p6_cascade)}
 _NAMES = ", ".join(f"'{x}'" for x in nested.REPEATED)
 
-SQL = {
-    "p2_found": instants_sql.P2_FOUND,
-    "p5_found": f"""
+P5 = f"""
         with recursive dec as (select distinct seq, data from eventlog where seq is not null and json_valid(data)),
          w(seq, v, path, pos, state) as (
            select seq, case when json_type(data) = 'VARCHAR' and json_valid(json_extract_string(data, '$')) then json_extract_string(data, '$') else data end, '', '', '' from dec
@@ -144,6 +142,35 @@ SQL = {
              case when t = 'ARRAY' then case when p = '' then c.key else p || '.' || c.key end else p end,
              case when t = 'OBJECT' then case when c.key in ({_NAMES}) then 'open' else '' end when state = '' then '' else 'item' end
            from (select *, json_type(v) as t, case when state = 'open' and json_type(v) = 'OBJECT' then case when pos = '' then '0' else pos || '.0' end else pos end as p from w where json_type(v) in ('OBJECT', 'ARRAY')) x, json_each(x.v) c
-           where c.type in ('OBJECT', 'ARRAY') or (c.type = 'VARCHAR' and json_valid(json_extract_string(c.value, '$')) and json_type(json_extract_string(c.value, '$')) in ('OBJECT', 'ARRAY')))
-        select distinct seq, path, case when state = 'open' then case when pos = '' then '0' else pos || '.0' end else pos end as pos from w where state <> '' and json_type(v) = 'OBJECT'""",
+           where c.type in ('OBJECT', 'ARRAY') or (c.type = 'VARCHAR' and json_valid(json_extract_string(c.value, '$')) and json_type(json_extract_string(c.value, '$')) in ('OBJECT', 'ARRAY'))),
+         o as (select seq, v, path, case when state = 'open' then case when pos = '' then '0' else pos || '.0' end else pos end as place from w where state <> '' and json_type(v) = 'OBJECT')
+        """
+_REPO = r"regexp_extract(url, '^\s*https?://[^/]+/([^/]+/[^/?#]+)', 1)"
+_KEY = r"lower(regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'))"
+P6 = f"""with {instants_sql.ZONE_ROWS}, dr as (select 'forge_issues' as tbl, number::varchar as record_id, {_REPO} as repo, number, event_seq, null as linked, null as source, created_at as v, {instants_sql.repo_of_path('url')} as r from forge_issues
+        union all select 'forge_prs', number::varchar, {_REPO}, number, event_seq, linked_issues, null, created_at, {instants_sql.repo_of_path('url')} from forge_prs
+        union all select 'forge_refs', repo, repo, ref_number, null, null, source, resolved, '' from forge_refs where resolved is not null),
+        dz as (select dr.*, coalesce(zone, 'UTC') as zone from dr left join zn on repo_name = r), {instants_sql.instants('dz')},
+        dt as (select distinct tbl, record_id, repo, number, event_seq, linked, source, coalesce(strftime(timestamp 'epoch' + to_microseconds(utc_us), '%Y-%m'), 'unknown') as period from dz left join em on em.v = dz.v and em.zone = dz.zone),
+        lg as (select distinct seq, source_id from eventlog where event_type in ('forge.issue', 'forge.pr') and seq is not null and source_id is not null), ft as (select distinct repo, number from dt where tbl <> 'forge_refs'),
+        ln as (select distinct record_id, period, ref, ref::bigint as n from (select record_id, period, unnest(regexp_extract_all(linked, '\\d+')) as ref from dt where tbl = 'forge_prs')),
+        """
+P6_GIVEN = f"""select tbl, record_id, event_seq::varchar as ref, period, 'eventlog' as target from dt anti join lg on seq = event_seq and source_id = record_id where tbl <> 'forge_refs' and event_seq is not null
+        union all select tbl, record_id, number::varchar, period, 'forge' from dt anti join ft using (repo, number) where tbl = 'forge_refs' and number is not null
+        union all select 'belief_code_reach', file_path, {_KEY.format('belief_id')}, 'none', 'beliefs' from belief_code_reach where belief_id is not null and {_KEY.format('belief_id')} not in (select {_KEY.format('id')} from beliefs where coalesce(status, '') <> 'deleted')"""
+P6_MORE = """select 'forge_prs', record_id, ref, period, 'forge_issues' from ln where n not in (select number from dt where tbl = 'forge_issues') union all select 'forge_refs', record_id, source, period, 'commits' from dt where tbl = 'forge_refs' and source is not null and source not in (select sha from commits where sha is not null)"""
+
+SQL = {
+    "p2_found": instants_sql.P2_FOUND,
+    "p5_found": P5 + "select distinct seq, path, place as pos from o",
+    "p5_files": P5 + ", ".join(["select distinct seq as rec, place as pos, '' as parent_path, '' as parent_pos", *(f"case when json_type(v, '$.{c}') not in ('OBJECT', 'ARRAY') then json_extract_string(v, '$.{c}') end as {c}" for c in ("path", "change_type", "lines_added", "lines_removed"))]) + " from o where o.path = 'files'",
+    "p6_found": P6.rstrip().removesuffix(",") + f" select distinct tbl, record_id, ref, period from ({P6_GIVEN})",
+    "p6_cascade": P6 + f"""d0 as (select distinct * from ({P6_GIVEN} union all {P6_MORE})),
+        lk as (select distinct 'forge_prs' as tbl, record_id, ref, period, 'forge_issues' as target, ref as up from ln where n in (select number from dt where tbl = 'forge_issues')),
+        rf as (select distinct 'forge_refs' as tbl, r.record_id, r.number::varchar as ref, r.period, u.tbl as target, r.number::varchar as up from dt r join dt u on u.repo = r.repo and u.number = r.number and u.tbl <> 'forge_refs' where r.tbl = 'forge_refs'),
+        d1 as (select lk.* from lk where up in (select record_id from d0 where tbl = 'forge_issues') union all select rf.* from rf where (target, up) in (select tbl, record_id from d0)),
+        d2 as (select rf.* from rf where target = 'forge_prs' and up in (select record_id from d1 where tbl = 'forge_prs') and (record_id, ref, target) not in (select record_id, ref, target from d1 where tbl = 'forge_refs')),
+        al as (select tbl, record_id, ref, period, target, 'direct' as kind, 0 as depth from d0 union all select tbl, record_id, ref, period, target, 'inherited', 1 from d1 where (tbl, record_id, ref, target) not in (select tbl, record_id, ref, target from d0)
+            union all select tbl, record_id, ref, period, target, 'inherited', 2 from d2)
+        select tbl, target, period, kind, depth, count(*) as n_refs from al group by all""",
 }

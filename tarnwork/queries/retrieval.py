@@ -12,7 +12,7 @@ from tarnwork.operators.evaluation import precision_at
 from tarnwork.operators.training import Projection, hashed_embedding
 from tarnwork.plans.shaping import table
 from tarnwork.queries import assay
-from tarnwork.queries.search import BATCH_SQL, DOCS, _batch, _bm25_sql, _docs
+from tarnwork.queries.search import BATCH_SQL, DOCS, INTENT, _batch, _bm25_sql, _docs
 
 INTENTS = list(text.INTENT_WEIGHTS)
 
@@ -52,7 +52,7 @@ def vector_stats(spark, d):
 def mlp_project(spark, d):
     p = Projection(64, 32, 16)
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return v.select("vec_id", p.column(spark, F.col("embedding")).alias("projected"))
+    return v.select("vec_id", F.posexplode(p.column(spark, F.col("embedding"))).alias("dim", "value")).withColumns({"dim": F.col("dim").cast("bigint"), "value": F.round("value", 6) + 0.0})
 
 
 def _lists(spark, d) -> DataFrame:
@@ -226,7 +226,32 @@ EXPANDED = f"""{COMMIT_HITS}, fi as (select distinct query_id, s.doc_id as sha,
     al as (select query_id, doc_id, score, 0::bigint as derived, rank from s union all select query_id, file_path, round(score * 0.9, 6), 1, rank from fw where n <= 15),
     ex as (select query_id, doc_id, score, derived, row_number() over (partition by query_id order by derived, rank, doc_id) as place from al)"""
 
+def _mlp_sql() -> str:
+    p = Projection(64, 32, 16)
+    numbers = lambda xs: "[" + ", ".join(repr(float(x)) for x in xs) + "]"
+    hidden = ", ".join(f"greatest(list_dot_product(e, {numbers(w)}) + {float(b)!r}, 0.0)" for w, b in zip(p.w1, p.b1, strict=True))
+    outputs = " union all ".join(f"select vec_id, {i}::bigint as dim, round(list_dot_product(h, {numbers(w)}) + {float(b)!r}, 6) + 0.0 as value from h" for i, (w, b) in enumerate(zip(p.w2, p.b2, strict=True)))
+    return f"with v as (select vec_id, embedding::double[] as e from embeddings), h as (select vec_id, [{hidden}] as h from v) {outputs}"
+
+
+HASHED = """{0}_w as (select {1} as id, ('0x' || left(md5(term), 8))::bigint as h from (select {1}, unnest({2}) as term from {3})), {0}_v as (select id, h % 64 as b, sum(case when (h >> 16) & 1 = 1 then 1 else -1 end)::double as x from {0}_w group by 1, 2),
+    {0}_u as (select {0}_v.id, b, x / n as x from {0}_v join (select id, sqrt(sum(x * x)) as n from {0}_v group by 1 having sum(x * x) > 0) m on m.id = {0}_v.id)"""
+WORDS_OF = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+HYBRID = f"""with {BATCH_SQL}, {DOCS}, {_bm25_sql('dc', 'lx', 20)}, bb as (select distinct on (id) id as doc_id, concat_ws(' ', id, statement, facets) as body from beliefs order by id), {_bm25_sql('bb', 'bl', 20)},
+    {HASHED.format('qv', 'query_id', WORDS_OF.format('query'), 'batch')}, {HASHED.format('dv', 'doc_id', WORDS_OF.format('body'), 'dc')},
+    cs as (select query_id, doc_id, round(coalesce(x, 0), 9) as score from batch cross join (select doc_id from dc) left join (select qv_u.id as q, dv_u.id as d, sum(qv_u.x * dv_u.x) as x from qv_u join dv_u using (b) group by 1, 2) on q = query_id and d = doc_id),
+    sm as (select query_id, doc_id, score from cs qualify row_number() over (partition by query_id order by score desc, doc_id) <= 20),
+    w as (select query_id, query, unnest(list_distinct(string_split(lower(query), ' '))) as term from batch), co as (select file_a, file_b, sum(coalesce("count", 0))::bigint as n from co_changes group by 1, 2),
+    b2 as (select file_a as seed, file_b as file, n, 0 as side from co union all select file_b, file_a, n, 1 from co), m as (select *, row_number() over (partition by query_id, term, side order by n desc, file, seed) as rn from b2 join w on contains(lower(seed), term)),
+    tm as (select query_id, file as doc_id, sum(n)::double as score from m where rn <= 30 and not contains(lower(file), lower(query)) group by 1, 2 qualify row_number() over (partition by query_id order by sum(n) desc, file) <= 10),
+    al as (select query_id, doc_id::varchar as doc_id, score, 'lexical' as source from lx union all select query_id, doc_id::varchar, score, 'semantic' from sm union all select query_id, doc_id, score, 'belief' from bl union all select query_id, doc_id, score, 'temporal' from tm),
+    li as (select al.*, {INTENT} as intent, row_number() over (partition by al.query_id, source order by score desc, doc_id) as rank from al join (select query_id, query, lower(query) as l from batch) using (query_id)),
+    fz as (select query_id, doc_id, round(sum(({WEIGHT})::double / (60 + rank)), 9) as fused_score, string_agg(distinct source, ',' order by source) as sources from li where rank <= 20 group by 1, 2)
+    {FUSED}"""
+
 SQL = {
+    "mlp_project": _mlp_sql(),
+    "hybrid_search": HYBRID,
     "knn_cosine": f"with {NEAR} select query_id, vec_id, round(score, 6) as score, rank from nk where rank <= 10",
     "knn_precision_at_k": f"""with {NEAR}, sz as (select label as own, count(*) - 1 as expected from v group by 1) select query_id, round(count(*) filter (rank <= 5 and own = label) / greatest(least(5, max(expected)), 1), 6) as p5,
         round(count(*) filter (rank <= 10 and own = label) / greatest(least(10, max(expected)), 1), 6) as p10 from nk join sz using (own) where rank <= 10 group by 1""",

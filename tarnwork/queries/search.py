@@ -98,6 +98,18 @@ def secret_scan(spark, d):
     return scanning.scan_secrets(_docs(spark, d), "doc_id", "text", "path")
 
 
+#: Text that matches each of several patterns, with an id in it.
+PLANTED = [("gh", "p_", 36), ("glpat", "-", 22), ("AGE-SECRET-KEY", "-1", 58), ("password: ", '"', 12), ("xoxb", "-1-", 9)]
+
+
+def secret_scan_planted(spark, d):
+    """The scan over documents with secrets planted in every twentieth, as the tables hold none."""
+    digest = F.md5(F.col("doc_id").cast("string"))
+    lines = [F.concat(F.lit(a + b), F.upper(F.substring(F.concat(digest, digest), 1, n)) if a.startswith("AGE") else F.substring(F.concat(digest, digest), 1, n), F.lit(b if b == '"' else "")) for a, b, n in PLANTED]
+    docs = _docs(spark, d).withColumn("text", F.when(F.col("doc_id") % 20 == 0, F.concat_ws("\r\n", F.col("text"), *lines)).otherwise(F.col("text")))
+    return scanning.scan_secrets(docs, "doc_id", "text", "path")
+
+
 def remote_urls(spark, d):
     p = text.remote_parts(F.regexp_replace("url", r"/(issues|pull)/\d+$", ""))
     both = table(spark, d, "forge_issues").select("url").unionByName(table(spark, d, "forge_prs").select("url")).distinct()
@@ -106,13 +118,17 @@ def remote_urls(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (conventional_commits, commit_types, change_types, clean_messages, intent_detect, query_rewrite, bm25_topk, bm25_porter, lexical_union, phrase_search, snippets, result_snippets, secret_scan, remote_urls)
+    for f in (conventional_commits, commit_types, change_types, clean_messages, intent_detect, query_rewrite, bm25_topk, bm25_porter, lexical_union, phrase_search, snippets, result_snippets, secret_scan, secret_scan_planted, remote_urls)
 }
 
 MESSAGES = "m as (select distinct sha, message, split_part(replace(message, chr(13), ''), chr(10), 1) as line from commits where sha is not null and message is not null)"
 CC = r"'^(\w+)(?:\(([^)]+)\))?(!)?:\s*(.+)$'"
 ASKED = f"{PAYLOAD}, {QUERY_ROWS}, a as (select distinct query, lower(query) as l from q where query is not null and session_id is not null)"
 CODE_LIKE = r"(contains(query, '::') or contains(query, '()') or (contains(query, '_') and not contains(query, ' ')) or regexp_full_match(query, '[\p{L}\p{N}_]*'))"
+INTENT = """case when contains(l, 'when ') or starts_with(l, 'when') or contains(l, ' added') or contains(l, ' changed') or contains(l, 'history') or contains(l, 'introduced') then 'temporal'
+        when contains(l, 'why ') or starts_with(l, 'why') or contains(l, 'decided') or contains(l, 'chose') or contains(l, 'reason') then 'rationale'
+        when (contains(l, 'how ') or starts_with(l, 'how')) and (contains(l, 'work') or contains(l, 'implement') or contains(l, 'does')) then 'mechanism'
+        when contains(l, 'what is') or contains(l, 'what''s') or starts_with(l, 'explain') or starts_with(l, 'describe') then 'definition' else 'general' end"""
 STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 TERMS = rf"""list_transform(list_filter(list_transform(regexp_split_to_array(query, '\s+'), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}_-]', '', 'g')),
     lambda w: w <> '' and lower(w) not in ({STOPS}) and (contains(w, '_') or regexp_matches(w, '^.+\p{{Lu}}') or length(w) > 2)), lambda w: case when contains(w, '-') then '"' || w || '"' else w end)"""
@@ -132,6 +148,13 @@ BATCH_SQL = "batch(query_id, query) as (values " + ", ".join(f"('{a}', '{b}')" f
 DOCS = "dc as (select distinct on (doc_id) doc_id, text as body, path, kind from documents where doc_id is not null and text is not null order by doc_id)"
 
 
+def _planted_sql() -> str:
+    digest = "md5(doc_id::varchar) || md5(doc_id::varchar)"
+    lines = ", ".join(f"'{a + b}' || " + (f"upper(left({digest}, {n}))" if a.startswith("AGE") else f"left({digest}, {n})") + (f" || '{b}'" if b == '"' else "") for a, b, n in PLANTED)
+    docs = f"case when doc_id % 20 = 0 then concat_ws(chr(13) || chr(10), text, {lines}) else text end as body"
+    return _secret_sql().replace("text as body", docs, 1)
+
+
 def _secret_sql() -> str:
     esc = lambda r: r.replace("'", "''")
     lines = "ln as (select doc_id, unnest(string_split(replace(body, chr(13) || chr(10), chr(10)), chr(10))) as line_text, generate_subscripts(string_split(replace(body, chr(13) || chr(10), chr(10)), chr(10)), 1) as line from dc where path is null or not (path like '%.lock' or split_part(path, '/', -1) in ('package-lock.json', 'yarn.lock', 'pnpm-lock.yaml')))"
@@ -147,10 +170,7 @@ SQL = {
     "change_types": """select case when coalesce(lines_added, 0) > 0 and coalesce(lines_removed, 0) = 0 then 'added' when coalesce(lines_added, 0) = 0 and coalesce(lines_removed, 0) > 0 then 'deleted' else 'modified' end as derived,
         change_type, count(*) as n from commit_files group by 1, 2""",
     "clean_messages": rf"""with {MESSAGES} select sha, trim(split_part(case when regexp_matches(line, '^[A-Za-z0-9()]{{0,19}}:') then trim(regexp_replace(line, '^[A-Za-z0-9()]{{0,19}}:', '')) else line end, ' (#', 1)) as query from m""",
-    "intent_detect": f"""with {ASKED} select query, case when contains(l, 'when ') or starts_with(l, 'when') or contains(l, ' added') or contains(l, ' changed') or contains(l, 'history') or contains(l, 'introduced') then 'temporal'
-        when contains(l, 'why ') or starts_with(l, 'why') or contains(l, 'decided') or contains(l, 'chose') or contains(l, 'reason') then 'rationale'
-        when (contains(l, 'how ') or starts_with(l, 'how')) and (contains(l, 'work') or contains(l, 'implement') or contains(l, 'does')) then 'mechanism'
-        when contains(l, 'what is') or contains(l, 'what''s') or starts_with(l, 'explain') or starts_with(l, 'describe') then 'definition' else 'general' end as intent, {CODE_LIKE} as code_like,
+    "intent_detect": f"""with {ASKED} select query, {INTENT} as intent, {CODE_LIKE} as code_like,
         starts_with(l, 'find ') or starts_with(l, 'where is ') or starts_with(l, 'show me ') or contains(l, ' defined') or regexp_matches(query, '::|\\(\\)|fn |struct |const |impl ') or {CODE_LIKE}
         or (contains(query, '(') and contains(query, ')')) or l like '% fn' or l like '% struct' as lexical from a""",
     "query_rewrite": f"""with {ASKED} select query, coalesce(array_to_string({TERMS}, '|'), '') as terms, case when {CODE_LIKE} then case when contains(query, ' ') then '"' || replace(query, '"', '""') || '"' else query end
@@ -162,7 +182,15 @@ SQL = {
         select query_id, corpus, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from (select query_id, corpus, doc_id, score from u) qualify rank <= 10""",
     "phrase_search": f"""with {DOCS}, t as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(body), '[a-z0-9]+'), '  ') || ' ' as line from dc) select doc_id, len(regexp_extract_all(line, ' the  lock  was  free '))::bigint as n
         from t where contains(line, ' the  lock  was  free ')""",
+    "snippets": rf"""with {DOCS}, w as (select doc_id, regexp_extract_all(body, '[^\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}]+') as ws from dc where contains(lower(body), 'retry guard')), h as (select *, list_transform(ws, lambda x: (list_has_any(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+'), ['retry', 'guard']))::int) as hs from w),
+        r as (select *, list_transform(range(0, greatest(1, len(ws) - 15)), lambda i: list_sum(hs[i + 1:i + 16])) as runs from h), a as (select *, list_position(runs, list_max(runs)) - 1 as first from r)
+        select doc_id, case when first > 0 then '...' else '' end || array_to_string(list_transform(range(first + 1, least(first + 16, len(ws)) + 1), lambda i: case when hs[i] = 1 then '>>>' || ws[i] || '<<<' else ws[i] end), ' ') || case when first + 16 < len(ws) then '...' else '' end as snippet from a""",
+    "result_snippets": rf"""with {DOCS}, l as (select doc_id, body, list_filter(string_split(replace(body, chr(13), ''), chr(10)), lambda x: trim(x) <> '') as ls from dc), f as (select *, trim(regexp_replace(ls[1], '^#+', '')) as t1,
+            trim(coalesce(list_filter(ls[2:], lambda x: not regexp_matches(trim(x), '^(\*\*|---|id:|status:)'))[1], '')) as b1 from l), s as (select *, trim(replace(case when len(ls) = 0 then body else t1 || ' — ' || b1 end, chr(10), ' ')) as flat from f)
+        select doc_id, case when len(ls) > 0 and b1 = '' then t1 when length(flat) <= 200 then flat else left(flat, 200) || '...' end as snippet,
+            case when regexp_extract(body, '(?m)^#\s+(.+?)\s*$', 1) <> '' then regexp_extract(body, '(?m)^#\s+(.+?)\s*$', 1) else trim(regexp_extract(body, '(?m)^\s*(\S.*)$', 1)) end as title from s""",
     "secret_scan": _secret_sql(),
+    "secret_scan_planted": _planted_sql(),
     "remote_urls": r"""with u as (select distinct url from (select url from forge_issues union all select url from forge_prs)), b as (select regexp_replace(url, '/(issues|pull)/\d+$', '') as x from u)
         select split_part(x, '/', 3) as host, split_part(x, '/', 4) as owner, split_part(x, '/', 5) as repo, count(*) as n from b group by 1, 2, 3""",
 }
