@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: A table of more rows than this is never broadcast by these helpers.
 BROADCAST_ROWS = 20_000
-#: application -> folders of the tables written() made for it.
+#: application -> folders made for it.
 _paths: dict[str, list[str]] = {}
 
 
@@ -40,19 +40,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, which release() removes."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage of a large flat table: write it as Parquet to the shared folder and read it.
 
     Column statistics and pruning stay available, and it takes a fraction of a checkpoint.
     """
-    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
-    _paths.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    path = new_folder(df.sparkSession, "written")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Remove the tables that written() left for this application, and say how many there were.
+    """Remove the tables and indexes written for this application, and say how many there were.
 
     For the end of a job or between jobs: frames made before can't be read any more.
     """

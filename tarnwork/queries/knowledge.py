@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions import text
 from tarnwork.operators import assay as ops
 from tarnwork.operators import backlog, beliefs, evaluation, eventlog, feedback, fts, training, verify
-from tarnwork.plans.shaping import small, table
+from tarnwork.plans.shaping import new_folder, small, table
 from tarnwork.queries import assay
 from tarnwork.queries.log import HITS, PAYLOAD
 from tarnwork.queries.retrieval import COMMIT_HITS, NEAR, _commit_hits, _nearest
@@ -106,6 +106,14 @@ def query_scores(spark, d):
     return evaluation.per_query(*_questions(spark, d))
 
 
+def bm25_indexed(spark, d):
+    """All test questions through a written index of the documents."""
+    q = table(spark, d, "eval_items").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query")).where("query is not null").distinct()
+    path = new_folder(spark, "index")
+    fts.write_index(fts.index(_docs(spark, d), "doc_id", "text"), path)
+    return fts.search_index(spark, path, fts.query_terms(q), 10)
+
+
 def mrr_recall(spark, d):
     return evaluation.summary(evaluation.per_query(*_questions(spark, d)))
 
@@ -234,7 +242,7 @@ def spec_milestones(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        verification_results, verification_counts, belief_audit, belief_audit_top, belief_metrics, session_citations, grounding_reach, grounding_by_label, lexical_grounding, query_scores, mrr_recall, latency_percentiles, score_distribution,
+        verification_results, verification_counts, belief_audit, belief_audit_top, belief_metrics, session_citations, grounding_reach, grounding_by_label, lexical_grounding, query_scores, bm25_indexed, mrr_recall, latency_percentiles, score_distribution,
         queryset_from_commits, commit_ground_truth, cochange_precision, belief_self_retrieval, belief_co_retrieval, ablation, triplets_cochange, triplets_session, triplets_dependency, triplets_commit, ref_backlog_counts, refs_pending,
         refs_discovered, context_docs, knowledge_latest, spec_milestones,
     )
@@ -286,6 +294,7 @@ SQL = {
         w as (select distinct id as belief_id, word from (select id, unnest(string_split(lower(id), '-')) as word from l) where length(word) >= 3 and word not in ({", ".join(f"'{x}'" for x in text.BELIEF_STOP_WORDS)})),
         n as (select distinct file, name, unnest(list_distinct(string_split(lower(name), '_'))) as word from fn), m as (select belief_id, file as file_path, count(distinct word) as n_words from w join n using (word) group by 1, 2)
         select * from m qualify row_number() over (partition by belief_id order by n_words desc, file_path) <= 5""",
+    "bm25_indexed": f"with {QUESTIONS} select * from s",
     "query_scores": f"with {QUESTIONS}, {SCORES} select * from sc",
     "mrr_recall": f"""with {QUESTIONS}, {SCORES} select count(*) as n_queries, round(avg(rr), 6) as mrr, round(avg(recall_5), 6) as recall_5, round(avg(recall_10), 6) as recall_10,
         case when avg(rr) >= 0.5 and avg(recall_10) >= 0.7 then 'good' when avg(rr) >= 0.3 and avg(recall_10) >= 0.5 then 'acceptable' else 'poor' end as band from sc""",
