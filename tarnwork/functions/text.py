@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no meaning in a question.
-STOP_WORDS = (
-    "how what why when where which who "
-    "does do is are was were can could will would work works working handle handles handling perform performs performing combine combines combining "
-    "coordinate coordinates extract extracts build builds get gets set sets use uses using create creates manage manages ensure ensures apply applies "
-    "the a an for from with to in on of by "
-    "and or but this that these those multiple different various specific"
-).split()
+STOP_WORDS = [
+    "how", "what", "why", "when", "where", "which", "who", "does", "do", "is", "are", "was", "were", "can", "could", "will", "would", "work", "works", "working",
+    "handle", "handles", "handling", "perform", "performs", "performing", "combine", "combines", "combining", "coordinate", "coordinates", "extract", "extracts", "build",
+    "builds", "get", "gets", "set", "sets", "use", "uses", "using", "create", "creates", "manage", "manages", "ensure", "ensures", "apply", "applies", "the", "a", "an",
+    "for", "from", "with", "to", "in", "on", "of", "by", "and", "or", "but", "this", "that", "these", "those", "multiple", "different", "various", "specific",
+]
 
 # File names that start a program or module.
 ENTRY_POINTS = ["main.rs", "lib.rs", "mod.rs", "index.ts", "index.js", "index.tsx", "index.jsx", "__init__.py", "__main__.py", "main.go", "main.py", "app.py", "app.ts", "app.js"]
@@ -27,9 +28,10 @@ LANGUAGES = {
 SOURCE_EXTENSIONS = ["rs", "py", "ts", "tsx", "js", "jsx", "go", "c", "cpp", "h", "java", "rb", "sh", "sql", "swift", "kt", "zig"]
 
 # Words of belief ids that carry no meaning.
-BELIEF_STOP_WORDS = (
-    "is the a an in on of for to and or not no over vs with from by be at as do if its own first early often before after always never every many requires needs"
-).split()
+BELIEF_STOP_WORDS = [
+    "is", "the", "a", "an", "in", "on", "of", "for", "to", "and", "or", "not", "no", "over", "vs", "with", "from", "by", "be", "at", "as", "do", "if", "its", "own",
+    "first", "early", "often", "before", "after", "always", "never", "every", "many", "requires", "needs",
+]
 
 # What the extension of a file stands for in its description.
 FILE_TYPES = {
@@ -62,6 +64,7 @@ SECRETS = [
     ("generic_secret", r"""(?i)(?:password|secret|token|api_key)\s*[:=]\s*["'][^"']{8,}["']""", "medium"),
 ]
 
+# The form of a conventional commit's subject, and of references to issues.
 CONVENTIONAL = r"^(\w+)(?:\(([^)]+)\))?(!)?:\s*(.+)$"
 ISSUE_REFERENCE = r"(?i)(?:fix(?:es)?|close[sd]?|resolve[sd]?)[:\s]+#?(\d+)"
 
@@ -117,22 +120,36 @@ def fts_query(query: Column) -> Column:
     return F.when(is_code_like(query), F.when(query.contains(" "), quoted).otherwise(query)).when(F.size(terms) > 0, F.array_join(terms, " OR ")).otherwise(query)
 
 
+# How a query that is meant literally begins, ends, and what it holds.
+LEXICAL = {"begins": ["find ", "where is ", "show me "], "holds": [" defined"], "ends": [" fn", " struct"], "code": ["::", "()", "fn ", "struct ", "const ", "impl "]}
+
+
+def _any(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, parts)
+
+
 def is_lexical_query(query: Column) -> Column:
     low = F.lower(query)
-    start = low.rlike(r"^(find |where is |show me )") | low.contains(" defined")
-    code = query.rlike(r"::|\(\)|fn |struct |const |impl ") | is_code_like(query) | (query.contains("(") & query.contains(")"))
-    return start | code | low.endswith(" fn") | low.endswith(" struct")
+    told = [low.startswith(x) for x in LEXICAL["begins"]] + [low.contains(x) for x in LEXICAL["holds"]] + [low.endswith(x) for x in LEXICAL["ends"]]
+    return _any(told + [query.contains(x) for x in LEXICAL["code"]] + [is_code_like(query), query.contains("(") & query.contains(")")])
+
+
+# Intents in the order they are tried, with what a query holds or begins with; of
+# a third list, if there is one, a word must be held too.
+INTENT_RULES = [
+    ("temporal", ["when ", " added", " changed", "history", "introduced"], ["when"], []),
+    ("rationale", ["why ", "decided", "chose", "reason"], ["why"], []),
+    ("mechanism", ["how "], ["how"], ["work", "implement", "does"]),
+    ("definition", ["what is", "what's"], ["explain", "describe"], []),
+]
 
 
 def intent(query: Column) -> Column:
-    q = F.lower(query)
-    return (
-        F.when(q.contains("when ") | q.startswith("when") | q.contains(" added") | q.contains(" changed") | q.contains("history") | q.contains("introduced"), "temporal")
-        .when(q.contains("why ") | q.startswith("why") | q.contains("decided") | q.contains("chose") | q.contains("reason"), "rationale")
-        .when((q.contains("how ") | q.startswith("how")) & (q.contains("work") | q.contains("implement") | q.contains("does")), "mechanism")
-        .when(q.contains("what is") | q.contains("what's") | q.startswith("explain") | q.startswith("describe"), "definition")
-        .otherwise("general")
-    )
+    q, told = F.lower(query), F.lit("general")
+    for name, holds, begins, also in reversed(INTENT_RULES):
+        met = _any([q.contains(x) for x in holds] + [q.startswith(x) for x in begins])
+        told = F.when(met & _any([q.contains(x) for x in also]) if also else met, name).otherwise(told)
+    return told
 
 
 def intent_weight(kind: Column, source: Column) -> Column:

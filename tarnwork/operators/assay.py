@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions import text
+from tarnwork.plans.shaping import small
 
-#: Words of a batch of queries that a containment search may broadcast.
+#: Words, about, that a containment search broadcasts at a time.
 BATCH = 1000
 SOURCE_SUFFIX = r"\.(rs|py|ts|js|go)$"
 
@@ -93,13 +94,16 @@ def top_contributors(touches: DataFrame, most: int = 3) -> DataFrame:
 def size_rank(modules: DataFrame) -> DataFrame:
     """(path, file_size_rank): share of modules that are smaller, 0.5 for a single module.
 
-    Ranks come from a running total over distinct sizes instead of a sort of all modules.
+    Sizes fall into buckets of equal ratio, 64 to a doubling, so there are at most 4,096 whatever
+    the modules; totals of the buckets are summed up in one task, sizes within each bucket apart.
     """
-    sizes = modules.groupBy("bytes").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bytes").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy())
-    ranks = sizes.select("bytes", F.when(total == 1, F.lit(0.5)).otherwise(before / (total - 1)).alias("file_size_rank"))
-    return modules.join(ranks, "bytes").select("path", "file_size_rank")
+    sizes = modules.where("bytes is not null").groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.floor(F.log2(F.greatest("bytes", F.lit(0)) + 1.0) * 64).cast("int"))
+    upto = lambda w, by: F.coalesce(F.sum("n").over(w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    everything = Window.partitionBy(F.lit(0))
+    buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", upto(everything, "bucket").alias("below"), F.sum("n").over(everything).alias("total"))
+    placed = sizes.withColumn("within", upto(Window.partitionBy("bucket"), "bytes")).join(F.broadcast(buckets), "bucket")
+    rank = F.when(F.col("total") == 1, F.lit(0.5)).otherwise((F.col("below") + F.col("within")) / (F.col("total") - 1))
+    return modules.join(placed.select("bytes", rank.alias("file_size_rank")), "bytes").select("path", "file_size_rank")
 
 
 def module_signals(modules: DataFrame, imports: DataFrame, functions: DataFrame, commits: DataFrame, commit_files: DataFrame, now: str) -> DataFrame:
@@ -159,14 +163,19 @@ def temporal_neighbours(co_changes: DataFrame, queries: DataFrame, limit: int =
     """(query_id, file, score): files that change together with those a query's words name.
 
     Per word and direction the `limit * fetch` strongest rows count; files that contain the
-    whole query are left out. queries: (query_id, query), a batch of at most BATCH words,
-    which is broadcast; larger ones are refused, as containment is no equi-join.
+    whole query are left out. queries: (query_id, query). Containment is no equi-join, so the
+    distinct words are broadcast, BATCH of them at a time; more take further passes.
     """
     words = queries.select("query_id", "query", F.explode(F.array_distinct(F.split(F.lower(F.trim("query")), r"\s+"))).alias("term")).where("term != ''")
-    if words.limit(BATCH + 1).count() > BATCH:
-        raise ValueError(f"more than {BATCH} query words; ask in smaller batches")
+    terms = words.select("term").distinct()
+    passes = max(1, -(-terms.count() // BATCH))
     both = co_changes.select(F.col("file_a").alias("seed"), F.col("file_b").alias("file"), "count", F.lit(0).alias("side")).unionByName(co_changes.select(F.col("file_b").alias("seed"), F.col("file_a").alias("file"), "count", F.lit(1).alias("side")))
-    met = both.join(F.broadcast(words), F.contains(F.lower("seed"), F.col("term")))
+    told = None
+    for i in range(passes):
+        some = terms if passes == 1 else terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == i)
+        found = both.join(F.broadcast(some), F.contains(F.lower("seed"), F.col("term")))
+        told = found if told is None else told.unionByName(found)
+    met = told.join(small(words), "term")
     order = Window.partitionBy("query_id", "term", "side").orderBy(F.desc("count"), "file", "seed")
     top = met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit * fetch)
     summed = top.where(~F.contains(F.lower("file"), F.lower("query"))).groupBy("query_id", "file").agg(F.sum("count").alias("score"))

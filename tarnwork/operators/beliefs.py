@@ -18,6 +18,7 @@ SORTS = {
 
 def health_flags(n_files: Column) -> Column:
     """Flags of a belief in a fixed order; n_files: files it reaches."""
+    # Names and order of the flags.
     return F.array_compact(
         F.array(
             F.when(F.col("evidence_count") == 0, "no-evidence"),

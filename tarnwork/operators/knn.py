@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.vectors import cosine
-from tarnwork.plans.shaping import table
+from tarnwork.plans.shaping import table, written
 
 #: A block of query vectors is broadcast; more queries are answered in several blocks.
 BLOCK_VALUES = 8_000_000
+#: Scores that a task holds at a time.
+SCORES = 4_000_000
 #: Rows, at most, to which an index's centres are fitted; every row is indexed.
 FIT_ROWS = 20_000
 
@@ -33,9 +35,44 @@ def unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best scores (9 decimals), ties by smaller id."""
-    return np.lexsort((ids, -np.round(scores, 9)))[:k]
+_NONE = -(1 << 40)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best scores (in units of 1e-9) of each row and their ids, ties by smaller id."""
+    k = min(k, scores.shape[1])
+    # one number orders by score, then by place among the ids
+    order = np.argsort(ids, kind="stable")
+    key = scores[:, order] * (1 << 22) - np.arange(len(ids), dtype=np.int64)
+    at = order[np.argpartition(-key, k - 1, axis=1)[:, :k]]
+    return np.take_along_axis(scores, at, axis=1), ids[at]
+
+
+class _Running:
+    """The k best hits so far of each query of a block."""
+
+    def __init__(self, query_ids: np.ndarray, q: np.ndarray, k: int, skip_self: bool):
+        self.query_ids, self.q, self.k = query_ids, q, k
+        self.order = np.argsort(query_ids) if skip_self else None
+        self.scores, self.ids = np.full((len(q), k), _NONE), np.full((len(q), k), np.iinfo(np.int64).max)
+
+    def add(self, vec_ids: np.ndarray, m: np.ndarray) -> None:
+        width = min(1 << 21, max(1, SCORES // len(self.q)))
+        for i in range(0, len(m), width):
+            ids = vec_ids[i : i + width]
+            scores = np.rint((self.q @ m[i : i + width].T) * 1e9).astype(np.int64)
+            if self.order is not None:
+                at = np.minimum(np.searchsorted(self.query_ids, ids, sorter=self.order), len(self.q) - 1)
+                own = self.query_ids[self.order[at]] == ids
+                scores[self.order[at[own]], np.flatnonzero(own)] = _NONE
+            best, found = _best(scores, ids, self.k)
+            best, found = np.concatenate([self.scores, best], axis=1), np.concatenate([self.ids, found], axis=1)
+            at = np.lexsort((found, -best), axis=1)[:, : self.k]
+            self.scores, self.ids = np.take_along_axis(best, at, axis=1), np.take_along_axis(found, at, axis=1)
+
+    def batch(self) -> pa.RecordBatch:
+        row, column = np.nonzero(self.scores > _NONE)
+        return pa.RecordBatch.from_arrays([pa.array(self.query_ids[row]), pa.array(self.ids[row, column]), pa.array(self.scores[row, column] / 1e9)], schema=_ARROW)
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:
@@ -46,45 +83,37 @@ def _top(hits: DataFrame, k: int) -> DataFrame:
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, skip_self: bool = True) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest of vectors(vec_id, embedding) to each query.
 
-    queries: (query_id, embedding), read block by block; each task multiplies its batch with
-    the block and keeps k rows a query, so k rows per query and task reach the shuffle. A
-    vector is not its own neighbour if skip_self. Zero vectors have similarity 0; NULL
-    vectors are left out; vectors of another length are an error.
+    queries: (query_id, embedding), unique by query_id, read block by block: a block of at most
+    BLOCK_VALUES numbers passes through the driver and is released before the next. Each task
+    multiplies its vectors with the block and keeps the k best of each query, so k rows per
+    query and task reach the shuffle. A vector is not its own neighbour if skip_self. Zero
+    vectors have similarity 0; NULL vectors are left out; vectors of another length are an error.
     """
-    asked = queries.where("query_id is not null and embedding is not null").select("query_id", "embedding")
-    width = asked.agg(F.max(F.size("embedding"))).first()[0] or 1
-    n = asked.count()
-    blocks = max(1, -(-n * width // BLOCK_VALUES))
-    parts = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    asked = queries.where("query_id is not null and embedding is not null").select(F.col("query_id").cast("bigint"), "embedding")
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-n * (width or 1) // BLOCK_VALUES))
+    parts = asked if blocks == 1 else written(asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).repartition("_b").sortWithinPartitions("_b"))
     out = None
     for b in range(blocks):
-        rows = parts.where(F.col("_b") == b).drop("_b").toArrow()
+        rows = (parts if blocks == 1 else parts.where(F.col("_b") == b)).toArrow()
         if not rows.num_rows:
             continue
-        ids = np.asarray(rows["query_id"])
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, unit(_matrix(rows["embedding"].combine_chunks()))))
+        shared = vectors.sparkSession.sparkContext.broadcast((np.asarray(rows["query_id"]), unit(_matrix(rows["embedding"].combine_chunks()))))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, q = shared.value
+            best = _Running(*shared.value, k, skip_self)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vec_ids, m = np.asarray(batch.column(0)), unit(_matrix(batch.column(1)))
-                if m.shape[1] != q.shape[1]:
-                    raise ValueError("vectors differ in length")
-                scores = q @ m.T
-                found: tuple[list, list, list] = ([], [], [])
-                for i, query in enumerate(query_ids):
-                    row = scores[i].copy()
-                    if skip_self:
-                        row[vec_ids == query] = -np.inf
-                    at = _best(row, vec_ids, k)
-                    at = at[row[at] > -np.inf]
-                    for column, x in zip(found, (np.full(len(at), query), vec_ids[at], row[at]), strict=True):
-                        column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], schema=_ARROW)
+                if batch.num_rows:
+                    m = unit(_matrix(batch.column(1)))
+                    if m.shape[1] != best.q.shape[1]:
+                        raise ValueError("vectors differ in length")
+                    best.add(np.asarray(batch.column(0)), m)
+            yield best.batch()
 
         hits = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(search, _HITS)
+        if blocks > 1:
+            hits = written(hits)
+            shared.destroy()
         out = hits if out is None else out.unionByName(hits)
     return _top(vectors.sparkSession.createDataFrame([], _HITS) if out is None else out, k)
 

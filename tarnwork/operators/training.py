@@ -15,22 +15,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.plans.shaping import checkpoint, small
+from tarnwork.plans.shaping import checkpoint, small, written
 
 # How much more a triplet of a commit of each kind weighs.
 MOMENT_WEIGHTS = {"breaking": 3.0, "big_bang": 2.0, "migration": 1.5, "rewrite": 1.2}
-#: Buckets by which the places of a pool are numbered.
-BUCKETS = 64
+#: Buckets, at least and at most, by which the places of a pool are numbered, and items in each.
+BUCKETS, BUCKET_ITEMS = (64, 4_096), 50_000
 #: Items that an anchor tries before it may go through as many as it has partners.
 TRIES = (8, 64)
 
 
 def _placed(pool: DataFrame, seed: int) -> tuple[DataFrame, int]:
     """(place, item) of the distinct items in the order of two hashes, places from 0 without gaps, and their number."""
+    items = written(pool.select("item").where("item is not null").distinct())
+    buckets = min(max(BUCKETS[0], items.count() // BUCKET_ITEMS), BUCKETS[1])
     order = Window.partitionBy("b").orderBy(F.xxhash64("item", F.lit(seed)), "item")
-    laid = checkpoint(pool.select("item").where("item is not null").distinct().withColumn("b", F.pmod(F.xxhash64("item", F.lit(seed + 1)), F.lit(BUCKETS))).withColumn("rn", F.row_number().over(order)))
-    sizes = dict(laid.groupBy("b").count().collect())  # at most BUCKETS rows
-    before = [sum(sizes.get(x, 0) for x in range(b)) for b in range(BUCKETS)]
+    laid = checkpoint(items.withColumn("b", F.pmod(F.xxhash64("item", F.lit(seed + 1)), F.lit(buckets))).withColumn("rn", F.row_number().over(order)))
+    sizes = dict(laid.groupBy("b").count().collect())  # at most BUCKETS[1] rows
+    before = [sum(sizes.get(x, 0) for x in range(b)) for b in range(buckets)]
     return laid.select((F.get(F.array(*(F.lit(x) for x in before)), F.col("b").cast("int")) + F.col("rn") - 1).cast("bigint").alias("place"), "item"), sum(sizes.values())
 
 

@@ -28,13 +28,15 @@ class Command:
     fields: tuple[str, ...]
 
 
+# Commands, the table and columns each searches, and the fields it may count.
 COMMANDS = {
-    "callers": Command("call_graph", ("callee",), ("caller", "callee", "file", "call_type")),
-    "callees": Command("call_graph", ("caller",), ("caller", "callee", "file", "call_type")),
+    "callers": Command("call_graph", ("callee",), ("file", "caller", "callee", "call_type")),
+    "callees": Command("call_graph", ("caller",), ("file", "caller", "callee", "call_type")),
     "functions": Command("function_facts", ("name", "file"), ("file", "name", "is_public", "is_async", "return_type")),
     "imports": Command("import_facts", ("file",), ("import_path", "import_kind")),
     "importers": Command("import_facts", ("import_path",), ("file",)),
 }
+# Fields of a history's summary.
 SUMMARY_FIELDS = ("total_commits", "genesis", "big_bang", "major", "breaking", "migration", "rewrite")
 
 _BLOCK = re.compile(r"^```verify([^\n]*)\n(.*?)^```", re.S | re.M)
@@ -120,7 +122,7 @@ def verify(spark: SparkSession, claims: list[dict[str, str]], tables: dict[str,
             tagged.schema  # analysis errors show here
             parts.append(tagged)
         except (Refused, PySparkException) as e:
-            errors.append((c["belief_id"], c["label"], c["type"], None, "error", str(e).split("\n")[0][:200]))
+            errors.append((c["belief_id"], c["label"], c["type"], None, "error", str(e).split("\n")[0]))
     failed = spark.createDataFrame(errors, "belief_id string, label string, type string, value double, status string, error string")
     if not parts:
         return failed

@@ -75,3 +75,43 @@ def test_federation_cuts_each_repository_by_itself(spark, tmp_path):
     d = stored(spark, tmp_path, documents=([(i, t, "en", s, len(t), "notes", None) for i, t, s in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint, kind string, path string"))
     got = [r["doc_id"] for r in retrieval.repo_federation(spark, d).where("query_id = 'q2'").orderBy("rank").collect()]
     assert got[:2] == ["[one] 900", "[zz_many] 0"] and len(got) == 10
+
+
+def test_nearest_in_blocks_and_slices(spark, monkeypatch):
+    import numpy as np
+
+    from tarnwork.operators import knn
+
+    rng = np.random.default_rng(2)
+    m = np.round(rng.normal(size=(120, 6)), 1)
+    m[10], m[11:14], m[40] = 0, m[9], m[5]  # a zero vector, ties and a copy
+    v = spark.createDataFrame([(i, [float(x) for x in r], "x") for i, r in enumerate(m)] + [(None, [1.0] * 6, ""), (500, None, "")], "vec_id bigint, embedding array<double>, label string").repartition(3)
+    q = v.where("vec_id % 4 = 0").selectExpr("vec_id as query_id", "embedding")
+    u = knn.unit(m)
+    s = np.round(u @ u.T, 9)
+    want = {(i, j) for i in range(0, 120, 4) for j in sorted((x for x in range(120) if x != i), key=lambda x: (-s[i, x], x))[:7]}
+    for block, scores in ((8_000_000, 4_000_000), (60, 50)):
+        monkeypatch.setattr(knn, "BLOCK_VALUES", block)
+        monkeypatch.setattr(knn, "SCORES", scores)
+        assert {(r["query_id"], r["vec_id"]) for r in knn.knn(v, q, 7).collect()} == want
+    assert knn.knn(v, q.limit(0), 7).count() == 0 and knn.knn(v.limit(0), q, 7).count() == 0
+
+
+def test_containment_search_in_passes(spark, monkeypatch):
+    from tarnwork.operators import assay
+
+    co = spark.createDataFrame([(f"src/f{i % 7}.rs", f"src/g{i % 11}.rs", i) for i in range(60)], "file_a string, file_b string, count bigint")
+    q = spark.createDataFrame([(f"q{i}", f"f{i % 7} g{i % 11} rs") for i in range(9)] + [("none", " ")], "query_id string, query string")
+    one = sorted(map(tuple, assay.temporal_neighbours(co, q).collect()))
+    monkeypatch.setattr(assay, "BATCH", 2)
+    assert one and sorted(map(tuple, assay.temporal_neighbours(co, q).collect())) == one
+
+
+def test_size_ranks(spark):
+    from tarnwork.operators.assay import size_rank
+
+    sizes = [0, 0, 1, 5, 5, 5, 1000, 1001, 1002, 2**40, 2**40 + 1, 2**40]
+    df = spark.createDataFrame([(str(i), b) for i, b in enumerate(sizes)], "path string, bytes bigint")
+    got = {r["path"]: r["file_size_rank"] for r in size_rank(df).collect()}
+    assert got == {str(i): sum(x < b for x in sizes) / (len(sizes) - 1) for i, b in enumerate(sizes)}
+    assert [r["file_size_rank"] for r in size_rank(df.limit(1)).collect()] == [0.5] and size_rank(df.limit(0)).count() == 0
