@@ -11,6 +11,7 @@ from tarnwork.operators.eventlog import json_items, scan, with_payload
 from tarnwork.plans.shaping import table
 from tarnwork.queries.instants_sql import dated_commits
 from tarnwork.queries.log import PAYLOAD
+from tarnwork.sources import code
 
 NOW = "2026-05-20"
 
@@ -134,6 +135,16 @@ def function_facts(spark, d):
     return functions(spark, d)
 
 
+def function_flags(spark, d):
+    """The logged Rust functions written out as source text and parsed again, with their flags."""
+    f = functions(spark, d).where(F.col("file").endswith(".rs"))
+    params = F.transform(F.sequence(F.lit(1), F.col("parameter_count")), lambda i: F.concat(F.lit("a"), i.cast("string"), F.lit(": (u8, Vec<&str>)")))
+    head = F.concat(F.when(F.col("is_public"), "pub ").otherwise(""), F.when(F.col("is_async"), "async ").otherwise(""), F.lit("fn "), "name", F.lit("(\n    "))
+    text = F.concat(head, F.when(F.col("parameter_count") > 0, F.array_join(params, ",\n    ")).otherwise(""), F.lit("\n)"), F.coalesce(F.concat(F.lit(" -> "), "return_type"), F.lit("")), F.lit(' {\n    // fn other() {}\n    call("{");\n}\n'))
+    facts = code.parse_sources(f.select(F.col("file").alias("path"), text.alias("source")))
+    return facts.where("kind = 'function'").select(F.col("path").alias("file"), "name", "is_public", "is_async", F.size("parameters").cast("bigint").alias("parameter_count"), F.col("returns").alias("return_type"), "returns_result", "returns_option", F.col("line").cast("bigint").alias("line")).distinct()
+
+
 def functions_search(spark, d):
     return assay.search(functions(spark, d), ["name", "file"], "query", ["file", "name", "parameter_count", "is_public", "is_async", F.col("return_type").asc_nulls_first()], 100)
 
@@ -187,7 +198,7 @@ def node_universe(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        cochange_pairs, temporal_neighbors, moments, moments_summary, inventory, function_facts, functions_search, callers, callees, imports_of, importers_of, module_signals, orient, recent_changes, largest_modules,
+        cochange_pairs, temporal_neighbors, moments, moments_summary, inventory, function_facts, function_flags, functions_search, callers, callees, imports_of, importers_of, module_signals, orient, recent_changes, largest_modules,
         language_rollup, node_universe,
     )
 }
@@ -210,6 +221,8 @@ SQL = {
         count(*) filter (lower(message) like '%rewrite%' or lower(message) like '%refactor%') as rewrite from c""",
     "inventory": f"""with {FUNCTIONS}, {IMPORTS}, {MODULES} select path, lines, bytes, (select count(*) from fn where fn.file = md.path) as n_functions, (select count(*) from im where im.file = md.path) as n_imports from md where path like 'src/%' order by path limit 1000""",
     "function_facts": f"with {FUNCTIONS} select * from fn",
+    "function_flags": f"""with {FUNCTIONS} select distinct file, name, coalesce(is_public, false) as is_public, coalesce(is_async, false) as is_async, parameter_count, return_type, coalesce(contains(return_type, 'Result'), false) as returns_result,
+        coalesce(contains(return_type, 'Option'), false) as returns_option, 1::bigint as line from fn where file like '%.rs'""",
     "functions_search": f"with {FUNCTIONS} select * from fn where name ilike '%query%' or file ilike '%query%' order by file, name, parameter_count, is_public nulls first, is_async nulls first, return_type nulls first limit 100",
     "callers": f"with {CALLS} select * from cg where callee ilike '%#17%' order by caller, callee, file, line_number, call_type limit 100",
     "callees": f"with {CALLS} select * from cg where caller ilike '%0001%' order by callee, caller, file, line_number, call_type limit 100",
