@@ -109,11 +109,27 @@ _STRETCHES = """list_max(list_transform(string_split_regex({0}, '{1}'), lambda x
 _SENTENCES = r"regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '([。！？])', '\1' || chr(10), 'g')"
 _CJK = r"regexp_replace(text, '([。！？])', '\1' || chr(10), 'g')"
 
+_WIDE = "".join(chr(c) for a, z in ((0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)) for c in range(a, z + 1))
+_PLAIN = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
+#: Words, as far as the tables go: of entities &nbsp; alone, of compatibility forms the full-width ones.
+_WORDS = f"regexp_extract_all(replace(lower(translate(regexp_replace(nfc_normalize(replace({{0}}, '&nbsp;', ' ')), '[\\x{{{{ad}}}}\\x{{{{200b}}}}-\\x{{{{200f}}}}\\x{{{{2060}}}}-\\x{{{{2064}}}}\\x{{{{feff}}}}]', '', 'g'), '{_WIDE}', '{_PLAIN}')), 'ß', 'ss'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
+_SOURCE = r"lower(regexp_replace(source, '^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$', '', 'g'))"
+
 SQL = {
     "p3_found": rf"""
         with {_LONG_TEXTS}
         select tbl, record_id, case when {_STRETCHES.format('text', r'\r?\n(?:[ \t\r\f\v]*\n)+')} then 'paragraph' when {_STRETCHES.format('text', r'\r?\n')} then 'line'
                when {_STRETCHES.format(_SENTENCES, r'\r?\n')} then 'sentence' when {_STRETCHES.format(_CJK, r'\s+')} then 'word' else 'none' end as need from l""",
+    "p7_found": f"""
+        with i as (select distinct item_id, {_WORDS.format('text')} as w from eval_items where item_id is not null and text is not null), d as (select distinct doc_id, {_WORDS.format('text')} as w from documents where doc_id is not null and text is not null),
+             s as (select item_id, w, least(len(w), 13) as k from i where len(w) > 0), k as (select distinct k from s),
+             a as (select distinct item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' '))) as g from s),
+             b as (select distinct doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' '))) as g from d, k where len(w) >= k)
+        select distinct doc_id, item_id from a join b using (k, g)""",
+    "p8_found": f"""
+        with d as (select doc_id, max({_SOURCE}) as source, max(len(regexp_extract_all(coalesce(text, ''), '\\p{{L}}+|\\p{{N}}+|[^\\s\\p{{L}}\\p{{N}}]'))) as tokens from documents where doc_id is not null group by 1), a as (select source, sum(tokens) as tokens from d where source <> '' group by 1),
+             t as (select distinct source as target, {_SOURCE} as source, target_share, max_repeats from mix_targets)
+        select distinct target as source from t left join a using (source) where coalesce(tokens, 0) * max_repeats < target_share * (select sum(tokens) from d) * 0.5""",
     "p9_found": f"""
         with {_GRAMS}, s as (select h from g group by h having min(doc_id) <> max(doc_id)), k as (select distinct doc_id, h from g join s using (h))
         select distinct a.doc_id as doc_a, b.doc_id as doc_b from k a join k b on a.h = b.h and a.doc_id < b.doc_id""",
