@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators import instants, nested, orphans, packed
 from tarnwork.plans.shaping import checkpoint, table
-from tarnwork.queries import instants_sql
+from tarnwork.queries import instants_sql, packed_sql
 
 PACKED_FIELDS = {"forge_issues": ("number", "labels", "labels"), "beliefs": ("id", "facets", "words"), "patterns": ("id", "tags", "words"), "forge_prs": ("number", "linked_issues", "numbers")}
 
@@ -161,6 +161,7 @@ P6_GIVEN = f"""select tbl, record_id, event_seq::varchar as ref, period, 'eventl
 P6_MORE = """select 'forge_prs', record_id, ref, period, 'forge_issues' from ln where n not in (select number from dt where tbl = 'forge_issues') union all select 'forge_refs', record_id, source, period, 'commits' from dt where tbl = 'forge_refs' and source is not null and source not in (select sha from commits where sha is not null)"""
 
 SQL = {
+    "p1_found": packed_sql.found(PACKED_FIELDS),
     "p2_found": instants_sql.P2_FOUND,
     "p5_found": P5 + "select distinct seq, path, place as pos from o",
     "p5_files": P5 + ", ".join(["select distinct seq as rec, place as pos, '' as parent_path, '' as parent_pos", *(f"case when json_type(v, '$.{c}') not in ('OBJECT', 'ARRAY') then json_extract_string(v, '$.{c}') end as {c}" for c in ("path", "change_type", "lines_added", "lines_removed"))]) + " from o where o.path = 'files'",
