@@ -25,12 +25,17 @@ BUCKETS, BUCKET_ITEMS = (64, 4_096), 50_000
 TRIES = (8, 64)
 
 
+def _hash(seed: int, *columns: str) -> Column:
+    """60 bits of the MD5 of a seed and columns, which other engines can make too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("\u0001", F.lit(str(seed)), *columns)), 1, 15), 16, 10).cast("bigint")
+
+
 def _placed(pool: DataFrame, seed: int) -> tuple[DataFrame, int]:
     """(place, item) of the distinct items in the order of two hashes, places from 0 without gaps, and their number."""
     items = written(pool.select("item").where("item is not null").distinct())
     buckets = min(max(BUCKETS[0], items.count() // BUCKET_ITEMS), BUCKETS[1])
-    order = Window.partitionBy("b").orderBy(F.xxhash64("item", F.lit(seed)), "item")
-    laid = checkpoint(items.withColumn("b", F.pmod(F.xxhash64("item", F.lit(seed + 1)), F.lit(buckets))).withColumn("rn", F.row_number().over(order)))
+    order = Window.partitionBy("b").orderBy(_hash(seed, "item"), "item")
+    laid = checkpoint(items.withColumn("b", F.pmod(_hash(seed + 1, "item"), F.lit(buckets))).withColumn("rn", F.row_number().over(order)))
     sizes = dict(laid.groupBy("b").count().collect())  # at most BUCKETS[1] rows
     before = [sum(sizes.get(x, 0) for x in range(b)) for b in range(buckets)]
     return laid.select((F.get(F.array(*(F.lit(x) for x in before)), F.col("b").cast("int")) + F.col("rn") - 1).cast("bigint").alias("place"), "item"), sum(sizes.values())
@@ -54,11 +59,11 @@ def _negatives(anchors: DataFrame, pool: DataFrame, forbidden: DataFrame, seed:
             asked = left.join(n_banned, by, "left").withColumn("n", F.coalesce("n", F.lit(0)) + 2)
         else:
             asked = left.withColumn("n", F.lit(tries))
-        begin = F.pmod(F.xxhash64("anchor", F.lit(seed + 2)), F.lit(max(size, 1)))
+        begin = F.pmod(_hash(seed + 2, "anchor"), F.lit(max(size, 1)))
         steps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("n").cast("bigint"), F.lit(size)) - 1))
         tried = asked.where(F.lit(size > 0)).select(*left.columns, steps.alias("k")).withColumn("place", F.pmod(begin + F.col("k"), F.lit(max(size, 1)))).drop("k").join(small(placed), "place").where("item != anchor")
         free = tried.join(banned, [by, "item"], "left_anti")
-        best = checkpoint(free.groupBy("anchor").agg(F.min(F.struct(F.xxhash64("anchor", "item", F.lit(seed)).alias("h"), F.col("item"))).alias("x")).select("anchor", F.col("x.item").alias("negative")))
+        best = checkpoint(free.groupBy("anchor").agg(F.min(F.struct(_hash(seed, "anchor", "item").alias("h"), F.col("item"))).alias("x")).select("anchor", F.col("x.item").alias("negative")))
         found = best if found is None else found.unionByName(best)
         left = checkpoint(left.join(best, "anchor", "left_anti"))
         if left.isEmpty():
@@ -85,7 +90,7 @@ def cochange_triplets(co_changes: DataFrame, least: int = 2, seed: int = 7, both
 def session_triplets(observations: DataFrame, seed: int = 7) -> DataFrame:
     """(anchor, positive, negative): texts of one session (session_id, item), and one of another."""
     obs = observations.select("session_id", "item").distinct()
-    next_item = F.lead("item").over(Window.partitionBy("session_id").orderBy(F.xxhash64("item", F.lit(seed)), "item"))
+    next_item = F.lead("item").over(Window.partitionBy("session_id").orderBy(_hash(seed, "item"), "item"))
     pairs = obs.withColumn("positive", next_item).where("positive is not null").select("session_id", F.col("item").alias("anchor"), "positive")
     return pairs.join(_negatives(pairs, obs, obs, seed, by="session_id"), "anchor").select("anchor", "positive", "negative")
 

@@ -277,7 +277,30 @@ def _values() -> str:
     return f"with {assay.FUNCTIONS}, {assay.CALLS}, vr as (" + " union all ".join(parts) + ")"
 
 
+def _hash_sql(seed: int, *columns: str) -> str:
+    return f"('0x' || left(md5(concat_ws(chr(1), '{seed}', {', '.join(columns)})), 15))::bigint"
+
+
+def _negatives_sql(anchors: str, pool: str, banned: str, seed: int = 7) -> str:
+    """CTEs up to ng(anchor, negative) over CTEs anchors(anchor, owner), pool(item) and banned(owner, item)."""
+    return f"""pl as (select item, row_number() over (order by {_hash_sql(seed + 1, 'item')} % 64, {_hash_sql(seed, 'item')}, item) - 1 as place, count(*) over () as size from (select distinct item from {pool} where item is not null)),
+        bn as (select distinct owner, item from {banned}), nb as (select owner, count(*) as n from bn group by 1), an as (select distinct anchor, owner from {anchors}),
+        tr as (select anchor, owner, item, {_hash_sql(seed, 'anchor', 'item')} as h, (place - {_hash_sql(seed + 2, 'anchor')} % size + size) % size as k, coalesce(n, 0) + 2 as most from an left join nb using (owner), pl where item <> anchor),
+        fr as (select *, case when k < 8 then 1 when k < 64 then 2 when k < most then 3 end as round from tr anti join bn using (owner, item)), rd as (select anchor, min(round) as least from fr group by 1),
+        ng as (select anchor, (min(struct_pack(h := h, item := item))).item as negative from fr join rd using (anchor) where case least when 1 then k < 8 when 2 then k < 64 else k < most end group by 1)"""
+
+
 SQL = {
+    "triplets_cochange": f"""with sp as (select least(file_a, file_b) as x, greatest(file_a, file_b) as y, sum(coalesce("count", 0)) as n from co_changes where file_a <> file_b group by 1, 2), bo as (select x as owner, y as item from sp union all select y, x from sp),
+        pr as (select x as anchor, y as positive from sp where n >= 2 union all select y, x from sp where n >= 2), ax as (select anchor, anchor as owner from pr), {_negatives_sql('ax', 'bo', 'bo')} select anchor, positive, negative from pr join ng using (anchor)""",
+    "triplets_session": f"""with {PAYLOAD}, ob as (select distinct json_extract_string(p, '$.session_id') as owner, json_extract_string(p, '$.content') as item from pl where event_type like 'session.%' and length(json_extract_string(p, '$.content')) > 20 and json_extract_string(p, '$.session_id') is not null),
+        pr as (select * from (select owner, item as anchor, lead(item) over (partition by owner order by {_hash_sql(7, 'item')}, item) as positive from ob) where positive is not null), {_negatives_sql('pr', 'ob', 'ob').replace('pl as', 'pp as').replace(', pl where', ', pp where')}
+        select anchor, positive, negative from pr join ng using (anchor)""",
+    "triplets_dependency": f"""with {assay.CALLS}, pr as (select distinct caller as anchor, callee as positive from cg), bo as (select anchor as owner, positive as item from pr), ax as (select anchor, anchor as owner from pr), {_negatives_sql('ax', 'bo', 'bo')}
+        select anchor, positive, negative from pr join ng using (anchor)""",
+    "triplets_commit": f"""with {assay.FUNCTIONS}, mo as ({assay.SQL['moments']}), f as (select distinct file as file_path, name as item from fn), cm as (select distinct sha, message as anchor from (select distinct sha, message, author_name, timestamp from commits) where length(message) > 30),
+        pr as (select distinct anchor, item as positive, case moment_type when 'breaking' then 3.0 when 'big_bang' then 2.0 when 'migration' then 1.5 when 'rewrite' then 1.2 else 1.0 end::double as weight from cm join (select distinct sha, file_path from commit_files) using (sha) join f using (file_path) left join (select distinct sha, moment_type from mo) using (sha)),
+        bo as (select anchor as owner, positive as item from pr), ax as (select anchor, anchor as owner from pr), {_negatives_sql('ax', 'f', 'bo').replace('pl as', 'pp as').replace(', pl where', ', pp where')} select anchor, positive, weight, negative from pr join ng using (anchor)""",
     "verification_results": _values() + " select * from vr",
     "verification_counts": _values() + " select belief_id, count(*) as total, count(*) filter (status = 'pass') as passed, count(*) filter (status = 'contested') as contested, count(*) filter (status = 'error') as errored from vr group by 1",
     "belief_audit": f"with {AUDIT} select * from a",
