@@ -93,9 +93,9 @@ def rrf_why(spark, d):
     return fusion.why(fusion.rrf(_lists(spark, d), 50).withColumn("doc_id", F.col("doc_id").cast("string")), "1").withColumn("raw_score", F.round("raw_score", 6))
 
 
-def hybrid_search(spark, d):
+def _hybrid(spark, d, batch: DataFrame) -> DataFrame:
     """Lexical, semantic (hashed embedding), belief and co-change sources fused for a batch of questions."""
-    batch, docs = _batch(spark), _docs(spark, d)
+    docs = _docs(spark, d)
     idx = fts.index(docs, "doc_id", "text")
     terms = fts.query_terms(batch)
     lexical = fts.bm25(idx, terms, 20)
@@ -110,6 +110,16 @@ def hybrid_search(spark, d):
     return fused.select("query_id", "doc_id", "fused_score", "rank", F.array_join("sources", ",").alias("sources"))
 
 
+def hybrid_search(spark, d):
+    """The fused search for four questions."""
+    return _hybrid(spark, d, _batch(spark))
+
+
+def hybrid_questions(spark, d):
+    """The fused search for all test questions."""
+    return _hybrid(spark, d, table(spark, d, "eval_items").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("query")).where("query is not null").distinct())
+
+
 def _commit_hits(spark, d) -> DataFrame:
     commits = table(spark, d, "commits").select("sha", "message").where("sha is not null").dropDuplicates(["sha"])
     return fts.bm25(fts.index(commits, "sha", "message"), fts.query_terms(_batch(spark)), 10)
@@ -203,7 +213,7 @@ def enriched(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_cosine, knn_precision_at_k, knn_ann, vector_stats, mlp_project, rrf_fuse, rrf_weighted, rrf_why, hybrid_search, lexical_commit_expand, annotated_hits, belief_merge, belief_impact, repo_federation, related_nodes, edge_usage_stats, learn_weights,
+        knn_cosine, knn_precision_at_k, knn_ann, vector_stats, mlp_project, rrf_fuse, rrf_weighted, rrf_why, hybrid_search, hybrid_questions, lexical_commit_expand, annotated_hits, belief_merge, belief_impact, repo_federation, related_nodes, edge_usage_stats, learn_weights,
         graph_counts, routed_search, enriched,
     )
 }
@@ -239,6 +249,7 @@ def _mlp_sql() -> str:
 HASHED = """{0}_w as (select {1} as id, ('0x' || left(md5(term), 8))::bigint as h from (select {1}, unnest({2}) as term from {3})), {0}_v as (select id, h % 64 as b, sum(case when (h >> 16) & 1 = 1 then 1 else -1 end)::double as x from {0}_w group by 1, 2),
     {0}_u as (select {0}_v.id, b, x / n as x from {0}_v join (select id, sqrt(sum(x * x)) as n from {0}_v group by 1 having sum(x * x) > 0) m on m.id = {0}_v.id)"""
 WORDS_OF = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+QUESTION_SQL = "batch as (select distinct 'q' || item_id as query_id, text as query from eval_items where text is not null)"
 HYBRID = f"""with {BATCH_SQL}, {DOCS}, {_bm25_sql('dc', 'lx', 20)}, bb as (select distinct on (id) id as doc_id, concat_ws(' ', id, statement, facets) as body from beliefs order by id), {_bm25_sql('bb', 'bl', 20)},
     {HASHED.format('qv', 'query_id', WORDS_OF.format('query'), 'batch')}, {HASHED.format('dv', 'doc_id', WORDS_OF.format('body'), 'dc')},
     cs as (select query_id, doc_id, round(coalesce(x, 0), 9) as score from batch cross join (select doc_id from dc) left join (select qv_u.id as q, dv_u.id as d, sum(qv_u.x * dv_u.x) as x from qv_u join dv_u using (b) group by 1, 2) on q = query_id and d = doc_id),
@@ -254,6 +265,7 @@ HYBRID = f"""with {BATCH_SQL}, {DOCS}, {_bm25_sql('dc', 'lx', 20)}, bb as (selec
 SQL = {
     "mlp_project": _mlp_sql(),
     "hybrid_search": HYBRID,
+    "hybrid_questions": HYBRID.replace(BATCH_SQL, QUESTION_SQL, 1),
     "knn_cosine": f"with {NEAR} select query_id, vec_id, round(score, 6) as score, rank from nk where rank <= 10",
     "knn_precision_at_k": f"""with {NEAR}, sz as (select label as own, count(*) - 1 as expected from v group by 1) select query_id, round(count(*) filter (rank <= 5 and own = label) / greatest(least(5, max(expected)), 1), 6) as p5,
         round(count(*) filter (rank <= 10 and own = label) / greatest(least(10, max(expected)), 1), 6) as p10 from nk join sz using (own) where rank <= 10 group by 1""",

@@ -62,6 +62,13 @@ def bm25_topk(spark, d):
     return fts.bm25(fts.index(_docs(spark, d), "doc_id", "text"), fts.query_terms(_batch(spark)), 10)
 
 
+def bm25_documents(spark, d):
+    """The documents whose id is divisible by 100, whole, as queries against all documents."""
+    docs = _docs(spark, d)
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    return fts.bm25(fts.index(docs, "doc_id", "text"), fts.query_terms(asked), 10)
+
+
 def bm25_porter(spark, d):
     """Ranking with stemmed, folded words; checked against an embedded full-text engine in the tests."""
     idx = fts.index(_docs(spark, d), "doc_id", "text", folded=True)
@@ -118,7 +125,7 @@ def remote_urls(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (conventional_commits, commit_types, change_types, clean_messages, intent_detect, query_rewrite, bm25_topk, bm25_porter, lexical_union, phrase_search, snippets, result_snippets, secret_scan, secret_scan_planted, remote_urls)
+    for f in (conventional_commits, commit_types, change_types, clean_messages, intent_detect, query_rewrite, bm25_topk, bm25_documents, bm25_porter, lexical_union, phrase_search, snippets, result_snippets, secret_scan, secret_scan_planted, remote_urls)
 }
 
 MESSAGES = "m as (select distinct sha, message, split_part(replace(message, chr(13), ''), chr(10), 1) as line from commits where sha is not null and message is not null)"
@@ -176,6 +183,7 @@ SQL = {
     "query_rewrite": f"""with {ASKED} select query, coalesce(array_to_string({TERMS}, '|'), '') as terms, case when {CODE_LIKE} then case when contains(query, ' ') then '"' || replace(query, '"', '""') || '"' else query end
         when len({TERMS}) > 0 then array_to_string({TERMS}, ' OR ') else query end as fts_query from a""",
     "bm25_topk": f"with {BATCH_SQL}, {DOCS}, {_bm25_sql('dc')} select * from s",
+    "bm25_documents": f"with {DOCS}, ba as (select doc_id as query_id, body as query from (select doc_id, regexp_replace(body, '\\bOR\\b', ' ', 'g') as body from dc where doc_id % 100 = 0)), {_bm25_sql('dc', 's', 10, 'ba')} select * from s",
     "lexical_union": f"""with {BATCH_SQL}, {DOCS}, d1 as (select 'doc:' || doc_id as doc_id, body from dc), d2 as (select distinct on (sha) 'commit:' || sha as doc_id, message || ' ' || coalesce(author_name, '') as body from commits order by sha),
         d3 as (select distinct on (number) 'issue:' || number as doc_id, coalesce(title, '') || ' ' || coalesce(body, '') as body from forge_issues order by number), {_bm25_sql('d1', 'a')}, {_bm25_sql('d2', 'b')}, {_bm25_sql('d3', 'c')},
         u as (select 'documents' as corpus, * from a union all select 'commits', * from b union all select 'issues', * from c)
