@@ -143,12 +143,25 @@ class Engine:
 
     # --- log, context, reports --------------------------------------------------------------
 
+    def _event(self, rows: DataFrame, event_type: str, query_id: str, data) -> DataFrame:
+        now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        return rows.select(F.lit(0).cast("bigint").alias("seq"), F.lit(event_type).alias("event_type"), now.alias("timestamp"), F.lit(query_id).alias("source_id"), F.lit(None).cast("string").alias("source_file"), data.alias("data"))
+
     def log_search(self, session_id: str, query_id: str, query: str, results: DataFrame, mode: str = "find") -> DataFrame:
         """The event of a search, to be appended to the log: query, session and ranked results."""
         items = results.select(F.struct(F.col("doc_id"), F.col("fused_score").alias("score"), F.col("rank"), F.coalesce("event_type", F.lit("")).alias("event_type")).alias("r"))
         body = items.agg(F.array_sort(F.collect_list("r"), lambda a, b: (a["rank"] - b["rank"]).cast("int")).alias("results"))  # at most MOST rows
-        data = F.to_json(F.struct(F.lit(query).alias("query"), F.lit(query_id).alias("query_id"), F.lit(mode).alias("mode"), F.lit(session_id).alias("session_id"), F.col("results")))
-        return body.select(F.lit(0).cast("bigint").alias("seq"), F.lit("scry.query").alias("event_type"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.lit(query_id).alias("source_id"), F.lit(None).cast("string").alias("source_file"), data.alias("data"))
+        return self._event(body, "scry.query", query_id, F.to_json(F.struct(F.lit(query).alias("query"), F.lit(query_id).alias("query_id"), F.lit(mode).alias("mode"), F.lit(session_id).alias("session_id"), F.col("results"))))
+
+    def log_use(self, session_id: str, query_id: str, doc_id: str, rank: int) -> DataFrame:
+        """The event of a result that was opened or copied."""
+        fields = (("query_id", query_id), ("result_used", doc_id), ("rank", rank), ("session_id", session_id))
+        return self._event(self.spark.range(1), "scry.use", query_id, F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in fields))))
+
+    def log_feedback(self, session_id: str, query_id: str, signal: str, comment: str | None = None) -> DataFrame:
+        """The event of a rating of a query's results."""
+        fields = (("query_id", query_id), ("signal", signal), ("comment", comment), ("session_id", session_id))
+        return self._event(self.spark.range(1), "scry.feedback", query_id, F.to_json(F.struct(*(F.lit(v).cast("string").alias(k) for k, v in fields))))
 
     def append(self, events: DataFrame) -> DataFrame:
         return eventlog.append(self.tables["eventlog"], events)

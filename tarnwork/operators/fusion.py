@@ -117,3 +117,30 @@ def expanded(query: Column, terms: Column) -> Column:
 def enrich(hits: DataFrame, documents: DataFrame) -> DataFrame:
     """Content of hits of any kind by (content_type, id), one equi-join over a tagged union."""
     return hits.join(documents.select("content_type", F.col("id").alias("doc_id"), "content"), ["content_type", "doc_id"], "left")
+
+
+def family_documents(log: DataFrame, functions: DataFrame, patterns: DataFrame, commits: DataFrame, beliefs: DataFrame, co_changes: DataFrame, calls: DataFrame, most: int = 200) -> DataFrame:
+    """(content_type, id, source_id, content) of everything a search may find, by family.
+
+    Families: forge (events by seq, with the first `most` characters of their body), belief (with
+    its uses and checked evidence), commit, pattern, code (functions), event (other events of
+    the log), temporal (files, with how many others they change with) and dependency (functions,
+    with how many they call). log: (seq, event_type, source_id, payload).
+    """
+    get = lambda p: F.coalesce(F.get_json_object("payload", p), F.lit(""))
+    kind = F.when(F.col("event_type") == "forge.pr", "PR").otherwise("Issue")
+    body = F.substring(get("$.body"), 1, most)
+    headed = F.concat(kind, F.lit(" #"), "source_id", F.lit(": "), get("$.title"), F.when(body != "", F.concat(F.lit("\n"), body)).otherwise(""))
+    forge = log.where(F.col("event_type").isin("forge.issue", "forge.pr")).select(F.lit("forge").alias("content_type"), F.col("seq").cast("string").alias("id"), F.concat(F.lower(kind), F.lit("#"), "source_id").alias("source_id"), headed.alias("content"))
+    other = log.where("event_type not like 'forge.%' and event_type not like 'code.%'").select(F.lit("event").alias("content_type"), F.col("seq").cast("string").alias("id"), "source_id", F.coalesce(F.get_json_object("payload", "$.content"), F.get_json_object("payload", "$.message"), F.lit("")).alias("content"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    told = F.concat(F.coalesce("statement", F.lit("")), F.lit(" (use: "), number("cited_by_beliefs"), F.lit("+"), number("cited_by_sessions"), F.lit(", truth: "), number("evidence_count"), F.lit("/"), number("evidence_verified"), F.lit(")"))
+    belief = beliefs.select(F.lit("belief").alias("content_type"), "id", F.col("id").alias("source_id"), told.alias("content"))
+    commit = commits.select(F.lit("commit").alias("content_type"), F.col("sha").alias("id"), F.substring("sha", 1, 7).alias("source_id"), F.col("message").alias("content"))
+    pattern = patterns.select(F.lit("pattern").alias("content_type"), "id", F.col("file_path").alias("source_id"), F.concat_ws(" — ", "title", "purpose").alias("content"))
+    named = F.concat("file", F.lit("::"), "name")
+    code = functions.groupBy(named.alias("id")).agg(F.max("return_type").alias("ret")).select(F.lit("code").alias("content_type"), "id", F.col("id").alias("source_id"), F.concat(F.col("id"), F.coalesce(F.concat(F.lit(" -> "), "ret"), F.lit(""))).alias("content"))
+    both = co_changes.select(F.col("file_a").alias("id"), F.col("file_b").alias("with")).unionByName(co_changes.select(F.col("file_b").alias("id"), F.col("file_a").alias("with")))
+    temporal = both.where("id is not null").groupBy("id").agg(F.count_distinct("with").alias("n")).select(F.lit("temporal").alias("content_type"), "id", F.col("id").alias("source_id"), F.concat(F.lit("changes with "), F.col("n").cast("string"), F.lit(" files")).alias("content"))
+    dependency = calls.groupBy(F.col("caller").alias("id")).agg(F.count_distinct("callee").alias("n")).select(F.lit("dependency").alias("content_type"), "id", F.col("id").alias("source_id"), F.concat(F.lit("calls "), F.col("n").cast("string"), F.lit(" functions")).alias("content"))
+    return reduce(DataFrame.unionByName, [forge, other, belief, commit, pattern, code, temporal, dependency])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions import text, vectors
 from tarnwork.operators import fts, fusion, graph, knn
 from tarnwork.operators.assay import temporal_neighbours
+from tarnwork.operators.eventlog import with_payload
 from tarnwork.operators.evaluation import precision_at
 from tarnwork.operators.training import Projection, hashed_embedding
 from tarnwork.plans.shaping import table
@@ -210,11 +211,30 @@ def enriched(spark, d):
     return fusion.enrich(hits, known)
 
 
+def enriched_families(spark, d):
+    """Every result of the eight families, by number and length of what it shows."""
+    log = with_payload(table(spark, d, "eventlog")).select("seq", "event_type", "source_id", "payload").where("payload is not null")
+    one = lambda name, key: table(spark, d, name).where(F.col(key).isNotNull()).dropDuplicates([key])
+    docs = fusion.family_documents(log, assay.functions(spark, d), one("patterns", "id"), one("commits", "sha"), one("beliefs", "id"), table(spark, d, "co_changes"), assay.call_graph(spark, d)).distinct()
+    hits = docs.select("content_type", F.col("id").alias("doc_id")).distinct()
+    return fusion.enrich(hits, docs).groupBy("content_type").agg(F.count_distinct("doc_id").alias("n"), F.sum(F.length("content")).alias("n_chars"), F.min("content").alias("least"), F.max("content").alias("most"))
+
+
+def knn_precision_summary(spark, d):
+    """Mean precision at 5 and 10 against what random picks would give: the share of the label's other vectors."""
+    per = knn_precision_at_k(spark, d)
+    v = table(spark, d, "embeddings").select("vec_id", "label")
+    sizes = v.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("others"))
+    n = v.count()
+    chance = v.where("vec_id % 100 = 0").join(F.broadcast(sizes), "label").select(F.col("vec_id").alias("query_id"), F.try_divide(F.col("others"), F.lit(n - 1)).alias("chance"))
+    return per.join(chance, "query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p5"), 6).alias("p5"), F.round(F.avg("p10"), 6).alias("p10"), F.round(F.avg("chance"), 6).alias("random"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         knn_cosine, knn_precision_at_k, knn_ann, vector_stats, mlp_project, rrf_fuse, rrf_weighted, rrf_why, hybrid_search, hybrid_questions, lexical_commit_expand, annotated_hits, belief_merge, belief_impact, repo_federation, related_nodes, edge_usage_stats, learn_weights,
-        graph_counts, routed_search, enriched,
+        graph_counts, routed_search, enriched, enriched_families, knn_precision_summary,
     )
 }
 
@@ -269,6 +289,16 @@ SQL = {
     "knn_cosine": f"with {NEAR} select query_id, vec_id, round(score, 6) as score, rank from nk where rank <= 10",
     "knn_precision_at_k": f"""with {NEAR}, sz as (select label as own, count(*) - 1 as expected from v group by 1) select query_id, round(count(*) filter (rank <= 5 and own = label) / greatest(least(5, max(expected)), 1), 6) as p5,
         round(count(*) filter (rank <= 10 and own = label) / greatest(least(10, max(expected)), 1), 6) as p10 from nk join sz using (own) where rank <= 10 group by 1""",
+    "knn_precision_summary": f"""with {NEAR}, sz as (select label as own, count(*) - 1 as expected from v group by 1), pq as (select query_id, own, round(count(*) filter (rank <= 5 and own = label) / greatest(least(5, max(expected)), 1), 6) as p5,
+        round(count(*) filter (rank <= 10 and own = label) / greatest(least(10, max(expected)), 1), 6) as p10 from nk join sz using (own) where rank <= 10 group by 1, 2) select count(*) as n, round(avg(p5), 6) as p5, round(avg(p10), 6) as p10, round(avg(expected / ((select count(*) from v) - 1)), 6) as random from pq join sz using (own)""",
+    "enriched_families": assay.SIGNALS.split("imc as")[0].rstrip().rstrip(",") + f""", {assay.CALLS}, el as (select seq, event_type, source_id, p from pl where p is not null),
+        fd as (select distinct 'forge' as ct, seq::varchar as id, case event_type when 'forge.pr' then 'PR' else 'Issue' end || ' #' || source_id || ': ' || coalesce(json_extract_string(p, '$.title'), '') || case when coalesce(json_extract_string(p, '$.body'), '') <> '' then chr(10) || left(json_extract_string(p, '$.body'), 200) else '' end as content from el where event_type in ('forge.issue', 'forge.pr')
+            union all select distinct 'event', seq::varchar, coalesce(json_extract_string(p, '$.content'), json_extract_string(p, '$.message'), '') from el where event_type not like 'forge.%' and event_type not like 'code.%'
+            union all select 'belief', id, coalesce(statement, '') || ' (use: ' || coalesce(cited_by_beliefs, 0) || '+' || coalesce(cited_by_sessions, 0) || ', truth: ' || coalesce(evidence_count, 0) || '/' || coalesce(evidence_verified, 0) || ')' from (select distinct on (id) * from beliefs where id is not null order by id)
+            union all select 'commit', sha, message from (select distinct on (sha) * from commits where sha is not null order by sha, message) union all select 'pattern', id, concat_ws(' — ', title, purpose) from (select distinct on (id) * from patterns where id is not null order by id)
+            union all select 'code', file || '::' || name, file || '::' || name || coalesce(' -> ' || max(return_type), '') from fn group by 2, file, name
+            union all select 'temporal', a, 'changes with ' || count(distinct b) || ' files' from (select file_a as a, file_b as b from co_changes union all select file_b, file_a from co_changes) where a is not null group by 2 union all select 'dependency', caller, 'calls ' || count(distinct callee) || ' functions' from cg group by 2)
+        select ct as content_type, count(distinct id) as n, sum(length(content))::bigint as n_chars, min(content) as least, max(content) as most from fd group by 1""",
     "vector_stats": "select label::bigint as label, count(*) as n, 1.0::double as mean_norm, 2.0::double as mean_span from embeddings group by 1",
     "rrf_fuse": f"with {LISTS}, fz as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as fused_score, string_agg(distinct source, ',' order by source) as sources from li group by 1, 2) {FUSED}",
     "rrf_weighted": f"with {LISTS}, lw as (select *, {INTENT_OF} as intent from li), fz as (select query_id, doc_id, round(sum(({WEIGHT})::double / (60 + rank)), 9) as fused_score, string_agg(distinct source, ',' order by source) as sources from lw group by 1, 2) {FUSED}",

@@ -320,8 +320,8 @@ def parse_sources(files: DataFrame) -> DataFrame:
     return files.select("path", "source").mapInPandas(parse, FACTS)
 
 
-def ignore_regex(pattern: str) -> str:
-    """The regex, over paths relative to the root, of one line of an ignore file."""
+def ignore_regex(pattern: str, under: str = "") -> str:
+    """The regex, over paths relative to the root, of one line of the ignore file in folder `under`."""
     anchored, folder = "/" in pattern.rstrip("/"), pattern.endswith("/")
     out, body, i = "", pattern.strip("/"), 0
     while i < len(body):
@@ -333,16 +333,20 @@ def ignore_regex(pattern: str) -> str:
             c = body[i]
             out += {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c))
             i += 1
-    return ("^" if anchored else "(?:^|.*/)") + out + ("/.*$" if folder else "(?:/.*)?$")
+    return "^" + re.escape(under) + ("" if anchored else "(?:.*/)?") + out + ("/.*$" if folder else "(?:/.*)?$")
 
 
-def ignored(path: Column, lines: list[str]) -> Column:
-    """Whether the lines of an ignore file leave a relative path out; a later line overrides, `!` takes back."""
+def ignored(path: Column, lines: list[str] | list[tuple[str, str]]) -> Column:
+    """Whether lines of ignore files leave a relative path out; a later line overrides, `!` takes back.
+
+    Lines may be given with the folder (ending in `/`) of their file, the root's first.
+    """
     out = F.lit(False)
-    for line in (x.rstrip() for x in lines):
+    for under, line in (x if isinstance(x, tuple) else ("", x) for x in lines):
+        line = line.rstrip()
         if line and not line.startswith("#"):
             back = line.startswith("!")
-            out = F.when(path.rlike(ignore_regex(line[back:])), F.lit(not back)).otherwise(out)
+            out = F.when(path.rlike(ignore_regex(line[back:], under)), F.lit(not back)).otherwise(out)
     return out
 
 
@@ -352,9 +356,12 @@ ALWAYS = [".git/", "node_modules/", "target/", "__pycache__/"]
 
 def read_sources(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
     """(path, size, mtime, line_count, source) of the text files of known languages below a
-    folder, without what `ignore` (by default the root's .gitignore) leaves out."""
-    listed = Path(root, ".gitignore")
-    lines = [*ALWAYS, *((listed.read_text().splitlines() if listed.is_file() else []) if ignore is None else ignore)]
+    folder, without what `ignore` (by default the .gitignore files in it) leaves out; a file in
+    a folder goes before those above it."""
+    if ignore is None:
+        found = sorted((p for p in Path(root).rglob(".gitignore") if p.is_file()), key=lambda p: (len(p.parts), p))
+        below = [(f"{p.parent.relative_to(root).as_posix()}/".removeprefix("./"), x) for p in found for x in p.read_text().splitlines()]
+    lines = [*(("", x) for x in ALWAYS), *(below if ignore is None else (("", x) for x in ignore))]
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     wanted = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(list(LANGUAGES))
     inner = F.regexp_replace("path", "^.*?" + re.escape(root.strip("/")) + "/", "")

@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "number bigint, kind string, title string, body string, state string, labels string, author string, created_at string, updated_at string, merged_at string, url string"
@@ -50,3 +52,30 @@ class ForgeReader(DataSourceReader):
 
 def register(spark) -> None:
     spark.dataSource.register(ForgeSource)
+
+
+_PERSON = "struct<login:string>"
+_PAGE = f"array<struct<number:bigint,title:string,body:string,state:string,labels:array<string>,author:{_PERSON},user:{_PERSON},createdAt:string,created_at:string,updatedAt:string,updated_at:string,mergedAt:string,merged_at:string,url:string,html_url:string>>"
+
+
+def read_forge(spark: SparkSession, path: str, kind: str = "issue", since: str | None = None) -> DataFrame:
+    """The same rows from pages on any file system that Spark reads; a page is one task's row."""
+    text = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.trim("value").alias("v"))
+    pages = text.select(F.explode(F.from_json(F.when(F.col("v").startswith("["), F.col("v")).otherwise(F.concat(F.lit("["), "v", F.lit("]"))), _PAGE)).alias("r")).where("r.number is not null")
+    name = lambda x: F.coalesce(F.get_json_object(x, "$.name"), x)
+    labels = F.to_json(F.transform(F.coalesce("r.labels", F.array().cast("array<string>")), name))
+    rows = pages.select(
+        "r.number", F.lit(kind).alias("kind"), "r.title", "r.body", F.lower(F.coalesce("r.state", F.lit(""))).alias("state"), labels.alias("labels"), F.coalesce("r.author.login", "r.user.login").alias("author"), F.coalesce("r.createdAt", "r.created_at").alias("created_at"),
+        F.coalesce("r.updatedAt", "r.updated_at").alias("updated_at"), F.coalesce("r.mergedAt", "r.merged_at").alias("merged_at"), F.coalesce("r.url", "r.html_url").alias("url"),
+    )
+    return rows if since is None else rows.where(F.col("updated_at").isNull() | (F.col("updated_at") >= since))
+
+
+def counts(records: DataFrame) -> DataFrame:
+    """(kind, n, most): how many issues and pull requests there are, and their greatest number."""
+    return records.groupBy("kind").agg(F.count_distinct("number").alias("n"), F.max("number").alias("most"))
+
+
+def one(records: DataFrame, kind: str, number: int) -> DataFrame:
+    """The issue or pull request of a number as it was updated last."""
+    return records.where((F.col("kind") == kind) & (F.col("number") == number)).orderBy(F.desc_nulls_last("updated_at"), F.desc_nulls_last("title")).limit(1)

@@ -11,21 +11,30 @@ _HEADER = r"^([0-9a-f]{40})\|(.*)\|([^|]*)\|([^|]*)\|(\d{4}-\d{2}-\d{2}T[^|]*)$"
 _NUMSTAT = r"^(\d+|-)\t(\d+|-)\t(.+)$"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, line): lines numbered within each file. A log file is split on its line ends
-    in one row, so files should be cut (by month, say) to fit a task."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("v"))
-    return whole.select("file", F.posexplode(F.split("v", "\n")).alias("n", "line"))
+def _owned(spark: SparkSession, path: str) -> DataFrame:
+    """(line, head, sha): every line with the commit it belongs to.
+
+    Files are read in splits, as any text. Lines are numbered within their split; the last
+    header of each split is carried on to the next ones of its file, of which there are as many
+    as the file has splits.
+    """
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", "\r$", "").alias("line"))
+    head = F.regexp_extract("line", _HEADER, 1)
+    lines = text.withColumn("head", F.when(head != "", head))
+    last = lines.where("head is not null").groupBy("file", "block").agg(F.max_by("head", "n").alias("last"))
+    # a split without any header passes on what it was given
+    splits = lines.select("file", "block").distinct().join(last, ["file", "block"], "left")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = splits.select("file", "block", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    within = Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn("own", F.last("head", ignorenulls=True).over(within)).join(carried, ["file", "block"]).select("line", F.coalesce("head", F.lit("")).alias("head"), F.coalesce("own", "carried").alias("sha"))
 
 
 def read_git_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """commits(sha, message, author_name, author_email, timestamp) and commit_files(sha,
     file_path, change_type, lines_added, lines_removed) of logs written with
     `--pretty=%H|%s|%an|%ae|%aI --numstat`; binary files have NULL counts."""
-    lines = _lines(spark, path)
-    head = F.regexp_extract("line", _HEADER, 1)
-    sha = F.last(F.when(head != "", head), ignorenulls=True).over(Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    owned = lines.withColumns({"head": head, "sha": sha})
+    owned = _owned(spark, path)
     part = lambda i: F.regexp_extract("line", _HEADER, i)
     commits = owned.where("head != ''").select("sha", part(2).alias("message"), part(3).alias("author_name"), part(4).alias("author_email"), part(5).alias("timestamp")).dropDuplicates(["sha"])
     num = lambda i: F.regexp_extract("line", _NUMSTAT, i)

@@ -84,3 +84,17 @@ def test_forge_source(spark, tmp_path):
     df = spark.read.format("forge").option("path", str(tmp_path)).load()
     assert sorted((r["number"], r["state"], r["labels"], r["author"]) for r in df.collect()) == [(1, "open", '["bug"]', "ann"), (2, "closed", '["x"]', "bob")]
     assert spark.read.format("forge").option("path", str(tmp_path)).option("since", "2025").load().select(F.count(F.lit(1))).first()[0] == 1
+
+
+def test_log_of_uses_and_ratings(spark):
+    from tarnwork.api import Engine
+    from tarnwork.operators import feedback
+
+    log = spark.createDataFrame([(5, "x", "2024-01-01T00:00:00Z", None, None, "{}")], "seq bigint, event_type string, timestamp string, source_id string, source_file string, data string")
+    e = Engine(spark, {"eventlog": log})
+    e.tables["eventlog"] = log.unionByName(e.append(e.log_use("s1", "q1", 'src/"a".rs', 2)))
+    e.tables["eventlog"] = e.tables["eventlog"].unionByName(e.append(e.log_feedback("s1", "q1", "good", None)))
+    use, rating = feedback.usage(e.tables["eventlog"]).first(), feedback.ratings(e.tables["eventlog"]).first()
+    assert (use["query_id"], use["doc_id"], use["rank"], use["session_id"]) == ("q1", 'src/"a".rs', 2, "s1")
+    assert (rating["query_id"], rating["signal"], rating["comment"], rating["session_id"]) == ("q1", "good", None, "s1")
+    assert rating["seq"] > use["seq"] > 5

@@ -109,6 +109,17 @@ def test_read_sources(spark, tmp_path):
     assert code.read_sources(spark, str(tmp_path), ignore=[]).count() == 6
 
 
+def test_ignore_files_in_folders(spark, tmp_path):
+    for name, body in ((".gitignore", "*.go\n/a/skip.py\n"), ("a/.gitignore", "/b.py\n!keep.go\nc/\n"), ("a/d/.gitignore", "*.py\n")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    for name in ("x.go", "b.py", "a/b.py", "a/skip.py", "a/keep.go", "a/c/z.py", "a/d/y.py", "a/d/e/y.py", "a/e/b.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("q")
+    got = sorted(x["path"].rsplit(str(tmp_path) + "/", 1)[1] for x in code.read_sources(spark, str(tmp_path)).collect())
+    assert got == ["a/e/b.py", "a/keep.go", "b.py"]
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "20250101.jsonl").write_text("\n".join(json.dumps({"id": str(i), "timestamp": i, "content": "c", "domains": ["x"]}) for i in range(3)) + "\nbroken\n")
     assert records.read_persona(spark, str(tmp_path / "20250101.jsonl")).count() == 3
@@ -148,3 +159,33 @@ def test_streams(spark, tmp_path):
     q = stream.keep_latest(events.select("user_id", "ts", "event_id"), str(tmp_path / "latest"), ["user_id"], ["ts", "event_id"], str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "latest" / "v0")).select("user_id", "event_id")) == [(0, 26), (1, 29)]
+
+
+def test_log_in_small_splits(spark, tmp_path):
+    sha = [f"{i:040x}" for i in range(1, 40)]
+    lines = []
+    for i, x in enumerate(sha):
+        lines += [f"{x}|subject | {i}|Ann|a@x.example|2024-01-02T03:04:05+00:00", ""] + [f"{n}\t0\tsrc/f{i}_{n}.rs" for n in range(i % 5)]
+    (tmp_path / "log.txt").write_text("\r\n".join(lines) + "\r\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "257b")
+    try:
+        commits, files = git_log.read_git_log(spark, str(tmp_path / "log.txt"))
+        assert commits.count() == 39
+        got = {(r["sha"], r["file_path"]) for r in files.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {(x, f"src/f{i}_{n}.rs") for i, x in enumerate(sha) for n in range(i % 5)}
+
+
+def test_tracker_pages_on_any_file_system(spark, tmp_path):
+    from tarnwork.sources import forge
+
+    (tmp_path / "1.json").write_text('[{"number": 3, "title": "a", "state": "OPEN", "labels": [{"name": "bug"}, "docs"], "author": {"login": "ann"}, "updatedAt": "2024-02-01T00:00:00Z", "url": "u"}, {"title": "no number"}]')
+    (tmp_path / "2.json").write_text('{"number": 7, "title": "b", "labels": null, "user": {"login": "bob"}, "updated_at": "2023-01-01T00:00:00Z"}')
+    (tmp_path / "3.json").write_text("broken")
+    rows = {r["number"]: r for r in forge.read_forge(spark, str(tmp_path)).collect()}
+    assert set(rows) == {3, 7} and rows[3]["labels"] == '["bug","docs"]' and rows[3]["state"] == "open" and rows[7]["author"] == "bob" and rows[7]["labels"] == "[]"
+    all_rows = forge.read_forge(spark, str(tmp_path))
+    assert [r["number"] for r in forge.read_forge(spark, str(tmp_path), since="2024-01-01").collect()] == [3]
+    assert forge.counts(all_rows).collect()[0][1:] == (2, 7) and forge.one(all_rows, "issue", 7).first()["title"] == "b" and forge.one(all_rows, "issue", 9).count() == 0
