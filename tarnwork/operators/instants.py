@@ -252,4 +252,4 @@ def with_zone(df: DataFrame, name: Column, zones: DataFrame) -> DataFrame:
     """Add repo_name and zone (NULL where unknown) from the table of repositories and zones."""
     lookup = zones.select(F.lower(F.trim("name")).alias("repo_name"), "zone").dropDuplicates(["repo_name"])
     df = df.drop("repo_name", "zone")
-    return join_checked(df.withColumn("repo_name", F.coalesce(name, F.lit(""))), lookup, ["repo_name"], df.columns[0], how="left")
+    return join_checked(df.withColumn("repo_name", F.coalesce(name, F.lit(""))), lookup, ["repo_name"], df.columns, how="left")

@@ -8,6 +8,7 @@ no sampling of pairs.
 from __future__ import annotations
 
 import warnings
+from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
@@ -179,6 +180,11 @@ def train(p: Projection, triplets: np.ndarray, epochs: int = 20, rate: float = 0
     return losses
 
 
+@lru_cache(maxsize=1 << 18)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(md5(word.encode()).digest()[:4], "big")
+
+
 def hashed_embedding(tokens: Column, size: int = 64) -> Column:
     """Unit vector of signed feature hashes of an array of tokens; stands in for a text model.
 
@@ -189,7 +195,7 @@ def hashed_embedding(tokens: Column, size: int = 64) -> Column:
     def embed(lists: pd.Series) -> pd.Series:
         out = []
         for words in lists:
-            h = np.fromiter((int.from_bytes(md5(w.encode()).digest()[:4], "big") for w in (() if words is None else words)), np.int64)
+            h = np.fromiter((_word_hash(w) for w in (() if words is None else words)), np.int64)
             v = np.bincount(h % size, np.where(h >> 16 & 1, 1.0, -1.0), size) if len(h) else np.zeros(size)
             n = np.linalg.norm(v)
             out.append(v / n if n else v)

@@ -69,13 +69,13 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
-def salted_join(big: DataFrame, few: DataFrame, keys: list[str], spread_by: str, salts: int = 8, how: str = "inner") -> DataFrame:
+def salted_join(big: DataFrame, few: DataFrame, keys: list[str], spread_by: str | list[str], salts: int = 8, how: str = "inner") -> DataFrame:
     """Join big with few (unique on keys) so that one hot key spreads over `salts` tasks.
 
     Every row of few is repeated once per salt; a row of big goes to the salt its
-    spread_by column hashes to, so each row still meets its match exactly once.
+    spread_by columns hash to, so each row still meets its match exactly once.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*([spread_by] if isinstance(spread_by, str) else spread_by)), F.lit(salts)).cast("int"))
     right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
@@ -100,7 +100,7 @@ def join_counted(big: DataFrame, counts: DataFrame, keys: list[str], weight: str
     return near.unionByName(rest)
 
 
-def join_checked(big: DataFrame, few: DataFrame, keys: list[str], spread_by: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+def join_checked(big: DataFrame, few: DataFrame, keys: list[str], spread_by: str | list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast few if it has at most `limit` rows (counted now), else join with salts."""
     if few.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(few), keys, how)
