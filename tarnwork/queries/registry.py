@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("general", "log", "assay", "search", "retrieval", "knowledge")
+NAMES = ("general", "log", "assay", "search", "retrieval", "knowledge", "outside")
 
 
 def modules() -> list:

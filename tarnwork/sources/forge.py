@@ -60,10 +60,15 @@ _PAGE = f"array<struct<number:bigint,title:string,body:string,state:string,label
 
 def read_forge(spark: SparkSession, path: str, kind: str = "issue", since: str | None = None) -> DataFrame:
     """The same rows from pages on any file system that Spark reads; a page is one task's row."""
-    text = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.trim("value").alias("v"))
+    return parse_pages(spark.read.text(path, wholetext=True, pathGlobFilter="*.json"), kind, since)
+
+
+def parse_pages(pages: DataFrame, kind: str = "issue", since: str | None = None) -> DataFrame:
+    """Rows of pages(value), each the JSON of a record or of an array of them."""
+    text = pages.select(F.trim("value").alias("v"))
     pages = text.select(F.explode(F.from_json(F.when(F.col("v").startswith("["), F.col("v")).otherwise(F.concat(F.lit("["), "v", F.lit("]"))), _PAGE)).alias("r")).where("r.number is not null")
-    name = lambda x: F.coalesce(F.get_json_object(x, "$.name"), x)
-    labels = F.to_json(F.transform(F.coalesce("r.labels", F.array().cast("array<string>")), name))
+    name = lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.name")).otherwise(x)
+    labels = F.to_json(F.array_compact(F.transform(F.coalesce("r.labels", F.array().cast("array<string>")), name)))
     rows = pages.select(
         "r.number", F.lit(kind).alias("kind"), "r.title", "r.body", F.lower(F.coalesce("r.state", F.lit(""))).alias("state"), labels.alias("labels"), F.coalesce("r.author.login", "r.user.login").alias("author"), F.coalesce("r.createdAt", "r.created_at").alias("created_at"),
         F.coalesce("r.updatedAt", "r.updated_at").alias("updated_at"), F.coalesce("r.mergedAt", "r.merged_at").alias("merged_at"), F.coalesce("r.url", "r.html_url").alias("url"),
