@@ -85,7 +85,7 @@ class _Batch:
         schema = self.keyed.select(*columns).schema
         extra = self.keyed.sparkSession.createDataFrame(list(more), schema) if more and self.rows is None else None
         if self.rows is not None:
-            return F.broadcast(self.keyed.sparkSession.createDataFrame(sorted({tuple(r[c] for c in columns) for r in self.rows} | set(more)), schema))
+            return F.broadcast(self.keyed.sparkSession.createDataFrame(sorted({tuple(r[c] for c in columns) for r in self.rows} | set(more), key=repr), schema))
         found = self.keyed.select(*columns).distinct()
         return found if extra is None else found.unionByName(extra)
 
@@ -121,6 +121,7 @@ def write_index(idx: DataFrame, path: str, buckets: int = BUCKETS, parts: int =
     laid = lens.withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "_part": F.pmod(F.xxhash64("doc_id"), F.lit(parts))})
     laid.repartition("bucket", "_part").sortWithinPartitions("bucket", "term").drop("_part").write.partitionBy("bucket").parquet(f"{path}/postings")
     idx.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/stats")
+    idx.select("doc_id").limit(0).write.parquet(f"{path}/ids")
 
 
 def search_index(spark: SparkSession, path: str, terms: DataFrame, limit: int = 10) -> DataFrame:
@@ -128,7 +129,9 @@ def search_index(spark: SparkSession, path: str, terms: DataFrame, limit: int =
     batch only row groups that may hold them."""
     n_docs, avg_len, buckets = spark.read.parquet(f"{path}/stats").first()
     batch = _Batch(terms)
-    post = spark.read.parquet(f"{path}/postings")
+    # an index of no documents has no files to take the columns from
+    ids = spark.read.parquet(f"{path}/ids").schema["doc_id"].dataType.simpleString()
+    post = spark.read.schema(f"term string, doc_id {ids}, tf bigint, len int, bucket int").parquet(f"{path}/postings")
     asked = sorted({r["term"] for r in batch.rows}) if batch.rows is not None else []
     if 0 < len(asked) <= PUSHED_WORDS:
         wanted = spark.createDataFrame([(t,) for t in asked], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()

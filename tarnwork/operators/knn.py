@@ -121,6 +121,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, skip_self: bool = T
 def fit_centres(vectors: DataFrame, lists: int, rounds: int = 15, rows: int = FIT_ROWS) -> np.ndarray:
     """Centres of spherical k-means over at most `rows` vectors, drawn by the hash of their ids."""
     sample = vectors.where("embedding is not null").select("vec_id", "embedding").orderBy(F.xxhash64("vec_id")).limit(rows).toArrow()
+    if not sample.num_rows:
+        return np.empty((0, 0))
     m = unit(_matrix(sample["embedding"].combine_chunks()))
     centres = m[:: max(1, len(m) // lists)][:lists].copy()
     for _ in range(rounds):
@@ -139,7 +141,7 @@ def build_index(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = unit(_matrix(batch.column(1)))
-            owner = np.argmax(m @ shared.value.T, axis=1) if len(m) else np.empty(0, np.int64)
+            owner = np.argmax(m @ shared.value.T, axis=1) if len(m) and len(shared.value) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(owner.astype(np.int32))], names=["vec_id", "embedding", "list"])
 
     return vectors.where("embedding is not null").select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>")).mapInArrow(assign, "vec_id bigint, embedding array<float>, list int")
@@ -152,10 +154,11 @@ def probe_index(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: in
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = unit(_matrix(batch.column(1)))
-            near = np.argsort(-(m @ shared.value.T), axis=1, kind="stable")[:, :probes] if len(m) else np.empty((0, probes), np.int64)
+            near = np.argsort(-(m @ shared.value.T), axis=1, kind="stable")[:, :probes] if len(m) and len(shared.value) else np.empty((len(m), 0), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["query_id", "q", "lists"])
 
-    asked = queries.select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<float>")).mapInArrow(lists, "query_id bigint, q array<float>, lists array<int>")
+    rows = queries.where("query_id is not null and embedding is not null")
+    asked = rows.select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<float>")).mapInArrow(lists, "query_id bigint, q array<float>, lists array<int>")
     met = index.join(asked.withColumn("list", F.explode("lists")).drop("lists"), "list").where("vec_id != query_id")
     return _top(met.select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("score")), k)
 

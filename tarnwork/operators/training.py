@@ -139,9 +139,12 @@ class Projection:
 
         @F.pandas_udf("array<double>")
         def project(v: pd.Series) -> pd.Series:
-            if not len(v):
-                return pd.Series([], dtype=object)
-            return pd.Series(list(shared.value(np.stack([np.asarray(x, np.float64) for x in v]))))
+            out = pd.Series([None] * len(v), dtype=object)
+            known = [i for i, x in enumerate(v) if x is not None]
+            if known:
+                for i, y in zip(known, shared.value(np.stack([np.asarray(v.iloc[i], np.float64) for i in known])), strict=True):
+                    out.iloc[i] = y
+            return out
 
         return project(vector)
 
