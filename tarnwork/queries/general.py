@@ -157,8 +157,8 @@ P6 = f"""with {instants_sql.ZONE_ROWS}, dr as (select 'forge_issues' as tbl, num
         """
 P6_GIVEN = f"""select tbl, record_id, event_seq::varchar as ref, period, 'eventlog' as target from dt anti join lg on seq = event_seq and source_id = record_id where tbl <> 'forge_refs' and event_seq is not null
         union all select tbl, record_id, number::varchar, period, 'forge' from dt anti join ft using (repo, number) where tbl = 'forge_refs' and number is not null
-        union all select 'belief_code_reach', file_path, {_KEY.format('belief_id')}, 'none', 'beliefs' from belief_code_reach where belief_id is not null and {_KEY.format('belief_id')} not in (select {_KEY.format('id')} from beliefs where coalesce(status, '') <> 'deleted')"""
-P6_MORE = """select 'forge_prs', record_id, ref, period, 'forge_issues' from ln where n not in (select number from dt where tbl = 'forge_issues') union all select 'forge_refs', record_id, source, period, 'commits' from dt where tbl = 'forge_refs' and source is not null and source not in (select sha from commits where sha is not null)"""
+        union all select 'belief_code_reach', file_path, {_KEY.format('belief_id')}, 'none', 'beliefs' from belief_code_reach where belief_id is not null and {_KEY.format('belief_id')} not in (select {_KEY.format('id')} from beliefs where id is not null and coalesce(status, '') <> 'deleted')"""
+P6_MORE = """select 'forge_prs', record_id, ref, period, 'forge_issues' from ln where n not in (select number from dt where tbl = 'forge_issues' and number is not null) union all select 'forge_refs', record_id, source, period, 'commits' from dt where tbl = 'forge_refs' and source is not null and source not in (select sha from commits where sha is not null)"""
 
 SQL = {
     "p1_found": packed_sql.found(PACKED_FIELDS),
@@ -167,11 +167,11 @@ SQL = {
     "p5_files": P5 + ", ".join(["select distinct seq as rec, place as pos, '' as parent_path, '' as parent_pos", *(f"case when json_type(v, '$.{c}') not in ('OBJECT', 'ARRAY') then json_extract_string(v, '$.{c}') end as {c}" for c in ("path", "change_type", "lines_added", "lines_removed"))]) + " from o where o.path = 'files'",
     "p6_found": P6.rstrip().removesuffix(",") + f" select distinct tbl, record_id, ref, period from ({P6_GIVEN})",
     "p6_cascade": P6 + f"""d0 as (select distinct * from ({P6_GIVEN} union all {P6_MORE})),
-        lk as (select distinct 'forge_prs' as tbl, record_id, ref, period, 'forge_issues' as target, ref as up from ln where n in (select number from dt where tbl = 'forge_issues')),
+        lk as (select distinct 'forge_prs' as tbl, record_id, ref, period, 'forge_issues' as target, ref as up from ln where n in (select number from dt where tbl = 'forge_issues' and number is not null)),
         rf as (select distinct 'forge_refs' as tbl, r.record_id, r.number::varchar as ref, r.period, u.tbl as target, r.number::varchar as up from dt r join dt u on u.repo = r.repo and u.number = r.number and u.tbl <> 'forge_refs' where r.tbl = 'forge_refs'),
         d1 as (select lk.* from lk where up in (select record_id from d0 where tbl = 'forge_issues') union all select rf.* from rf where (target, up) in (select tbl, record_id from d0)),
         d2 as (select rf.* from rf where target = 'forge_prs' and up in (select record_id from d1 where tbl = 'forge_prs') and (record_id, ref, target) not in (select record_id, ref, target from d1 where tbl = 'forge_refs')),
-        al as (select tbl, record_id, ref, period, target, 'direct' as kind, 0 as depth from d0 union all select tbl, record_id, ref, period, target, 'inherited', 1 from d1 where (tbl, record_id, ref, target) not in (select tbl, record_id, ref, target from d0)
+        al as (select tbl, record_id, ref, period, target, 'direct' as kind, 0 as depth from d0 union all select tbl, record_id, ref, period, target, 'inherited', 1 from d1 anti join d0 using (tbl, record_id, ref, target)
             union all select tbl, record_id, ref, period, target, 'inherited', 2 from d2)
         select tbl, target, period, kind, depth, count(*) as n_refs from al group by all""",
 }
