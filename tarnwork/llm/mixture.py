@@ -12,7 +12,8 @@ larger budget keeps all documents of a smaller one.
 
 Results for edge cases: NULL or empty texts have 0 tokens; documents without source count
 towards the corpus but belong to no source; sources compare without case and outer blanks;
-repeated rows of a document count once; targets without documents are reported with 0 and
+repeated rows of a document count once; of several targets of one source the largest share
+and cap hold; targets without documents are reported with 0 and
 are short if they have a share; a cap under 1 (or NULL) admits no copy;
 ties of hashes fall on the same side of the threshold; empty tables give shares of 0.
 """
@@ -74,7 +75,9 @@ def source_budgets(sized: DataFrame, targets: DataFrame, fraction: float = 0.5)
     """
     corpus = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
     available = sized.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("available"))
-    wanted = targets.select(F.col("source").alias("target"), source_key(F.col("source")).alias("source"), "target_share", "max_repeats").distinct()
+    of_source = Window.partitionBy("source")  # over the table of targets
+    wanted = targets.select(F.col("source").alias("target"), source_key(F.col("source")).alias("source"), "target_share", "max_repeats")
+    wanted = wanted.withColumns({c: F.max(c).over(of_source) for c in ("target_share", "max_repeats")}).distinct()
     need = F.coalesce("target_share", F.lit(0.0)) * F.lit(corpus * fraction)
     met = wanted.join(available, "source", "left").withColumns({"available": F.coalesce("available", F.lit(0)), "need": need, "max_repeats": F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))})
     whole = F.floor(F.col("need") / F.greatest("available", F.lit(1)))

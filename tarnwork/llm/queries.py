@@ -128,8 +128,8 @@ SQL = {
         select distinct doc_id, item_id from a join b using (k, g)""",
     "p8_found": f"""
         with d as (select doc_id, max({_SOURCE}) as source, max(len(regexp_extract_all(coalesce(text, ''), '\\p{{L}}+|\\p{{N}}+|[^\\s\\p{{L}}\\p{{N}}]'))) as tokens from documents where doc_id is not null group by 1), a as (select source, sum(tokens) as tokens from d where source <> '' group by 1),
-             t as (select distinct source as target, {_SOURCE} as source, target_share, max_repeats from mix_targets)
-        select distinct target as source from t left join a using (source) where coalesce(tokens, 0) * max_repeats < target_share * (select sum(tokens) from d) * 0.5""",
+             t as (select distinct target, source, max(target_share) over (partition by source) as share, greatest(coalesce(max(max_repeats) over (partition by source), 0), 0) as most from (select source as target, nullif({_SOURCE}, '') as source, target_share, max_repeats from mix_targets))
+        select distinct target as source from t left join a on a.source = t.source where coalesce(tokens, 0) * most < share * (select sum(tokens) from d) * 0.5""",
     "p9_found": f"""
         with {_GRAMS}, s as (select h from g group by h having min(doc_id) <> max(doc_id)), k as (select distinct doc_id, h from g join s using (h))
         select distinct a.doc_id as doc_a, b.doc_id as doc_b from k a join k b on a.h = b.h and a.doc_id < b.doc_id""",
