@@ -5,6 +5,8 @@ All helpers are deterministic: salts come from hashes of the rows, never from ra
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,6 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="tarnwork-checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
     return sc._jsc.sc().getCheckpointDir().get()
 

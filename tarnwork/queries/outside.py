@@ -147,11 +147,49 @@ def described_commits(spark, d):
     return table(spark, d, "commits").where("sha is not null").select("sha", text.commit_text(F.col("sha"), F.col("message"), F.col("author_name")).alias("sentence")).distinct()
 
 
+def described_beliefs(spark, d):
+    """Each belief as it is shown, and with its metrics and tag."""
+    b = table(spark, d, "beliefs").where("id is not null").select("id", "statement", "entrenchment", "file_path", "evidence_count", "evidence_verified", "applied_in", "cited_by_beliefs", "cited_by_sessions").distinct()
+    c = [F.col(x) for x in ("statement", "entrenchment", "file_path", "evidence_count", "evidence_verified", "applied_in")]
+    return b.select("id", text.belief_text(*c).alias("shown"), text.belief_line(*c, F.col("cited_by_beliefs"), F.col("cited_by_sessions"), F.lit(0)).alias("line"))
+
+
+def pattern_documents(spark, d):
+    """Ids and titles of the design notes."""
+    return markdown.patterns(_kind(spark, d, "notes")).select("file_path", "id", "title").distinct()
+
+
+def described_documents(spark, d):
+    """Summary and branches of each document."""
+    docs = table(spark, d, "documents").where("doc_id is not null and text is not null").select("doc_id", "text").distinct()
+    return docs.select("doc_id", text.document_summary(F.col("text")).alias("summary"), text.complexity(F.col("text")).alias("complexity"))
+
+
+def json_rows(spark, d):
+    """Repositories and zones as JSON lines."""
+    return records.to_json_rows(table(spark, d, "repo_zones").select("repo", "name", "zone").distinct())
+
+
+def _domains(spark: SparkSession, d: str) -> DataFrame:
+    manifest = F.regexp_replace(F.regexp_replace(F.regexp_replace("file_path", r"\.rs$", "/Cargo.toml"), r"\.ts$", "/package.json"), r"\.py$", "/setup.py")
+    return graph.detect_domains(table(spark, d, "commit_files").select(F.split_part("file_path", F.lit("/"), F.lit(2)).alias("repo"), manifest.alias("path")))
+
+
+def repo_domains(spark, d):
+    """Domains of folders by the manifests in them, source files standing for manifests."""
+    return _domains(spark, d).select("repo", F.array_join("domains", ",").alias("domains"))
+
+
+def routed_nodes(spark, d):
+    """The folders that a question about JavaScript goes to."""
+    return graph.route(_domains(spark, d).withColumnRenamed("repo", "id"), "How does our javascript client retry?").select("id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         git_log_files, git_log_commits, tags_and_files, session_goals, belief_documents, session_titles, persona_events, query_set, forge_pages, replace_and_prune, backlog_inserts, federated_tables, used_results, path_matches, described_files,
-        described_commits,
+        described_commits, described_beliefs, pattern_documents, described_documents, json_rows, repo_domains, routed_nodes,
     )
 }
 
@@ -169,6 +207,8 @@ def _docs(kind: str) -> str:
         m as (select *, {both('id')} as id, coalesce({both('id')}, {name}) as name, {both('facets')} as facets, try_cast({both('confidence')} as double) as confidence, coalesce({both('title')}, {title}) as title from t)"""
 
 
+_DOMAINS = r"with dm as (select split_part(file_path, '/', 2) as repo, case when regexp_matches(file_path, '\.rs$') then 'rust' when regexp_matches(file_path, '\.ts$') then 'javascript' when regexp_matches(file_path, '\.py$') then 'python' end as d from commit_files)"
+
 SQL = {
     "git_log_files": f"""with {_LOGGED} select distinct sha, file_path, case when coalesce(lines_added, 0) > 0 and coalesce(lines_removed, 0) = 0 then 'added' when coalesce(lines_added, 0) = 0 and coalesce(lines_removed, 0) > 0 then 'deleted' else 'modified' end as change_type,
         lines_added, lines_removed from commit_files join c using (sha) where file_path is not null""",
@@ -197,5 +237,14 @@ SQL = {
     "described_files": "with p as (select file_path, count(distinct sha) as n, count(*) filter (lines_added > 100) as big from commit_files where file_path is not null group by 1) select regexp_replace(file_path, '^(\\./)+', '') as file, 'File: ' || file_path || ' (' || case regexp_extract(file_path, '\\.([^.]*)$', 1) "
     + " ".join(f"when '{x}' then '{name}'" for x, name in text.FILE_TYPES.items())
     + " else 'file' end || ')' as sentence, case when n = 1 then 'exploration' when big > 0 then 'pattern-work' when n > 10 then 'major-feature' when n - 1 < 3 then 'experiment' else 'feature' end as work, 'q_' || strftime(timestamp 'epoch' + to_seconds(1700000000 + n), '%Y%m%d_%H%M%S') || '_' || left(md5(file_path), 3) as made, case when n % 4 = 0 then (n // 4)::varchar else printf('%.2f', n / 4) end as quarter from p",
+    "described_beliefs": """with b as (select distinct id, statement, entrenchment, file_path, evidence_count as ec, evidence_verified as ev, applied_in as ap, cited_by_beliefs as cb, cited_by_sessions as cs from beliefs where id is not null)
+        select id, statement || ' (' || coalesce(entrenchment, '?') || ', ' || file_path || ') [evidence: ' || ec || '/' || ev || case when ap > 0 then ', ' || ap || ' applied' else '' end || ']' as shown,
+            statement || ' [' || concat_ws(' | ', 'use: ' || cb || '+' || cs, 'truth: ' || ec || '/' || ev, case when ap > 0 then ap || ' applied' end) || case when ec = 0 and cb + cs <= 1 then ' WEAK' when ev = 0 and ec > 0 then ' UNVERIFIED' else '' end || '] (' || coalesce(entrenchment, '?') || ', ' || file_path || ')' as line from b""",
+    "pattern_documents": f"with {_docs('notes')} select distinct file_path, name as id, title from m",
+    "described_documents": r"""with t as (select distinct doc_id, text from documents where doc_id is not null and text is not null), b as (select doc_id, text, regexp_replace(text, '(?s)^---\n.*?\n---\n', '') as body from t)
+        select doc_id, left(trim(regexp_replace(regexp_replace(body, '(?m)^#.*$', '', 'g'), '\s+', ' ', 'g')), 500) as summary, (1 + len(regexp_extract_all(text, '\b(?:if|elif|switch|for|while|case|match)\b')))::bigint as complexity from b""",
+    "json_rows": "select distinct to_json(struct_pack(repo := repo, name := name, zone := zone))::varchar as value from repo_zones",
+    "repo_domains": _DOMAINS + " select repo, string_agg(distinct d, ',' order by d) as domains from dm where d is not null group by 1",
+    "routed_nodes": _DOMAINS + " select distinct repo as id from dm where d is not null and (contains('how does our javascript client retry?', lower(repo)) or repo in (select repo from dm where d = 'javascript'))",
     "described_commits": f"select distinct sha, left(sha, 7) || ': ' || {_FIRST} || ' (' || coalesce(author_name, '?') || ')' as sentence from commits where sha is not null",
 }
