@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions import text
 from tarnwork.operators import assay as ops
 from tarnwork.operators import backlog, beliefs, evaluation, eventlog, feedback, fts, training, verify
-from tarnwork.plans.shaping import new_folder, small, table
+from tarnwork.plans.shaping import new_folder, small, table, written
 from tarnwork.queries import assay
 from tarnwork.queries.log import HITS, PAYLOAD
 from tarnwork.queries.retrieval import COMMIT_HITS, NEAR, _commit_hits, _nearest
@@ -172,7 +172,7 @@ def belief_co_retrieval(spark, d):
 
 def ablation(spark, d):
     """Whether titles help to find issues by their own bodies' first words."""
-    issues = table(spark, d, "forge_issues").select(F.col("number").cast("string").alias("id"), "title", "body").where("body is not null").dropDuplicates(["id"])
+    issues = written(table(spark, d, "forge_issues").select(F.col("number").cast("string").alias("id"), "title", "body").where("body is not null").dropDuplicates(["id"]))
     q = issues.select(F.col("id").alias("query_id"), F.array_join(F.slice(fts.tokens(F.col("body")), 1, 6), " ").alias("query")).where("query != ''")
     own = q.select("query_id", F.col("query_id").alias("doc"))
     score = lambda *cols: evaluation.per_query(q, fts.bm25(fts.index(issues, "id", *cols), fts.query_terms(q), 10), own)
