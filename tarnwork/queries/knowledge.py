@@ -154,7 +154,7 @@ def cochange_precision(spark, d):
 
 def belief_self_retrieval(spark, d):
     """MRR and hit rate of beliefs searched by their own statements."""
-    b = _beliefs(spark, d).where("statement is not null")
+    b = written(_beliefs(spark, d).where("statement is not null").select("id", "statement"))
     q = b.select(F.col("id").alias("query_id"), F.col("statement").alias("query"))
     found = fts.bm25(fts.index(b, "id", "statement"), fts.query_terms(q), 10)
     scores = evaluation.per_query(q, found, b.select(F.col("id").alias("query_id"), F.col("id").alias("doc")))

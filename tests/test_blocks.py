@@ -1,12 +1,16 @@
 """Batches of many queries: the search by blocks finds what the plan for few queries finds, and doesn't pair every query with every document."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from conftest import rows
+from odd import SF, odd_tables, tables_in
 from tarnwork.operators import blocks, fts
+from test_queries import table_of
 
 
 def texts(n: int, seed: int) -> list[tuple]:
@@ -76,3 +80,18 @@ def test_best_of_a_block(seed):
             seen[d] = True
         want = sorted(((-np.floor(x * 1e6 + 0.5) / 1e6, i) for i, x in enumerate(sums) if seen[i]))[:limit]
         assert sorted(zip((-score).tolist(), at.tolist())) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("kind", ["empty", "nulls"])
+@pytest.mark.parametrize("name", ["belief_self_retrieval"])
+def test_queries_of_many_words(spark, many, monkeypatch, tmp_path, name, kind):
+    """On odd tables as their SQL, each by the search by blocks."""
+    used = []
+    kept = blocks.best
+    monkeypatch.setattr(blocks, "best", lambda *a: used.append(1) or kept(*a))
+    folder = odd_tables(tmp_path, kind)
+    df = entry.queries()[name](spark, folder)
+    want = tables_in(folder).sql(entry.oracle_sql()[name])
+    assert table_of(df.columns, df.collect()) == table_of(want.columns, want.fetchall())
+    assert used or kind == "empty"
