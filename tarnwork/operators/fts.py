@@ -15,6 +15,8 @@ from tarnwork.operators import blocks
 from tarnwork.plans.shaping import BROADCAST_ROWS, join_counted, small, written
 
 K1, B, LEAST_IDF = blocks.K1, blocks.B, blocks.LEAST_IDF
+#: A batch of more words than this would pair too many queries with too many documents.
+MANY_WORDS = 5_000
 #: Buckets of a written index, and words of a batch that are pushed down to its files.
 BUCKETS, PUSHED_WORDS = 64, 2_000
 
@@ -64,10 +66,10 @@ def bm25(idx: DataFrame, terms: DataFrame, limit: int = 10, groups: DataFrame |
     terms: (query_id, term) or (query_id, stem, term), a batch of queries, broadcast while it
     is small. Texts are read once: the postings of other words are dropped where they are made,
     those of the queries' words are written, with one row a document that counts it. A batch of
-    more words than are broadcast is searched by blocks.best(), unless it has stems or groups.
+    many words is searched by blocks.best(), unless it has stems or groups.
     """
     batch = _Batch(terms)
-    if batch.rows is None and groups is None and "stem" not in terms.columns:
+    if (batch.rows is None or len(batch.rows) > MANY_WORDS) and groups is None and "stem" not in terms.columns:
         return blocks.best(idx, terms, limit)
     words = batch.words([(_ITSELF, _ITSELF)])
     laid = idx.select("doc_id", "len", F.explode(F.array_append("tokens", F.lit(_ITSELF))).alias("term"))

@@ -57,6 +57,18 @@ def test_no_pair_leaves_its_task(spark, many):
     assert max(t.count() for t in made) <= 502
 
 
+def test_few_words_too_many_pairs(spark, monkeypatch):
+    """A batch that would still be broadcast, but has many words."""
+    idx, terms = asked(spark, texts(100, 3), 1)
+    want = rows(fts.bm25(idx, terms).select("query_id", "doc_id", "score", "rank"))
+    used = []
+    kept = blocks.best
+    monkeypatch.setattr(blocks, "best", lambda *a: used.append(1) or kept(*a))
+    monkeypatch.setattr(fts, "MANY_WORDS", 100)
+    assert rows(fts.bm25(idx, terms).select("query_id", "doc_id", "score", "rank")) == want
+    assert used
+
+
 def test_no_documents_and_no_queries(spark, many):
     idx, terms = asked(spark, texts(100, 1), 9)
     assert fts.bm25(idx.limit(0), terms).count() == 0
@@ -84,7 +96,7 @@ def test_best_of_a_block(seed):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 @pytest.mark.parametrize("kind", ["empty", "nulls"])
-@pytest.mark.parametrize("name", ["belief_self_retrieval"])
+@pytest.mark.parametrize("name", ["belief_self_retrieval", "bm25_documents"])
 def test_queries_of_many_words(spark, many, monkeypatch, tmp_path, name, kind):
     """On odd tables as their SQL, each by the search by blocks."""
     used = []
