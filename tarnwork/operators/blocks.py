@@ -20,7 +20,7 @@ from tarnwork.plans.shaping import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Documents and words of a block at most, documents that are worth a block of their own, and words of a chunk of queries.
-BLOCK_DOCS, BLOCK_WORDS, FEW_DOCS, CHUNK_WORDS = 60_000, 5_000_000, 20_000, 20_000
+BLOCK_DOCS, BLOCK_WORDS, FEW_DOCS, CHUNK_WORDS = 60_000, 5_000_000, 30_000, 20_000
 #: Scores are rounded to 6 places; documents whose sums are closer than this may be equal.
 NEAR = 2e-6
 #: Groups of a block's documents whose best ones tell what a query's best ones have at least.
@@ -63,8 +63,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
-            kept.append(part)
-            docs, words = docs + part.num_rows, words + len(part.column(1).flatten())
+            ids, tokens = part.columns
+            # of the words only their codes are kept, and each part's different words
+            kept.append((ids, pc.list_value_length(tokens).to_numpy(zero_copy_only=False), tokens.flatten().dictionary_encode()))
+            docs, words = docs + len(ids), words + len(kept[-1][2])
             if docs >= BLOCK_DOCS or words >= BLOCK_WORDS:
                 yield _block(kept)
                 kept, docs, words = [], 0, 0
@@ -72,15 +74,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _block(kept)
 
 
-def _block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    t = pa.Table.from_batches(parts)
-    t = t.take(pc.sort_indices(t.column(0))).combine_chunks()
-    ids, tokens = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in t.columns)
-    lens = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = tokens.flatten().dictionary_encode()
-    n = len(ids)
-    post, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), lens), return_counts=True)
-    words = coded.dictionary
+def _block(parts: list[tuple[pa.Array, np.ndarray, pa.DictionaryArray]]) -> pa.RecordBatch:
+    """parts: ids, numbers of words and words of documents."""
+    ids = pa.concat_arrays([p[0] for p in parts])
+    order = pc.sort_indices(ids)
+    place = np.empty(n := len(ids), np.int64)
+    place[order.to_numpy()] = np.arange(n)
+    ids, laid = ids.take(order), np.concatenate([p[1] for p in parts]).astype(np.int64)
+    lens = laid[order.to_numpy()]
+    coded = pa.chunked_array([p[2] for p in parts]).unify_dictionaries()
+    words = coded.chunk(0).dictionary
+    codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
+    post, tf = np.unique(codes * np.int64(n) + np.repeat(place, laid), return_counts=True)
     starts = np.searchsorted(post, np.arange(len(words) + 1) * n)
     one = lambda a: pa.array([a.tobytes()], pa.binary())
     whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
@@ -141,15 +146,23 @@ class _Search:
         starts, ends, weight = starts.tolist(), ends.tolist(), weight.tolist()
         sums, k = self.sums, len(here)
         sums.fill(0.0)
-        cut, done = 0.0, k
+        cut, done, told = 0.0, k, 0
         for i in range(k):
             a, b = starts[i], ends[i]
-            sums[self.docs[a:b]] += weight[i] * self.part[a:b]
+            np.add.at(sums, self.docs[a:b], weight[i] * self.part[a:b])
             # worth asking where the words so far can outweigh the others and those have many postings
-            if rest[i + 1] < rest[0] / 2 and (i + 1 == k or more[i + 1] > self.n // 4) and (least := _least(sums, self.limit) - NEAR) > rest[i + 1]:
-                cut, done = least - rest[i + 1], i + 1
-                break
-        near = np.flatnonzero(sums >= cut if cut else sums > 0)
+            if i + 1 < k and (rest[i + 1] >= rest[0] / 2 or more[i + 1] <= self.n // 4 or (k > 8 and more[told] - more[i + 1] < self.n // 4)):
+                continue
+            told = i + 1
+            if (least := _least(sums, self.limit) - NEAR) > rest[i + 1]:
+                cut = least - rest[i + 1]
+                # a look-up takes about as long as eight postings
+                if 8 * (k - i - 1) * np.count_nonzero(sums >= cut) < more[i + 1]:
+                    done = i + 1
+                    break
+        if done == k:
+            cut = _least(sums, self.limit) - NEAR
+        near = np.flatnonzero(sums >= cut if cut > 0 else sums > 0)
         score = sums[near]
         for i in range(done, k):
             a, b = starts[i], ends[i]
